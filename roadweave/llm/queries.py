@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontaminate, html_extract, license_scan, secret_scan, toxicity, url_filter
+from roadweave.llm import decontaminate, html_extract, license_scan, packing, secret_scan, simhash, toxicity, url_filter
 from roadweave.llm.common import table
 
 
@@ -19,6 +19,21 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> dict[str, str]:
+    """Installed vocabulary files of the packing queries; the operator takes any."""
+    import public_tokenizers
+
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), **vocabulary())
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +54,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_packing": op6_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_license_scans": op8_license_scans,
     "op9_html_extraction": op9_html_extraction,
