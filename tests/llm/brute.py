@@ -53,3 +53,21 @@ def contamination(docs, items, window=10):
                     found |= got
         out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
     return out
+
+
+def repeats(docs, window=13):
+    """docs: (id, text), ids not null and distinct. Rows (id, n_words, n_removed, sha)."""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in docs}
+    first = {}
+    for d, w in words.items():
+        for i in range(len(w) - window + 1):
+            k = tuple(w[i : i + window])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in words.items():
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if first[tuple(w[i : i + window])] < d:
+                gone.update(range(i, i + window))
+        out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
