@@ -168,7 +168,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of each component the rows with its smallest id, once each, and rows without an id that fall in no component."""
+    """The rows of docs that stay: of each component those with its smallest id.
+
+    Rows of one id stay or go together; of equal rows of one id one stays. Rows without an id stay.
+    """
     found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti").dropDuplicates()
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
+    repeated = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).alias("__again")))
+    if repeated.isEmpty():
+        return kept
+    again = kept[id_col] == repeated["__again"]
+    return kept.join(repeated, again, "left_anti").unionByName(kept.join(repeated, again, "left_semi").dropDuplicates())

@@ -158,28 +158,33 @@ def _train(buckets: np.ndarray, x: list[np.ndarray], y: np.ndarray, w0: float, f
     return m
 
 
+def _scorer(model: FactorizationMachine):
+    """A function from texts to scores; its word cache lives as long as the task."""
+    at = {int(b): i for i, b in enumerate(model.buckets)}
+    seen: dict[str, tuple[int, ...]] = {}
+
+    def positions(word: str) -> tuple[int, ...]:
+        i = seen.get(word)
+        if i is None:
+            if len(seen) >= CACHE_WORDS:
+                seen.clear()
+            i = seen[word] = tuple(at[h] for h in _hashes(word) if h in at)
+        return i
+
+    def scores(texts: list[str | None]) -> np.ndarray:
+        return model.scores([np.array(sorted({i for w in set(alnum_words((t or "").lower())) for i in positions(w)}), np.int64) for t in texts])
+
+    return scores
+
+
 def score(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted. A single pass without a shuffle."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scored(batches):
-        at = {int(b): i for i, b in enumerate(model.buckets)}
-        seen: dict[str, tuple[int, ...]] = {}
-
-        def positions(word: str) -> tuple[int, ...]:
-            i = seen.get(word)
-            if i is None:
-                if len(seen) >= CACHE_WORDS:
-                    seen.clear()
-                i = seen[word] = tuple(at[h] for h in _hashes(word) if h in at)
-            return i
-
+        scores = _scorer(model)
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                found = {i for w in set(alnum_words((t or "").lower())) for i in positions(w)}
-                rows.append(np.array(sorted(found), np.int64))
-            s = model.scores(rows)
+            s = scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
     return (
@@ -187,3 +192,15 @@ def score(docs: DataFrame, model: FactorizationMachine, *, id_col: str = "doc_id
         .mapInArrow(scored, f"id {kind}, held_out boolean, score double, predicted int")
         .withColumnRenamed("id", id_col)
     )
+
+
+def drop_toxic(docs: DataFrame, model: FactorizationMachine, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows that score below the threshold, with their columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        scores = _scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
