@@ -3,11 +3,11 @@
 Every ``window`` consecutive words of an item (all its words, if it has fewer) form one window. With
 k-grams of ``gram`` words, each window keeps its minimum k-gram hash; document positions that hold the
 minimum of any window around them are the document's fingerprints (ties all stay), so every shared
-window shares the fingerprint at the same place in it. Fingerprints of documents are joined with those
-of the benchmark and each hit is extended: the document's words around it are compared with the
-item's window. Items below ``window`` words are looked up at every position by a hash of their length.
+window shares the fingerprint at the same place in it. Document fingerprints that the benchmark has
+too are joined with its windows and each hit is extended: the document's words around it are compared
+with the item's window. Items below ``window`` words are looked up at every position by a hash.
 
-The benchmark goes out in blocks of at most ``block_windows`` windows, so a broadcast has a fixed bound
+The benchmark goes out in blocks of at most ``block_windows`` windows, so what is sent has a fixed bound
 whatever the benchmark's size; documents are scanned once a block and shuffle only their hits.
 
 Defined cases: null and empty texts have no words and no hits; items without words take no part;
@@ -56,16 +56,29 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, window: int, gram
     )
 
 
-def _fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """docs with words ``w`` get ``at``: positions of k-grams that are the minimum of some window."""
-    span = window - gram + 1
-    hashed = docs.withColumn("h", F.when(F.size("w") >= window, _grams("w", gram)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    if span < 2:
-        raise ValueError("window must be longer than gram")
-    minima = F.transform(F.sequence(F.lit(0), F.size("h") - span), lambda i: F.least(*(F.get(F.col("h"), i + j) for j in range(span))))
-    lows = hashed.withColumn("m", F.when(F.size("h") >= span, minima).otherwise(F.expr("cast(array() as array<bigint>)")))
-    kept = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda p: F.greatest(*(F.get(F.col("m"), p - j) for j in range(span))) == F.get(F.col("h"), p))
-    return lows.withColumn("at", F.when(F.size("h") > 0, kept).otherwise(F.expr("cast(array() as array<int>)")))
+def _is_fingerprint(p: Column, span: int) -> Column:
+    """Whether the hash at p is the minimum of one of the windows of ``span`` hashes that hold it."""
+    near = {j: F.get(F.col("h"), p + j) for j in range(1 - span, span)}
+    windows = [F.when(near[s].isNotNull() & near[s + span - 1].isNotNull(), F.least(*(near[s + j] for j in range(span)))) for s in range(1 - span, 1)]
+    return F.coalesce(*(F.when(w == near[0], True) for w in windows), F.lit(False))
+
+
+def _spots(rows: DataFrame, size: int, hashes: list[int], window: int, gram: int) -> DataFrame:
+    """rows (row, id, w, n) get ``spots``: places and hashes of the fingerprints that the benchmark block has too."""
+    none = F.expr("cast(array() as array<struct<p:int,hash:bigint>>)")
+    if not hashes:
+        return rows.withColumn("spots", none)
+    if size == window:
+        hashed = rows.withColumn("h", F.when(F.col("n") >= window, _grams("w", gram)))
+        places = F.sequence(F.lit(0), F.size("h") - 1)
+        held = F.filter(places, lambda p: F.when(F.get(F.col("h"), p).isin(hashes), _is_fingerprint(p, window - gram + 1)).otherwise(F.lit(False)))
+        found = F.transform(held, lambda p: F.struct(p.alias("p"), F.get(F.col("h"), p).alias("hash")))
+    else:
+        hashed = rows
+        of = lambda p: F.xxhash64(F.concat_ws(" ", F.slice("w", p + 1, F.lit(size))))
+        held = F.filter(F.sequence(F.lit(0), F.col("n").cast("int") - size), lambda p: of(p).isin(hashes))
+        found = F.transform(held, lambda p: F.struct(p.alias("p"), of(p).alias("hash")))
+    return hashed.withColumn("spots", F.when(F.col("n") >= size, found).otherwise(none)).drop("h")
 
 
 def _verified(looked: DataFrame) -> DataFrame:
@@ -84,20 +97,17 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str, text_col: str, item_
     wins = item_windows(items, item_col, item_text_col, window, gram)
     sizes = {r["size"]: r["n"] for r in wins.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("w")).withColumn("n", F.size("w").cast("long"))
-    full = _fingerprints(rows, window, gram)
     parts = []
     for size in sorted({window, *sizes}, reverse=True):
         blocks = max(1, -(-sizes.get(size, 0) // block_windows))
-        own = wins.where(F.col("size") == size)
         for b in range(blocks):
-            block = own.where(F.pmod("hash", F.lit(blocks)) == b).groupBy("hash").agg(F.collect_list(F.struct("off", "win", "items")).alias("wins"))
-            if size == window:
-                mark = F.array(F.lit(-1)) if not parts else F.expr("cast(array() as array<int>)")  # -1: the document itself, once
-                spots = full.select("row", "id", "n", "w", "h", F.explode(F.concat(mark, "at")).alias("p")).withColumn("hash", F.when(F.col("p") >= 0, F.get("h", F.col("p")))).drop("h")
-            else:
-                spots = rows.where(F.col("n") >= size).select("row", "id", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - size)).alias("p"))
-                spots = spots.withColumn("hash", F.xxhash64(F.concat_ws(" ", F.slice("w", F.col("p") + 1, F.lit(size)))))
-            looked = spots.join(F.broadcast(block), "hash", "left")  # at most block_windows windows, but for equal hashes
+            block = wins.where((F.col("size") == size) & (F.pmod("hash", F.lit(blocks)) == b)).groupBy("hash").agg(F.collect_list(F.struct("off", "win", "items")).alias("wins"))
+            hashes = [r["hash"] for r in block.select("hash").collect()] if size in sizes else []
+            # what all documents get is a set of at most about block_windows numbers; words go on only from documents with a common fingerprint
+            spots = _spots(rows, size, hashes, window, gram)
+            itself = F.expr("array(named_struct('p', -1, 'hash', cast(null as bigint)))" if not parts else "cast(array() as array<struct<p:int,hash:bigint>>)")
+            at = spots.select("row", "id", "n", F.when(F.size("spots") > 0, F.col("w")).alias("w"), F.explode(F.concat(itself, "spots")).alias("s")).select("row", "id", "n", "w", "s.p", "s.hash")
+            looked = at.join(F.broadcast(block), "hash", "left")  # at most block_windows windows, but for equal hashes
             parts.append(_verified(looked.where(F.col("wins").isNotNull() | (F.col("p") < 0))).where(F.col("hits").isNull() | (F.size("hits") > 0)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -110,7 +120,7 @@ def _covered(spans: str) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  window: int = 10, gram: int = 5, block_windows: int = 200_000) -> DataFrame:
+                  window: int = 10, gram: int = 5, block_windows: int = 20_000) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, item_col=item_col, item_text_col=item_text_col, window=window, gram=gram, block_windows=block_windows)
     by_doc = found.groupBy("row").agg(F.first("id").alias("id"), F.max("n").alias("n"), F.flatten(F.collect_list("hits")).alias("hits"))
