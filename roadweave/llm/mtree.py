@@ -29,7 +29,7 @@ class MTree:
             setattr(self, name, arrays[name])
 
     @classmethod
-    def build(cls, ids: np.ndarray, vectors: np.ndarray, page: int = 128, fanout: int = 32) -> MTree:
+    def build(cls, ids: np.ndarray, vectors: np.ndarray, page: int = 512, fanout: int = 32) -> MTree:
         """Bulk load: points go to the nearest of some far-apart routing vectors, level by level."""
         x = vectors.astype(np.float64)
         nodes: list[list] = [[np.arange(len(ids)), 0, 0.0]]  # points, routing point, distance to the parent's
@@ -43,9 +43,9 @@ class MTree:
             parent.append(up)
             leaf.append(len(points) <= page)
             if leaf[-1]:
-                by_id = np.argsort(ids[points], kind="stable")
-                order.append(points[by_id])
-                entry.append(dist[by_id])
+                far = np.lexsort((ids[points], -dist))  # farthest first, so that what a bound lets through is a prefix
+                order.append(points[far])
+                entry.append(-dist[far])
                 first.append(placed)
                 placed += len(points)
                 last.append(placed)
@@ -96,59 +96,50 @@ class MTree:
         """Floating-point copies for search; whole numbers below 2**53 stay exact."""
         self.fv, self.fc = self.vectors.astype(np.float64), self.center.astype(np.float64)
         self.most = float(np.abs(self.fv).sum(1).max(initial=0))
+        self.reach = self.parent_dist + self.radius
         return self
 
-    def _products(self, exact: np.ndarray, fast: np.ndarray, q: np.ndarray, fq: np.ndarray, safe: bool) -> np.ndarray:
-        return fast @ fq if safe else (exact.astype(object) @ q.astype(object))
-
     def search(self, q: np.ndarray, k: int, own_id: int | None, floor: tuple[float, int] | None = None) -> list[tuple[int, int]]:
         """Up to k (score, id), best first, ties to the smaller id. ``floor``: (score, id) of a k-th best found elsewhere; only better ones return."""
         fq = q.astype(np.float64)
-        norm = float(np.linalg.norm(fq)) * (1 + 1e-12)
+        norm = float(np.sqrt(fq @ fq))
         safe = self.most * float(np.abs(fq).max(initial=0)) < 2**53
+        vectors, centers, asked = (self.fv, self.fc, fq) if safe else (self.vectors.astype(object), self.center.astype(object), q.astype(object))
+        slack = 1e-9 * (norm * (1 + self.most) + 1)  # above any rounding in a bound
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        worst, worst_id = (float("-inf"), 0) if floor is None else (float(floor[0]), floor[1])
-
-        def beaten(bound: float, least_id: int) -> bool:
-            return bound < worst or (bound == worst and least_id > worst_id)
-
-        def up(score, reach):
-            """Bound with room for rounding; scores are whole, so it may be cut down to a whole number."""
-            raw = score + norm * reach
-            return np.floor(raw + 1e-9 * (np.abs(raw) + 1)) if safe else raw * (1 + 1e-9 * np.sign(raw)) + 1
-
-        root = float(self._products(self.center[:1], self.fc[:1], q, fq, safe)[0])
-        todo = [(-float(up(root, self.radius[0])), 0, root)]
+        worst, worst_id = (-np.inf, 0) if floor is None else floor
+        product = centers[0] @ asked
+        todo = [(-float(product + norm * self.radius[0] + slack), 0, product)]
         while todo:
             bound, node, product = heapq.heappop(todo)
-            if beaten(-bound, -(2**63)) :
+            bound = -bound
+            if bound < worst:
                 break
-            if beaten(-bound, int(self.least_id[node])):
+            if bound < worst + 1 and self.least_id[node] > worst_id:  # scores are whole: at most ties, all with larger ids
                 continue
-            span = np.arange(self.first[node], self.last[node])
+            lo, hi = self.first[node], self.last[node]
+            need = -np.inf if worst == -np.inf else float(worst - product - slack) / norm if norm else 0.0
             if self.leaf[node]:
-                span = span[up(product, self.entry_dist[span]) >= worst]
-                if own_id is not None:
-                    span = span[self.ids[span] != own_id]
-                if not len(span):
+                hi = lo + int(np.searchsorted(self.entry_dist[lo:hi], -need, "right"))  # by the stored distance to the leaf's routing vector
+                if hi == lo:
                     continue
-                scores = self._products(self.vectors[span], self.fv[span], q, fq, safe)
-                hit = scores >= worst
-                for s, i in zip(scores[hit].tolist(), self.ids[span][hit].tolist()):
-                    if s < worst or (s == worst and i > worst_id):
+                scores = vectors[lo:hi] @ asked
+                for j in np.flatnonzero(scores >= worst).tolist():
+                    s, i = int(scores[j]), int(self.ids[lo + j])
+                    if i == own_id or s < worst or (s == worst and i > worst_id):
                         continue
-                    heapq.heappush(best, (int(s), -i))
+                    heapq.heappush(best, (s, -i))
                     if len(best) > k:
                         heapq.heappop(best)
-                    if len(best) == k and (best[0][0] > worst or (best[0][0] == worst and -best[0][1] < worst_id) or worst == float("-inf")):
+                    if len(best) == k and (best[0][0], -best[0][1]) != (worst, worst_id):
                         worst, worst_id = best[0][0], -best[0][1]
             else:
-                span = span[up(product, self.parent_dist[span] + self.radius[span]) >= worst]
-                if not len(span):
+                near = lo + np.flatnonzero(self.reach[lo:hi] >= need)  # by the stored distances, before any product
+                if not len(near):
                     continue
-                products = self._products(self.center[span], self.fc[span], q, fq, safe)
-                bounds = up(products, self.radius[span])
-                for n, p, b in zip(span.tolist(), products.tolist(), bounds.tolist()):
+                products = centers[near] @ asked
+                bounds = products + norm * self.radius[near] + slack
+                for n, p, b in zip(near.tolist(), products.tolist(), bounds.tolist()):
                     if b >= worst:
-                        heapq.heappush(todo, (-b, n, p))
+                        heapq.heappush(todo, (-float(b), n, p))
         return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))

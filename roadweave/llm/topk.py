@@ -80,7 +80,7 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, scale: float = 64.0,
-          pivots: int = 64, sample_rows: int = 4096, shard_rows: int = 8192, block_queries: int = 4096, page: int = 128) -> DataFrame:
+          pivots: int = 32, sample_rows: int = 4096, shard_rows: int = 8192, block_queries: int = 4096, page: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best other rows."""
     rows = cut(whole_vectors(df, id_col=id_col, vector_col=vector_col, scale=scale))
     chosen = _pivots(rows, pivots, sample_rows)
