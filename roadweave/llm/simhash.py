@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from roadweave.llm.common import cut
 from roadweave.llm.components import components
@@ -118,6 +118,11 @@ def shard_links(nodes: DataFrame, *, radius: int, blocks: int, max_shard: int) -
     masks = [sum(((1 << (bounds[b + 1] - bounds[b])) - 1) << bounds[b] for b in chosen) for chosen in combinations(range(blocks), agree)]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = nodes.select("fp", "id", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("j", "v"))
+    return links_in_shards(keyed, radius=radius, max_shard=max_shard)
+
+
+def links_in_shards(keyed: DataFrame, *, radius: int, max_shard: int) -> DataFrame:
+    """keyed (j, v, fp, id): one row for each shard (j, v) of a node; fp is a long or the bytes of a longer fingerprint -> links (u, v)."""
     shared = keyed.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / max_shard).cast("int")
     mine = keyed.join(shared, ["j", "v"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -139,7 +144,7 @@ def shard_links(nodes: DataFrame, *, radius: int, blocks: int, max_shard: int) -
                     x, y = cols[2][lo], cols[3][lo]
                     first = int((cols[4][lo:hi] == x).sum()) if x != y else 0
                     if x == y or 0 < first < hi - lo:
-                        links += _forest([f & (1 << 64) - 1 for f in cols[5][lo:hi].tolist()], cols[6][lo:hi].tolist(), first, radius)
+                        links += _forest([_as_int(f) for f in cols[5][lo:hi].tolist()], cols[6][lo:hi].tolist(), first, radius)
             return links, None if last else [c[cuts[-1] :] for c in cols]
 
         def batch(links):
@@ -158,21 +163,83 @@ def shard_links(nodes: DataFrame, *, radius: int, blocks: int, max_shard: int) -
     return units.repartition(*keys).sortWithinPartitions(*keys, "own", "fp").mapInArrow(linked, "u long, v long").distinct()
 
 
+def _as_int(fp: int | bytes) -> int:
+    return int.from_bytes(fp, "little") if isinstance(fp, bytes) else fp & (1 << 64) - 1
+
+
+# Wide fingerprints, for near copies down to a shingle similarity of about 0.8
+
+WIDE = 256
+#: Words of at least this many letters tell texts of one language apart; texts without any use all words.
+LONG_WORD = 5
+
+
+def _wide(values: list[bytes]) -> np.ndarray:
+    """256 bits: majority over the hashes of the values, each counted once."""
+    total = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(values), 16_384):
+        h = b"".join(xxh3_128_digest(v, 1) + xxh3_128_digest(v, 2) for v in values[lo : lo + 16_384])
+        total += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return total * 2 > len(values)
+
+
+def wide_fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, tables: int, key_bits: int) -> DataFrame:
+    """(id, fp, keys): 256 bits over distinct shingles, and ``tables`` keys of ``key_bits`` bits each from 256 bits over distinct words.
+
+    A changed word changes as many shingles as it has words but one word only, so near copies agree
+    on most word bits: a key finds them as candidates and the shingle bits decide.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rng = np.random.default_rng(5)
+    chosen = np.stack([rng.choice(WIDE, key_bits, replace=False) for _ in range(tables)])
+    weight = 1 << np.arange(key_bits, dtype=np.int64)
+
+    def hashed(batches):
+        for b in batches:
+            fps, keys = [], []
+            for text in b.column(1).to_pylist():
+                words = (text or "").encode().lower().split()
+                size = min(shingle, len(words))
+                shingles = list({b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}) if words else []
+                distinct = set(words)
+                fps.append(np.packbits(_wide(shingles), bitorder="little").tobytes())
+                keys.append((_wide([w for w in distinct if len(w) >= LONG_WORD] or list(distinct))[chosen] * weight).sum(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, f"id {kind}, fp binary, keys array<long>")
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 24, key_bits: int = 22, max_shard: int = 2048) -> DataFrame:
+    """One row per document: id, component_id. Documents are linked where their shingle sets' similarity, as wide fingerprints show it, reaches ``similarity``.
+
+    The radius follows from the similarity J of sets: cos = 2J / (1 + J) and a bit differs with
+    probability arccos(cos) / pi; half a deviation of that estimate is allowed on top.
+    """
+    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(WIDE * p + 0.5 * np.sqrt(WIDE * p * (1 - p)))
+    wide = wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables, key_bits=key_bits)
+    rows = cut(wide.select(F.col("id").cast("long").alias("id"), "fp", "keys"))
+    nodes = cut(rows.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("n")).select("fp", "n.id", "n.keys"))
+    found = components(links_in_shards(nodes.select("fp", "id", F.posexplode("keys").alias("j", "v")), radius=radius, max_shard=max_shard))
+    labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, max_shard: int = 2048) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that it reaches)."""
     rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).select(F.col("id").cast("long").alias("id"), "fp"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
     found = components(shard_links(nodes.where("id is not null"), radius=radius, blocks=blocks, max_shard=max_shard))
     labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return rows.join(labelled, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of each component those with its smallest id.
+    """The rows of docs that stay: of each component of near copies those with its smallest id.
 
     Rows of one id stay or go together; of equal rows of one id one stays. Rows without an id stay.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
+    found = near_copies(docs, id_col=id_col, **options)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
     kept = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["__gone"], "left_anti")
     repeated = cut(found.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(id_col).alias("__again")))
