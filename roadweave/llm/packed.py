@@ -14,14 +14,14 @@ def pack(a: np.ndarray) -> bytes:
     base = int(a[0] if ordered else a.min())
     rest = np.diff(a, prepend=a[0]) if ordered else a - base
     most = int(rest.max()) if int(rest.min()) >= 0 else 2**63 - 1  # a difference that wrapped keeps full width
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - 1) or w == 8)
-    return bytes([width, ordered]) + base.to_bytes(8, "little", signed=True) + rest.astype(f"<i{width}").tobytes()
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w) or w == 8)
+    return bytes([width, ordered]) + base.to_bytes(8, "little", signed=True) + rest.astype(f"<u{width}").tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
     if not data:
         return np.zeros(0, np.int64)
-    rest = np.frombuffer(data, f"<i{data[0]}", offset=10).astype(np.int64)
+    rest = np.frombuffer(data, f"<u{data[0]}", offset=10).astype(np.int64)
     base = int.from_bytes(data[2:10], "little", signed=True)
     return np.cumsum(rest) + base if data[1] else rest + base
 

@@ -199,7 +199,9 @@ def _runs(doc, crc, at, to, to_crc, to_at) -> list[np.ndarray]:
 
 
 def _run_rows(kind: int, runs: list[np.ndarray], parts: int) -> list[tuple]:
-    return [(p, kind, *map(pack, columns), None) for p, columns in _by_part(deal(runs[0], parts), *runs)] if len(runs[0]) else []
+    """Earlier passages (kind 2) are their own place, which isn't sent again."""
+    rows = _by_part(deal(runs[0], parts), *runs) if len(runs[0]) else []
+    return [(p, kind, *map(pack, c), None) if kind == 1 else (p, kind, *map(pack, c[:4]), None, None, None, None) for p, c in rows]
 
 
 def _earlier(h, doc, crc, at) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +279,7 @@ def recurring_runs(joined: DataFrame, *, window: int, gram: int, parts: int) ->
             own = pdf[pdf["kind"] == kind]
             if not len(own):
                 continue
-            cols = [np.concatenate([unpack(x) for x in own[c]]) for c in ("doc", "crc", "at", "n", "to", "to_crc", "to_at")]
+            cols = [np.concatenate([unpack(x) for x in own[c]]) for c in ("doc", "crc", "at", "n", *(("to", "to_crc", "to_at") if kind == 1 else ("doc", "crc", "at")))]
             order = np.lexsort((cols[2], cols[1], cols[0]))
             cols = [c[order] for c in cols]
             at = starts(cols[0], cols[1])
