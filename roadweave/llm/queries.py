@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadweave.llm import decontaminate, html_extract, license_scan, packing, secret_scan, simhash, substring, topk, toxicity, url_filter
 from roadweave.llm.common import table
+from roadweave.llm.oracles import ORACLE
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES", "vocabulary"]
