@@ -35,7 +35,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 from roadweave.llm.common import n_partitions
 from roadweave.llm.packed import deal, from_low_bytes, low_bytes, pack, starts, unpack
@@ -46,22 +45,82 @@ ANCHOR_BYTES = 6
 BATCH_ENTRIES = 1_500_000
 #: Windows of one earlier document that one automaton holds at most.
 AUTOMATON_WINDOWS = 16_384
-CACHE_WORDS = 500_000
 
 _ROUND = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def split_words(text: str | None) -> list[bytes]:
+def split_words(text: bytes | None) -> list[bytes]:
     """bytes.split cuts at x20 and x09-x0D only."""
-    return (text or "").encode().split()
+    return (text or b"").split()
+
+
+class WordHasher:
+    """64-bit hashes of all words of a text at once: a polynomial in the bytes, from prefix sums, then mixed."""
+
+    #: Longer texts are hashed in parts that end at white space.
+    part = 1 << 19
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            base, inverse = int(_ROUND), pow(int(_ROUND), -1, 1 << 64)
+            for name, r in (("up", base), ("down", inverse)):
+                powers = np.full(n, r, np.uint64)
+                powers[0] = 1
+                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+
+    def _hash(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash) of each word."""
+        b = np.frombuffer(data, np.uint8)
+        self._powers(max(len(b), 4096))
+        inside = np.zeros(len(b) + 2, np.int8)
+        inside[1:-1] = ~_IS_SPACE[b]
+        edges = np.flatnonzero(np.diff(inside))
+        first, end = edges[::2], edges[1::2]
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[: len(b)], out=total[1:])
+        h = (total[end] - total[first]) * self.down[first] + (end - first).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        return first, h ^ (h >> np.uint64(29))
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The words' hashes of each text; short texts are hashed together."""
+        out: list[np.ndarray] = []
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo + 1, len(texts[lo])
+            while hi < len(texts) and size + len(texts[hi]) + 1 <= self.part:
+                size += len(texts[hi]) + 1
+                hi += 1
+            if size > self.part:
+                out.append(self._long(texts[lo]))
+            else:
+                first, h = self._hash(b"\n".join(texts[lo:hi]))
+                bounds = np.cumsum([len(t) + 1 for t in texts[lo:hi]])
+                out += np.split(h, np.searchsorted(first, bounds[:-1]))
+            lo = hi
+        return out
+
+    def _long(self, text: bytes) -> np.ndarray:
+        found, at = [], 0
+        while at < len(text):
+            end = at + self.part
+            if end < len(text):
+                cut = max(text.rfind(bytes([c]), at, end) for c in np.flatnonzero(_IS_SPACE).tolist())
+                while cut < at and end < len(text):  # one word fills the part
+                    end = min(2 * end - at, len(text))
+                    cut = max(text.rfind(bytes([c]), at, end) for c in np.flatnonzero(_IS_SPACE).tolist())
+                end = cut + 1 if cut >= at else len(text)
+            found.append(self._hash(text[at:end])[1])
+            at = end
+        return np.concatenate(found)
 
 
 def _rolled(h: np.ndarray, size: int) -> np.ndarray:
@@ -69,9 +128,10 @@ def _rolled(h: np.ndarray, size: int) -> np.ndarray:
     n = len(h) - size + 1
     out = np.zeros(n, np.uint64)
     for j in range(size):
-        out = out * _ROUND + h[j : j + n]
+        out *= _ROUND
+        out += h[j : j + n]
     out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out *= _MIX
     return out ^ (out >> np.uint64(29))
 
 
@@ -85,8 +145,25 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
     return out
 
 
-def _hashes(words: list[bytes], cache: _WordHashes) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+def _windows(hasher: WordHasher, texts: list[bytes | None], window: int, gram: int, with_hashes: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(anchors, window hashes) of each text, empty below ``window`` words. Neighbouring texts are rolled over together; windows across their border are left out."""
+    none = np.zeros(0, np.uint64)
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or b"") <= hasher.part):
+            size += len(texts[hi] or b"")
+            hi += 1
+        words = hasher.texts([t or b"" for t in texts[lo:hi]])
+        h = np.concatenate(words)
+        anchors = _anchors(h, window, gram) if len(h) >= window else none
+        hashes = _rolled(h, window) if with_hashes and len(h) >= window else none
+        at = 0
+        for w in words:
+            n = len(w) - window + 1
+            yield (anchors[at : at + n], hashes[at : at + n]) if n > 0 else (none, none)
+            at += len(w)
+        lo = hi
 
 
 def _by_part(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
@@ -134,16 +211,15 @@ def shared_anchors(docs: DataFrame, *, window: int, gram: int, parts: int) -> Da
     """docs (id, text) -> (doc, anchors): for each document the sorted anchors that another document has too."""
 
     def sent(batches):
-        cache = _WordHashes()
+        hasher = WordHasher()
         ids: list[int] = []
         found: list[np.ndarray] = []
         n = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = split_words(text)
-                if len(words) >= window:
+            for doc, (anchors, _) in zip(b.column(0).to_pylist(), _windows(hasher, b.column(1).to_pylist(), window, gram, False)):
+                if len(anchors):
                     ids.append(doc)
-                    found.append(np.unique(_anchors(_hashes(words, cache), window, gram)))
+                    found.append(np.unique(anchors))
                     n += len(found[-1])
                 if n >= BATCH_ENTRIES:
                     yield _send_anchors(ids, found, parts)
@@ -245,17 +321,17 @@ def recurring_runs(joined: DataFrame, *, window: int, gram: int, parts: int) ->
         return _batch(rows, _RUNS)
 
     def sent(batches):
-        cache = _WordHashes()
+        hasher = WordHasher()
         held: list[list] = [[], [], [], [], []]
         n = 0
         for b in batches:
-            for doc, crc, text, told in zip(*(c.to_pylist() for c in b.columns)):
-                h = _hashes(split_words(text), cache)
-                if len(h) < window:
+            docs, crcs, texts, replies = (c.to_pylist() for c in b.columns)
+            for doc, crc, told, (anchor, h) in zip(docs, crcs, replies, _windows(hasher, texts, window, gram, True)):
+                if not len(anchor):
                     continue
-                anchor, known = _anchors(h, window, gram), from_low_bytes(told, ANCHOR_BYTES)
+                known = from_low_bytes(told, ANCHOR_BYTES)
                 at = np.flatnonzero(known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor)
-                for x, y in zip(held, (doc, crc, _rolled(h, window)[at], at, anchor[at])):
+                for x, y in zip(held, (doc, crc, h[at], at, anchor[at])):
                     x.append(y)
                 n += len(at)
                 if n >= BATCH_ENTRIES:
@@ -419,7 +495,7 @@ def kept_words(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), *[pa.string()] * with_text]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * with_text])
 
-    return docs.mapInArrow(reduced, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(reduced, "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13, gram: int = 5, parts: int | None = None, with_text: bool = False) -> DataFrame:
@@ -431,9 +507,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), F.crc32(F.col(text_col).cast("binary")).alias("crc"), text)
     named = rows.where("id is not null").withColumn("id", F.col("id").cast("long"))
-    anchors = shared_anchors(named.select("id", "text"), window=window, gram=gram, parts=parts)
-    runs = recurring_runs(_with(named, anchors, "inner").select("id", "crc", "text", "anchors"), window=window, gram=gram, parts=parts)
-    found = verified(passages(_with(named, runs, "inner").select("id", "crc", "text", "runs"), window), window)
+    anchors = shared_anchors(named.select("id", F.col("text").cast("binary")), window=window, gram=gram, parts=parts)
+    runs = recurring_runs(_with(named, anchors, "inner").select("id", "crc", F.col("text").cast("binary"), "anchors"), window=window, gram=gram, parts=parts)
+    found = verified(passages(_with(named, runs, "inner").select("id", "crc", F.col("text").cast("binary"), "runs"), window), window)
     last = _with(named, found, "left").select("id", "crc", "text", "found")
     nameless = rows.where("id is null").select(F.lit(None).cast("long").alias("id"), "crc", "text", F.lit(None).cast("array<struct<crc:bigint,at:binary,n:binary>>").alias("found"))
     return kept_words(last.unionByName(nameless), window, with_text).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)

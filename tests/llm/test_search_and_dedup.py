@@ -73,6 +73,20 @@ def test_packing_round_trip(values):
     assert from_low_bytes(low_bytes(h, 6), 6).tolist() == h.tolist()
 
 
+def test_word_hashes_do_not_depend_on_parts(monkeypatch):
+    rng = random.Random(9)
+    texts = [b"".join(rng.choice([b"ab", b"\x00", "é".encode(), b"long" * 40, b" ", b"\n", b"\t "]) for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    whole = substring.WordHasher().texts(texts)
+    assert [len(w) for w in whole] == [len(t.split()) for t in texts]
+    seen: dict[bytes, int] = {}
+    for t, w in zip(texts, whole):
+        for word, h in zip(t.split(), w.tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    monkeypatch.setattr(substring.WordHasher, "part", 50)
+    assert [w.tolist() for w in substring.WordHasher().texts(texts)] == [w.tolist() for w in whole]
+
+
 def repeat_docs(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
