@@ -129,7 +129,7 @@ def _train(buckets: np.ndarray, x: list[np.ndarray], y: np.ndarray, w0: float, f
     rng, n = np.random.default_rng(seed), len(buckets)
     m = FactorizationMachine(buckets, w0, np.zeros(n), rng.normal(0, 0.01, (n, factors)))
     g0, gw, gv = 1e-6, np.full(n, 1e-6), np.full((n, factors), 1e-6)
-    rate, l2w, l2v, size = 0.25, 2e-5, 5e-4, 256
+    rate, l2w, l2v, size = 0.25, 2e-5, 5e-4, min(256, max(16, len(x) // 40))  # small samples get enough steps too
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), size):
