@@ -10,6 +10,7 @@ from roadweave.functions.scalars import safe_float
 from roadweave.functions.vocabulary import EXPORT_EDGE_FEATURES, EXPORT_NODE_WIDTH
 from roadweave.operators.graphs import GraphConfig, build_graphs
 
+# Names under which an edge may give its ends, first match first.
 SOURCE_NAMES = ["src_node", "source", "src", "from", "u", "sender", "src_id", "src_node_id", "src_track_id"]
 TARGET_NAMES = ["dst_node", "target", "dst", "to", "v", "receiver", "dst_id", "dst_node_id", "dst_track_id"]
 

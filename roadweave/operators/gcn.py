@@ -63,23 +63,29 @@ def pool_nodes(nodes: DataFrame, key: list[str], width: int, how: str = "mean",
     return nodes.groupBy(*key).agg(F.array(*(f(F.get(F.col(column), F.lit(j))) for j in range(width))).alias(column))
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, key: list[str], width: int) -> DataFrame:
-    """nodes (key, node_id, h), edges (key, src, dst) -> h with self-loops and symmetric normalisation; degrees count incoming edges."""
+def normalized_edges(nodes: DataFrame, edges: DataFrame, key: list[str]) -> DataFrame:
+    """(key, src, dst, w): edges and self-loops with w = 1 / sqrt(degree of src x degree of dst); degrees count incoming edges and the loop."""
     degree = edges.groupBy(*key, F.col("dst").alias("node_id")).agg(F.count("*").alias("d"))
-    scaled = nodes.join(degree, [*key, "node_id"], "left").withColumn("d", F.coalesce("d", F.lit(0)) + 1.0).withColumn("h", F.transform("h", lambda v: v / F.sqrt("d")))
-    moved = edges.select(*key, "src", "dst").join(scaled.select(*key, F.col("node_id").alias("src"), "h"), [*key, "src"]).select(*key, F.col("dst").alias("node_id"), "h")
-    every = moved.unionByName(scaled.select(*key, "node_id", "h"))
-    summed = every.groupBy(*key, "node_id").agg(F.array(*(F.sum(F.get("h", F.lit(j))) for j in range(width))).alias("h"))
-    return summed.join(scaled.select(*key, "node_id", "d"), [*key, "node_id"]).select(*key, "node_id", F.transform("h", lambda v: v / F.sqrt("d")).alias("h"))
+    scale = nodes.select(*key, "node_id").join(degree, [*key, "node_id"], "left").select(*key, "node_id", (1 / F.sqrt(F.coalesce("d", F.lit(0)) + 1.0)).alias("s"))
+    of = lambda end: scale.select(*key, F.col("node_id").alias(end), F.col("s").alias(f"s_{end}"))
+    moved = edges.select(*key, "src", "dst").join(of("src"), [*key, "src"]).join(of("dst"), [*key, "dst"])
+    loops = scale.select(*key, F.col("node_id").alias("src"), F.col("node_id").alias("dst"), (F.col("s") * F.col("s")).alias("w"))
+    return moved.select(*key, "src", "dst", (F.col("s_src") * F.col("s_dst")).alias("w")).unionByName(loops)
+
+
+def propagate(h: DataFrame, weights: DataFrame, key: list[str], width: int) -> DataFrame:
+    """(key, node_id, h): weighted sums over incoming edges. All layers read the same exchange of the weights."""
+    sent = weights.join(h.withColumnRenamed("node_id", "src"), [*key, "src"])
+    return sent.groupBy(*key, F.col("dst").alias("node_id")).agg(F.array(*(F.sum(F.get("h", F.lit(j)) * F.col("w")) for j in range(width))).alias("h"))
 
 
 def forward(nodes: DataFrame, edges: DataFrame, key: list[str], model: GCNModel, features_col: str = "features") -> DataFrame:
-    """(key, logit) of each graph. The product with W comes before the sum over neighbours when it is the narrower."""
+    """(key, logit) of each graph. The product with W comes before the sum over neighbours."""
     h = nodes.select(*key, "node_id", F.col(features_col).cast("array<double>").alias("h"))
-    width = model.in_channels
+    weights, width = normalized_edges(nodes, edges, key), model.in_channels
     for layer in range(model.num_layers):
         w, b = model.weights[2 * layer], model.weights[2 * layer + 1]
-        h = propagate(h.withColumn("h", _linear(F.col("h"), w)), edges, key, model.hidden)
+        h = propagate(h.withColumn("h", _linear(F.col("h"), w)), weights, key, model.hidden)
         h = h.withColumn("h", F.zip_with("h", F.array(*(F.lit(float(v)) for v in b)), lambda u, v: F.greatest(u + v, F.lit(0.0))))
         width = model.hidden
     w, b = model.weights[-2], model.weights[-1]

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from roadweave.functions.scalars import sigmoid
 
 
+# Warnings of a validation summary.
+FEW = "validation split has fewer than 10 samples; metrics may be unstable"
+ONE_CLASS = "validation split is single-class; binary metrics are not reliable"
+NO_POSITIVES = "model predicted zero positive samples at threshold 0.5"
+
+
 def _counts(y: Column, p: Column) -> dict[str, Column]:
     n = lambda a, b: F.count(F.when((y == a) & (p == b), 1))
     return {"tp": n(1, 1), "tn": n(0, 0), "fp": n(0, 1), "fn": n(1, 0)}
@@ -85,9 +91,9 @@ def validation_summary(rows: DataFrame, y_col: str = "label", pred_col: str = "p
         F.count(F.when(p == 1, 1)).alias("val_pred_positive_count"), F.count(F.when(p == 0, 1)).alias("val_pred_negative_count"), *(c.alias(k) for k, c in _counts(y, p).items()),
     )
     warn = [
-        F.when(F.col("val_sample_count") < 10, "validation split has fewer than 10 samples; metrics may be unstable"),
-        F.when((F.col("val_positive_count") == 0) | (F.col("val_negative_count") == 0), "validation split is single-class; binary metrics are not reliable"),
-        F.when((F.col("val_pred_positive_count") == 0) & (F.col("val_sample_count") > 0), "model predicted zero positive samples at threshold 0.5"),
+        F.when(F.col("val_sample_count") < 10, FEW),
+        F.when((F.col("val_positive_count") == 0) | (F.col("val_negative_count") == 0), ONE_CLASS),
+        F.when((F.col("val_pred_positive_count") == 0) & (F.col("val_sample_count") > 0), NO_POSITIVES),
     ]
     return out.withColumn("warnings", F.filter(F.array(*warn), lambda w: w.isNotNull()))
 

@@ -15,7 +15,7 @@ def keys_of(df: DataFrame, *names: str, video_col: str = "video_id", per_video:
 
 def add_time_seconds(df: DataFrame, fps: float, frame_col: str = "frame_idx") -> DataFrame:
     if fps <= 0:
-        raise ValueError(f"fps must be > 0, got {fps}")
+        raise ValueError(f"fps has to be positive: {fps}")
     require_columns(df, frame_col)
     return df.withColumn("t_sec", F.col(frame_col).cast("double") / F.lit(float(fps)))
 
@@ -26,7 +26,7 @@ def smooth_positions(df: DataFrame, order_col: str, track_id_col: str = "track_i
     ``order_col`` stands for row order. An even window reaches one row further back than ahead.
     """
     if window < 1:
-        raise ValueError(f"window must be >= 1, got {window}")
+        raise ValueError(f"window has to hold a row at least: {window}")
     require_columns(df, order_col, track_id_col, x_col, y_col)
     near = Window.partitionBy(*keys_of(df, track_id_col, per_video=per_video)).orderBy(order_col).rowsBetween(-(window // 2), (window - 1) // 2)
     return df.withColumns({c: F.avg(nan_to_null(c)).over(near) for c in (x_col, y_col)})
@@ -38,7 +38,7 @@ def compute_kinematics(df: DataFrame, track_id_col: str = "track_id", frame_col:
     Null at a track's first row and where time stands still.
     """
     if fps <= 0:
-        raise ValueError(f"fps must be > 0, got {fps}")
+        raise ValueError(f"fps has to be positive: {fps}")
     require_columns(df, track_id_col, frame_col, x_col, y_col)
     along = Window.partitionBy(*keys_of(df, track_id_col, per_video=per_video)).orderBy(frame_col)
     step = lambda c: c - F.lag(c).over(along)
@@ -77,18 +77,23 @@ def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float,
 
 
 def find_nearby_pairs(df: DataFrame, frame_col: str = "frame_idx", track_col: str = "track_id", x_col: str = "x_m", y_col: str = "y_m", distance_threshold: float = 15.0,
-                      speed_col: str | None = None, bucketed: bool = False, per_video: bool = True) -> DataFrame:
-    """(frame, track_id_a, track_id_b, dist[, rel_speed]): pairs strictly closer than the threshold, ids ordered as strings."""
+                      speed_col: str | None = None, bucketed: bool = False, per_video: bool = True, mark_repeated: bool = False) -> DataFrame:
+    """(frame, track_id_a, track_id_b, dist[, rel_speed]): pairs strictly closer than the threshold, ids ordered as strings.
+
+    ``mark_repeated`` adds ``repeated``: whether a track of the pair has several rows in the frame.
+    """
     require_columns(df, frame_col, track_col, x_col, y_col)
     key = keys_of(df, frame_col, per_video=per_video)
     speed = speed_col if speed_col and speed_col in df.columns else None
     points = df.select(
         *key, F.col(track_col).cast("string").alias("track"), nan_to_null(x_col).alias("x_m"), nan_to_null(y_col).alias("y_m"), *([nan_to_null(speed).alias("speed")] if speed else [])
     ).where(F.col(frame_col).isNotNull())
+    if mark_repeated:  # partitioned by track already where kinematics came before
+        points = points.withColumn("repeated", F.count("*").over(Window.partitionBy(*key, "track")) > 1)
     pairs = pairs_within(points, key, "track", distance_threshold, bucketed=bucketed)
     return pairs.select(
         *(F.col("a")[k].alias(k) for k in key), F.col("a.track").alias("track_id_a"), F.col("b.track").alias("track_id_b"), "dist",
-        *([F.abs(F.col("a.speed") - F.col("b.speed")).alias("rel_speed")] if speed else []),
+        *([F.abs(F.col("a.speed") - F.col("b.speed")).alias("rel_speed")] if speed else []), *([(F.col("a.repeated") | F.col("b.repeated")).alias("repeated")] if mark_repeated else []),
     )
 
 
@@ -98,30 +103,16 @@ def compute_conflict_pairs(df: DataFrame, frame_col: str = "frame_idx", track_co
 
     Duplicate rows of a track in a frame count as near frames, once each, but their distances and speeds don't.
     """
-    near = find_nearby_pairs(df, frame_col, track_col, x_col, y_col, distance_threshold, speed_col, bucketed, per_video)
-    key = keys_of(df, per_video=per_video)
-    if "rel_speed" not in near.columns:
-        near = near.withColumn("rel_speed", F.lit(None).cast("double"))
-    counts = df.groupBy(*key, F.col(frame_col).alias("__f"), F.col(track_col).cast("string").alias("__t")).agg(F.count("*").alias("__n")).where("__n > 1")
-    seen = near.groupBy(*key, frame_col, "track_id_a", "track_id_b").agg(F.count("*").alias("__rows"), F.min("dist").alias("dist"), F.min("rel_speed").alias("rel_speed"))
-    for side in ("a", "b"):
-        dup = counts.select(*(F.col(k).alias(f"__{k}_{side}") for k in key), F.col("__f").alias(f"__f_{side}"), F.col("__t").alias(f"__t_{side}"), F.lit(True).alias(f"__dup_{side}"))
-        on = [F.col(k).eqNullSafe(F.col(f"__{k}_{side}")) for k in key] + [F.col(frame_col) == F.col(f"__f_{side}"), F.col(f"track_id_{side}") == F.col(f"__t_{side}")]
-        seen = seen.join(dup, on, "left")
-    valid = F.col("__dup_a").isNull() & F.col("__dup_b").isNull()
-    return _pair_summary(seen.select(*key, frame_col, "track_id_a", "track_id_b", "__rows", F.when(valid, F.col("dist")).alias("dist"), F.when(valid, F.col("rel_speed")).alias("rel_speed")), key, frame_col, min_interaction_frames)
-
-
-def _pair_summary(seen: DataFrame, key: list[str], frame_col: str, min_frames: int) -> DataFrame:
+    near = find_nearby_pairs(df, frame_col, track_col, x_col, y_col, distance_threshold, speed_col, bucketed, per_video, mark_repeated=True)
+    dist, speed = F.when(~F.col("repeated"), F.col("dist")), F.when(~F.col("repeated"), F.col("rel_speed")) if "rel_speed" in near.columns else F.lit(None).cast("double")
     return (
-        seen.groupBy(*key, "track_id_a", "track_id_b")
+        near.groupBy(*keys_of(df, per_video=per_video), "track_id_a", "track_id_b")
         .agg(
-            F.sort_array(F.flatten(F.collect_list(F.array_repeat(F.col(frame_col), F.col("__rows").cast("int"))))).alias("frame_indices"), F.sum("__rows").alias("n_frames"),
-            F.coalesce(F.min("dist"), F.lit(float("inf"))).alias("min_distance"),
-            F.coalesce(F.min(F.when(F.col("dist").isNotNull(), F.struct("dist", F.col(frame_col).alias("f"))))["f"], F.lit(-1)).alias("min_distance_frame"),
-            F.coalesce(F.avg("rel_speed"), F.lit(0.0)).alias("avg_relative_speed"),
+            F.sort_array(F.collect_list(frame_col)).alias("frame_indices"), F.count("*").alias("n_frames"), F.coalesce(F.min(dist), F.lit(float("inf"))).alias("min_distance"),
+            F.coalesce(F.min(F.when(~F.col("repeated"), F.struct("dist", F.col(frame_col).alias("f"))))["f"], F.lit(-1)).alias("min_distance_frame"),
+            F.coalesce(F.avg(speed), F.lit(0.0)).alias("avg_relative_speed"),
         )
-        .where(F.col("n_frames") >= min_frames)
+        .where(F.col("n_frames") >= min_interaction_frames)
     )
 
 

@@ -410,7 +410,8 @@ def _gcn_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 @query
 def gcn_forward(spark, sf_dir):
     model = gcn.GCNModel(3, 2, 2, "mean", weights=[np.array(w) for w in GCN_WEIGHTS])
-    return gcn.forward(*_gcn_tables(spark, sf_dir), KEY, model).select("frame_id", r6("logit"))
+    nodes, edges = (t.persist() for t in _gcn_tables(spark, sf_dir))  # every layer reads both
+    return gcn.forward(nodes, edges, KEY, model).select("frame_id", r6("logit"))
 
 
 def _pool(how: str) -> Query:
