@@ -43,7 +43,9 @@ HINTS = re.compile(
 )
 ROLES = re.compile(r"""role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form)\b""")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
-NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Names like sideBar come apart; names like has-sidebar speak of the page's layout, not of what the element holds.
+CAMEL, LAYOUT = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"\b(?:has|with|no|without|hide|show)[-_][\w-]*")
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED.split())})\b[^>]*(?<!/)>.*?(?:</\1\b[^>]*>|\Z)"
     r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+>|[^>]*>?)|<[!?/][^>]*>?""",
@@ -78,7 +80,8 @@ def _is_zone(name: str, attrs: str, in_main: bool) -> bool:
     low = attrs.lower()
     if ROLES.search(low) or HIDDEN.search(low):
         return True
-    return any(HINTS.search(next(filter(None, m), "")) for m in NAMES.findall(low))
+    names = (next(filter(None, m), "") for m in NAMES.findall(attrs))
+    return any(HINTS.search(LAYOUT.sub(" ", CAMEL.sub("-", n).lower())) for n in names)
 
 
 def blocks_of(page: str) -> list[Block]:

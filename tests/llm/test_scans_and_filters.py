@@ -180,6 +180,15 @@ def test_odd_pages(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    ("name", "stays"),
+    [("sideBar", False), ("page has-sidebar", True), ("ad-slot", False), ("advertisement", False), ("adhesive", True), ("user_comments", False), ("newsletter-signup", False), ("headline", True), ("cookieConsent", False), ("story", True)],
+)
+def test_zones_by_name(name, stays):
+    text = "This is the text of the page and it is as long as it was in the book that we have read in all of the days of the year and more."
+    assert (html_extract.main_text(f"<div class='{name}'><p>{text}</p></div>") == text) == stays
+
+
 def test_short_blocks_inherit():
     long_block = "<p>This is the text of the page and it is as long as it was in the book that we have read in all of the days of the year and more.</p>"
     assert html_extract.main_text(f"<div>{long_block}<p>Tiny.</p>{long_block}</div>").count("\n") == 2
