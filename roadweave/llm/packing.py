@@ -13,7 +13,8 @@ so a task that runs again after a lost executor makes the same rows.
 
 Ids are those of the tokenizers library for the given vocabulary; by default the tiktoken library
 computes them from the same vocabulary's ranks, about four times as fast. Texts with characters that the
-two libraries' Unicode tables may class differently are given to tokenizers itself.
+two libraries' Unicode tables may class differently, or with very long runs of white space, are given
+to tokenizers itself.
 
 Defined cases: a null text is empty: one piece with the end id; repeated rows are packed each; an
 empty table gives no rows; other columns are ignored. Texts of special tokens are ordinary text.
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 
 #: Characters whose classes are old and stable: ASCII, Latin-1 letters and signs, general punctuation, Greek and Cyrillic letters, CJK ideographs.
 _STABLE = re.compile("[\t\n\r\x20-\x7e¡-ɏΑ-ωА-я‐-‧‰-⁞一-龥]*+").fullmatch
+#: Longer runs of white space, on which tiktoken's pattern can run out of stack, go to tokenizers.
+_LONG_SPACE = re.compile(r"\s{1024}").search
 
 
 class Encoder:
@@ -56,7 +59,7 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        ids = self.fast.encode_ordinary(text) if self.fast and _STABLE(text) else self.exact.encode(text, add_special_tokens=False).ids
+        ids = self.fast.encode_ordinary(text) if self.fast and _STABLE(text) and not _LONG_SPACE(text) else self.exact.encode(text, add_special_tokens=False).ids
         return np.array([*ids, self.end_id], np.uint32)
 
 
