@@ -33,26 +33,60 @@ ALLOWED = [
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"^(?:sha(?:1|256|384|512)|md5)-",
-    r"^[/_=-]*(?:[A-Za-z]+[0-9]{0,4}[/_=-]+)+[A-Za-z]*[0-9]{0,4}$",
+    # possessive, so that very long strings of many words don't take the matcher's stack
+    r"^[/_=-]*+(?:[A-Za-z]++[0-9]{0,4}+[/_=-]++)++[A-Za-z]*+[0-9]{0,4}+$",
 ]
 #: Least entropy in bits of a window of ENTROPY_WINDOW characters, by character class.
 ENTROPY_WINDOW = 20
+#: Results of a row that are appended at a time.
+CHUNK = 256
 THRESHOLDS = {"hex_entropy": 3.0, "mixed_entropy": 3.7}
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once a row though ``use`` names it in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _gathered(items: Column, state: Column, step, kind: str) -> Column:
+    """Array of what ``step(state, item) -> (state, array of results)`` gives along the items.
+
+    Results are appended in chunks, so that a row with very many of them isn't copied for each.
+    """
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def inner(acc: Column, x: Column) -> Column:
+        now, found = step(acc["at"], x)
+        return F.struct(now.alias("at"), F.concat(acc["out"], found).alias("out"))
+
+    def outer(xs: Column) -> Column:
+        chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(xs), F.lit(1)) - 1) / CHUNK).cast("int"))
+        start = F.struct(state.alias("at"), F.expr(f"cast(array() as array<array<{kind}>>)").alias("out"))
+
+        def chunk(acc: Column, c: Column) -> Column:
+            part = F.aggregate(F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)), F.struct(acc["at"].alias("at"), none.alias("out")), inner)
+            return _bound(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+
+        return F.flatten(F.aggregate(chunks, start, chunk)["out"])
+
+    return _bound(items, outer)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (s, e, m): leftmost non-overlapping matches with their places in code points."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    kind = "struct<s:int,e:int,m:string>"
+    none = F.expr(f"cast(array() as array<{kind}>)")
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["p"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + F.length(x["p"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        one = F.when(x["m"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
-        return F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out"))
+        return e, F.when(x["m"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
 
-    return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), _gathered(pieces, F.lit(0), step, kind)).otherwise(none)
+
+
+SPAN = "struct<s:int,k:int,e:int,kind:string>"
 
 
 def _spans(found: Column, kind: str, rank: int) -> Column:
@@ -64,28 +98,45 @@ def _n_log_n(n: Column) -> Column:
 
 
 def hot_range(text: Column, threshold: Column, window: int = ENTROPY_WINDOW) -> Column:
-    """(first, last): the characters of an ASCII string from the first to the last window of at least this entropy; nulls if there is none."""
+    """(first, last): the characters of an ASCII string from the first to the last window of at least this entropy; nulls if there is none.
+
+    The 128 counts are the characters of one string (a count of 0 is the space), so a step overwrites
+    two of them; ``window`` is at most 90.
+    """
     codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
-    gone = F.concat(F.array_repeat(F.lit(-1), window), codes)  # what leaves when a character enters; -1: nothing
-    steps = F.filter(F.zip_with(codes, gone, lambda a, b: F.struct(a.alias("come"), b.alias("go"))), lambda x: x["come"].isNotNull())
+
+    def count(n: Column, code: Column) -> Column:
+        return F.ascii(F.substring(n, code + 1, F.lit(1))) - 32
+
+    def with_count(n: Column, code: Column, value: Column) -> Column:
+        return F.overlay(n, F.char(value + 32), code + 1, F.lit(1))
+
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
+        F.lit(" " * 128).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")
     )
 
     def move(acc: Column, x: Column) -> Column:
-        out = F.get(acc["n"], x["go"])
-        s1 = acc["s"] - F.when(x["go"] < 0, 0.0).otherwise(_n_log_n(out) - _n_log_n(out - 1))
-        before = F.get(acc["n"], x["come"]) - (x["go"] == x["come"]).cast("int")
-        s2 = s1 + _n_log_n(before + 1) - _n_log_n(before)
-        n = F.transform(acc["n"], lambda v, j: v + (j == x["come"]).cast("int") - (j == x["go"]).cast("int"))
-        i = acc["i"] + 1
-        hot = (i >= window) & ((F.log2(F.lit(float(window))) - s2 / window) >= threshold - 1e-9)
-        return F.struct(
-            n.alias("n"), s2.alias("s"), i.alias("i"),
-            F.coalesce(acc["first"], F.when(hot, i - window)).alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"),
-        )
+        leaves = F.when(x["go"] < 0, F.struct(acc["n"].alias("n"), acc["s"].alias("s"))).otherwise(_bound(count(acc["n"], x["go"]), lambda c: F.struct(
+            with_count(acc["n"], x["go"], c - 1).alias("n"), (acc["s"] - _n_log_n(c) + _n_log_n(c - 1)).alias("s"))))
+        enters = _bound(leaves, lambda v: _bound(count(v["n"], x["come"]), lambda c: F.struct(
+            with_count(v["n"], x["come"], c + 1).alias("n"), (v["s"] + _n_log_n(c + 1) - _n_log_n(c)).alias("s"))))
 
-    return F.aggregate(steps, start, move, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+        def moved(v: Column) -> Column:
+            i = acc["i"] + 1
+            hot = (i >= window) & ((F.log2(F.lit(float(window))) - v["s"] / window) >= threshold - 1e-9)
+            return F.struct(
+                v["n"].alias("n"), v["s"].alias("s"), i.alias("i"),
+                F.coalesce(acc["first"], F.when(hot, i - window)).alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"),
+            )
+
+        return _bound(enters, moved)
+
+    def scanned(codes: Column) -> Column:
+        gone = F.concat(F.array_repeat(F.lit(-1), window), codes)  # what leaves when a character enters; -1: nothing
+        steps = F.filter(F.zip_with(codes, gone, lambda a, b: F.struct(a.alias("come"), b.alias("go"))), lambda x: x["come"].isNotNull())
+        return F.aggregate(steps, start, move, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
+    return _bound(codes, scanned)
 
 
 def entropy_spans(text: Column) -> Column:
@@ -94,11 +145,11 @@ def entropy_spans(text: Column) -> Column:
 
     def span(x: Column) -> Column:
         is_hex = x["m"].rlike("^[0-9a-fA-F]+$")
-        hot = hot_range(x["m"], F.when(is_hex, THRESHOLDS["hex_entropy"]).otherwise(THRESHOLDS["mixed_entropy"]))
-        return F.struct(
+        hot_hex, hot_mixed = (hot_range(x["m"], F.lit(THRESHOLDS[kind])) for kind in ("hex_entropy", "mixed_entropy"))
+        return _bound(F.when(is_hex, hot_hex).otherwise(hot_mixed), lambda hot: F.struct(
             (x["s"] + hot["first"]).alias("s"), F.when(is_hex, 3).otherwise(4).alias("k"), (x["s"] + hot["last"]).alias("e"),
             F.when(is_hex, "hex_entropy").otherwise("mixed_entropy").alias("kind"),
-        )
+        ))
 
     return F.filter(F.transform(candidates, span), lambda x: x["s"].isNotNull())
 
@@ -121,8 +172,14 @@ def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
         entropy_spans(F.col("__t")).alias("__more"),
     )
     base = base.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
-    more = F.filter("__more", lambda x: ~F.exists("__base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-    return base.withColumn("__spans", F.array_sort(F.concat("__base", more)))
+
+    def merged(to: Column, x: Column) -> tuple[Column, Column]:
+        """to: the furthest end of the base spans so far, which come first of those that start alike."""
+        none = F.expr(f"cast(array() as array<{SPAN}>)")
+        return F.when(x["k"] < 3, F.greatest(to, x["e"])).otherwise(to), F.when((x["k"] < 3) | (x["e"] > to), F.array(x)).otherwise(none)
+
+    spans = _gathered(F.array_sort(F.concat("__base", "__more")), F.lit(-1), merged, SPAN)
+    return base.withColumn("__spans", F.when(F.size("__more") > 0, spans).otherwise(F.col("__base")))
 
 
 def _joined(spans: str) -> Column:
