@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import ascii_lower
+from roadweave.llm.common import ascii_lower, cut
 
 # Host and path prefix, with the verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -72,8 +72,10 @@ def template_verdicts(urls: DataFrame, *, depth: int, max_children: int, z: floa
         parent = ["g_host", *(f"g_s{j}" for j in range(1, i))]
         kids = leaf.groupBy(*parent).agg(F.countDistinct(f"g_s{i}").alias("kids")).where(F.col("kids") > max_children)
         leaf = leaf.join(kids, parent, "left").withColumn(f"g_s{i}", F.when(F.col("kids").isNotNull() & (F.col(f"g_s{i}") != ""), "*").otherwise(F.col(f"g_s{i}"))).drop("kids")
-    total = leaf.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("up_a"), F.coalesce(F.sum("n"), F.lit(0)).alias("up_n"))
-    out = leaf.crossJoin(total).withColumn("up", (F.col("up_a") + 1.0) / (F.col("up_n") + 2.0))  # total is one row
+    leaf = cut(leaf)  # read once for each level below
+    total = leaf.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()  # two numbers
+    up_a, up_n = (F.lit(total[c]).cast("long") for c in ("a", "n"))
+    out = leaf.withColumns({"up_a": up_a, "up_n": up_n, "up": (up_a + 1.0) / (up_n + 2.0)})
     for i in range(depth + 1):
         at = ["g_host", *(f"g_s{j}" for j in range(1, i + 1))]
         node = leaf.groupBy(*at).agg(F.sum("a").alias("node_a"), F.sum("n").alias("node_n"))
