@@ -19,7 +19,8 @@ kin AS (SELECT *, (speed_mps - lag(speed_mps) OVER (PARTITION BY track_id ORDER
 
 
 def rounded(*names: str) -> str:
-    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+    """Rounded columns; adding 0.0 gives every zero one sign, as decimal rounding does."""
+    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names)
 
 
 ORACLE["time_seconds"] = f"WITH {TRACKS} SELECT track_id, frame_idx, round(frame_idx / 30.0::DOUBLE, 6) AS t_sec FROM tracks"
@@ -139,7 +140,7 @@ SELECT frame_id, num_nodes, track_ids, 12 AS width, src, dst, CAST(CASE WHEN src
 ORACLE["graph_tensors"] = f"""WITH {GRAPH}, e AS (SELECT frame_id, CAST(count(*) AS INTEGER) AS m, CAST(sum(src * 3 + dst) AS INTEGER) AS mark FROM fwd GROUP BY frame_id),
 n AS (SELECT frame_id, CAST(count(*) AS INTEGER) AS n FROM nodes GROUP BY frame_id) SELECT frame_id, n, coalesce(m, 0) AS m, coalesce(mark, 0) AS mark FROM n LEFT JOIN e USING (frame_id)"""
 ORACLE["node_slices"] = f"WITH {NODES} SELECT frame_id, node_id, 11 AS base, 8 AS kin, round(speed, 6) AS speed, size_prior, actor_class AS name FROM full_nodes"
-ORACLE["edge_slices"] = f"WITH {GRAPH} SELECT frame_id, src, dst, round(distance, 6) AS r0, round(relative_speed, 6) AS r1, round(closing_speed, 6) AS r2, round(ttc, 6) AS r3, same_class AS r4, size_src AS r5, size_dst AS r6 FROM edges"
+ORACLE["edge_slices"] = f"WITH {GRAPH} SELECT frame_id, src, dst, round(distance, 6) AS r0, round(relative_speed, 6) AS r1, round(closing_speed, 6) + 0.0 AS r2, round(ttc, 6) AS r3, same_class AS r4, size_src AS r5, size_dst AS r6 FROM edges"
 
 _kept = "kept AS (SELECT * FROM full_nodes WHERE class_index IN (0, 4, 5))"
 _sub = """ren AS (SELECT frame_id, node_id, row_number() OVER (PARTITION BY frame_id ORDER BY node_id) - 1 AS n FROM {rel}),
