@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest, xxh64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
 from roadweave.llm.common import cut
 from roadweave.llm.components import components
+from roadweave.llm.packed import mix
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
@@ -170,8 +171,31 @@ def _as_int(fp: int | bytes) -> int:
 # Wide fingerprints, for near copies down to a shingle similarity of about 0.8
 
 WIDE = 256
-#: Words of at least this many letters tell texts of one language apart; texts without any use all words.
-LONG_WORD = 5
+#: MinHash bands: texts of shingle similarity J share a band with probability 1 - (1 - J^ROWS)^BANDS, 0.9998 at 0.8, whatever their length.
+BANDS, ROWS = 48, 8
+_MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
+_BAND_MIX = np.random.default_rng(6).integers(0, 1 << 63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, in order; fewer words than a shingle: the whole sequence is one."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    size, joined = min(shingle, len(words)), b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts = (ends - lens)[: len(words) - size + 1]
+    return np.unique(np.array([xxh3_64_intdigest(joined[s:e]) for s, e in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key for each MinHash band of a set of shingle hashes."""
+    least, low = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32), hashes.astype(np.uint32)
+    for lo in range(0, len(low), 512):  # bounded memory, and products that stay in the cache
+        np.minimum(least, (low[lo : lo + 512, None] * _MULTIPLIERS).min(0), out=least)
+    bands = np.arange(BANDS, dtype=np.uint64) << np.uint64(58)
+    return mix((least.reshape(BANDS, ROWS) * _BAND_MIX).sum(1, dtype=np.uint64) ^ bands).view(np.int64)
 
 
 def _wide(values: list[bytes]) -> np.ndarray:
@@ -183,33 +207,23 @@ def _wide(values: list[bytes]) -> np.ndarray:
     return total * 2 > len(values)
 
 
-def wide_fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int, tables: int, key_bits: int) -> DataFrame:
-    """(id, fp, keys): 256 bits over distinct shingles, and ``tables`` keys of ``key_bits`` bits each from 256 bits over distinct words.
-
-    A changed word changes as many shingles as it has words but one word only, so near copies agree
-    on most word bits: a key finds them as candidates and the shingle bits decide.
-    """
+def wide_fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, keys): 256 bits over distinct shingles, and the keys of their MinHash bands, which find candidates; the bits decide."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rng = np.random.default_rng(5)
-    chosen = np.stack([rng.choice(WIDE, key_bits, replace=False) for _ in range(tables)])
-    weight = 1 << np.arange(key_bits, dtype=np.int64)
 
     def hashed(batches):
         for b in batches:
             fps, keys = [], []
             for text in b.column(1).to_pylist():
-                words = (text or "").encode().lower().split()
-                size = min(shingle, len(words))
-                shingles = list({b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}) if words else []
-                distinct = set(words)
-                fps.append(np.packbits(_wide(shingles), bitorder="little").tobytes())
-                keys.append((_wide([w for w in distinct if len(w) >= LONG_WORD] or list(distinct))[chosen] * weight).sum(1))
+                hashes = shingle_hashes(text, shingle)
+                fps.append(np.packbits(_wide([h.tobytes() for h in hashes]), bitorder="little").tobytes())
+                keys.append(band_keys(hashes))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, f"id {kind}, fp binary, keys array<long>")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tables: int = 24, key_bits: int = 22, max_shard: int = 2048) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_shard: int = 2048) -> DataFrame:
     """One row per document: id, component_id. Documents are linked where their shingle sets' similarity, as wide fingerprints show it, reaches ``similarity``.
 
     The radius follows from the similarity J of sets: cos = 2J / (1 + J) and a bit differs with
@@ -217,7 +231,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(WIDE * p + 0.5 * np.sqrt(WIDE * p * (1 - p)))
-    wide = wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, tables=tables, key_bits=key_bits)
+    wide = wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
     rows = cut(wide.select(F.col("id").cast("long").alias("id"), "fp", "keys"))
     nodes = cut(rows.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("n")).select("fp", "n.id", "n.keys"))
     found = components(links_in_shards(nodes.select("fp", "id", F.posexplode("keys").alias("j", "v")), radius=radius, max_shard=max_shard))

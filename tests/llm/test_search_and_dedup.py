@@ -184,6 +184,22 @@ def test_near_copies_stay_once_and_clean_ones_stay(spark):
     assert kept == [*range(40), 200]
 
 
+def test_short_near_copies_are_found(spark):
+    """One word replaced at the end of texts of few words: shingle similarity (n - 5) / (n - 3), found whatever the length."""
+    rng, rows, want = random.Random(4), [], []
+    for n in (13, 15, 20, 27, 40):
+        for _ in range(60):
+            words = [f"w{rng.randrange(10**6)}" if rng.random() < 0.7 else f"longword{rng.randrange(10**6)}" for _ in range(n)]
+            want.append(len(rows))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], "changed"]))]
+    lengths = {i: len(t.split()) for i, t in rows}
+    hit = {n: 0 for n in lengths.values()}
+    for r in simhash.near_copies(spark.createDataFrame(rows, DOC)).collect():
+        hit[lengths[r.doc_id]] += r.doc_id % 2 and r.component_id == r.doc_id - 1
+    assert all(hit[n] == 60 for n in (27, 40)), hit
+    assert sum(hit.values()) >= 0.8 * len(want), hit
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
