@@ -123,7 +123,7 @@ def shard_links(nodes: DataFrame, *, radius: int, blocks: int, max_shard: int) -
 
 
 def links_in_shards(keyed: DataFrame, *, radius: int, max_shard: int) -> DataFrame:
-    """keyed (j, v, fp, id): one row for each shard (j, v) of a node; fp is a long or the bytes of a longer fingerprint -> links (u, v)."""
+    """keyed (j, v, fp, id): one row for each shard (j, v) of a node; fp is a long -> links (u, v)."""
     shared = keyed.groupBy("j", "v").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / max_shard).cast("int")
     mine = keyed.join(shared, ["j", "v"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -145,7 +145,7 @@ def links_in_shards(keyed: DataFrame, *, radius: int, max_shard: int) -> DataFra
                     x, y = cols[2][lo], cols[3][lo]
                     first = int((cols[4][lo:hi] == x).sum()) if x != y else 0
                     if x == y or 0 < first < hi - lo:
-                        links += _forest([_as_int(f) for f in cols[5][lo:hi].tolist()], cols[6][lo:hi].tolist(), first, radius)
+                        links += _forest([f & (1 << 64) - 1 for f in cols[5][lo:hi].tolist()], cols[6][lo:hi].tolist(), first, radius)
             return links, None if last else [c[cuts[-1] :] for c in cols]
 
         def batch(links):
@@ -164,13 +164,8 @@ def links_in_shards(keyed: DataFrame, *, radius: int, max_shard: int) -> DataFra
     return units.repartition(*keys).sortWithinPartitions(*keys, "own", "fp").mapInArrow(linked, "u long, v long").distinct()
 
 
-def _as_int(fp: int | bytes) -> int:
-    return int.from_bytes(fp, "little") if isinstance(fp, bytes) else fp & (1 << 64) - 1
+# Near copies by exact shingle similarity
 
-
-# Wide fingerprints, for near copies down to a shingle similarity of about 0.8
-
-WIDE = 256
 #: MinHash bands: texts of shingle similarity J share a band with probability 1 - (1 - J^ROWS)^BANDS, 0.9998 at 0.8, whatever their length.
 BANDS, ROWS = 48, 8
 _MULTIPLIERS = np.random.default_rng(5).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
@@ -198,43 +193,95 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return mix((least.reshape(BANDS, ROWS) * _BAND_MIX).sum(1, dtype=np.uint64) ^ bands).view(np.int64)
 
 
-def _wide(values: list[bytes]) -> np.ndarray:
-    """256 bits: majority over the hashes of the values, each counted once."""
-    total = np.zeros(WIDE, np.int64)
-    for lo in range(0, len(values), 16_384):
-        h = b"".join(xxh3_128_digest(v, 1) + xxh3_128_digest(v, 2) for v in values[lo : lo + 16_384])
-        total += np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return total * 2 > len(values)
-
-
-def wide_fingerprints(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, keys): 256 bits over distinct shingles, and the keys of their MinHash bands, which find candidates; the bits decide."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
+    """docs (id, text) -> (id, t, size, fp, keys): hash of the text, number of distinct shingles, 128-bit hash of their set, MinHash bands."""
 
     def hashed(batches):
         for b in batches:
-            fps, keys = [], []
-            for text in b.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
-                fps.append(np.packbits(_wide([h.tobytes() for h in hashes]), bitorder="little").tobytes())
-                keys.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "fp", "keys"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, f"id {kind}, fp binary, keys array<long>")
+            sets = [shingle_hashes(t, shingle) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()), pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))],
+                names=["id", "t", "size", "fp", "keys"],
+            )
+
+    return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(hashed, "id long, t long, size long, fp binary, keys array<long>")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (places in the list) of a spanning forest of the pairs whose Jaccard similarity reaches ``similarity``."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+
+    def similar(shared, i, j):
+        return shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9
+
+    def direct(i: int, j: int) -> bool:
+        return bool(similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j))
+
+    if n < 3:
+        return [(1, 0)] if n == 2 and direct(1, 0) else []
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders, first, at = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")], np.cumsum(count) - count, np.cumsum(sizes) - sizes
+    group, links = np.arange(n), []
+    for i in range(1, n):
+        if direct(i, i - 1):
+            group[i] = group[i - 1]
+            links.append((i, i - 1))
+            if (group[:i] == group[i]).all():
+                continue
+        mine = token[at[i] : at[i] + sizes[i]]
+        mine = mine[count[mine] > 1]
+        c = count[mine]
+        shared = np.bincount(holders[np.repeat(first[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())], minlength=n)[:i]
+        for j in np.flatnonzero(similar(shared, i, np.arange(i))).tolist():
+            if group[j] != group[i]:
+                group[group == group[i]] = group[j]
+                links.append((i, j))
+    return links
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_shard: int = 2048) -> DataFrame:
-    """One row per document: id, component_id. Documents are linked where their shingle sets' similarity, as wide fingerprints show it, reaches ``similarity``.
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_docs: int = 1024, max_shingles: int = 1 << 20) -> DataFrame:
+    """One row per document: id, component_id. Documents are linked where the Jaccard similarity of their shingle sets reaches ``similarity``.
 
-    The radius follows from the similarity J of sets: cos = 2J / (1 + J) and a bit differs with
-    probability arccos(cos) / pi; half a deviation of that estimate is allowed on top.
+    Documents that share a MinHash band, directly or through others, form a loose group; only links
+    whose shingle sets were compared count. Loose groups of more than ``max_docs`` documents or
+    ``max_shingles`` shingles are cut into parts, and each pair of parts becomes a task of its own.
     """
-    p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    radius = int(WIDE * p + 0.5 * np.sqrt(WIDE * p * (1 - p)))
-    wide = wide_fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle)
-    rows = cut(wide.select(F.col("id").cast("long").alias("id"), "fp", "keys"))
-    nodes = cut(rows.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "keys")).alias("n")).select("fp", "n.id", "n.keys"))
-    found = components(links_in_shards(nodes.select("fp", "id", F.posexplode("keys").alias("j", "v")), radius=radius, max_shard=max_shard))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = cut(shingle_sets(texts, shingle=shingle))
+    nodes = cut(rows.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "t", "size", "keys")).alias("n")).select("fp", "n.*"))
+    banded = nodes.select("id", F.explode("keys").alias("v"))
+    least = banded.groupBy("v").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1").select("v", "m")
+    loose = components(banded.join(least, "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")))
+    members = cut(nodes.join(loose, nodes["id"] == loose["node"]).select("id", "t", "size", F.col("component").alias("g")))
+    parts = F.greatest(F.ceil(F.count("*") / max_docs), F.ceil(F.sum("size") / max_shingles), F.lit(1)).cast("int")
+    placed = members.join(members.groupBy("g").agg(parts.alias("parts")), "g").withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("parts")).cast("int"))
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
+    held = texts.withColumn("t", F.xxhash64("text")).join(placed.hint("shuffle_hash"), ["id", "t"])
+    units = held.withColumn("other", F.explode(others)).select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "text")
+
+    def linked(batches):
+        unit, ids, sets = None, [], []
+
+        def found() -> list[tuple[int, int]]:
+            return [(ids[i], ids[j]) for i, j in similar_sets(sets, similarity)]
+
+        def batch(links):
+            u, v = zip(*links) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            links = []
+            for g, x, y, d, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (g, x, y) != unit:
+                    links += found()
+                    unit, ids, sets = (g, x, y), [], []
+                ids.append(d)
+                sets.append(shingle_hashes(text, shingle))
+            yield batch(links)
+        yield batch(found())
+
+    keys = ["g", "x", "y"]
+    found = components(units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(linked, "u long, v long"))
     labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 

@@ -200,6 +200,29 @@ def test_short_near_copies_are_found(spark):
     assert sum(hit.values()) >= 0.8 * len(want), hit
 
 
+def test_near_copies_are_the_pairs_of_shingle_similarity(spark):
+    """Copies with 1 to 9 words replaced, around the limit: components equal those of brute force, also in several parts."""
+    rng, rows = random.Random(9), []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 60, 120]))]
+        for _ in range(5):
+            other = list(words)
+            for at in rng.sample(range(len(other)), rng.randrange(10)):
+                other[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(other)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    up = {i: i for i in sets}
+    for i in sets:
+        for j in range(i - i % 5, i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = {k: min(a, b) if r in (a, b) else r for k, r in up.items()}
+    assert len(set(up.values())) not in (40, 200)
+    docs = spark.createDataFrame(rows, DOC)
+    for options in ({}, {"max_docs": 2}):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, **options).collect()} == up
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
