@@ -1,14 +1,16 @@
 """Operator 8: licence scans by an exact set-similarity join against notice templates.
 
-Base: every place where a fixed phrase's words stand consecutively. Method: a text block (a line,
-a paragraph, or a window of a long line) meets a template when it holds at least ``threshold`` of
-the template's distinct tokens. Tokens are ordered by their frequency in the whole corpus, rarest
-first, and three exact filters leave few blocks to verify:
+Base: every place where a fixed phrase's words stand consecutively. Method: a window of at most
+``max_ratio`` x ``|T|`` consecutive words, anywhere in the text and across line breaks, meets a
+template T when it holds at least ``threshold`` of the template's distinct tokens. Tokens are ordered
+by their frequency in the whole corpus, rarest first, and exact filters leave few texts to verify:
 
 * prefix: a match must hold one of the template's first ``|T| - need + 1`` tokens;
-* length: it must hold ``need`` known tokens at least, and at most ``max_ratio`` x ``|T|`` words;
+* length: it must hold ``need`` known tokens at least;
 * positional: from the first shared token on, both sides must still have ``need`` tokens.
 
+The windows of a template are then slid over the places of its tokens, each place once.
+
 The templates are a fixed small list, so they go to every task; documents are streamed without a
 shuffle. The frequency pass returns one count for each template token, not for each corpus word.
 
@@ -19,7 +21,6 @@ score 0; repeated rows answer alike; empty tables give no rows; other columns ar
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import pyarrow as pa
@@ -47,9 +48,6 @@ TEMPLATES = [
     ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
 ]
 
-_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
-_WINDOW = 64
-
 
 def words_of(text: str | None) -> list[str]:
     return alnum_words((text or "").translate(ASCII_LOWER))
@@ -82,31 +80,56 @@ class TemplateIndex:
             for i, t in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(t, []).append((k, i))
 
-    def matches(self, block: list[str], found: dict[str, float]) -> None:
-        known = sorted({w for w in block if w in self.rank}, key=self.rank.__getitem__)
-        tried = set()
+    def candidates(self, words: list[str]) -> list[tuple[int, float]]:
+        """(template, share of its tokens) of those that hold enough tokens anywhere in the words."""
+        known = sorted({w for w in words if w in self.rank}, key=self.rank.__getitem__)
+        tried, out = set(), []
         for j, token in enumerate(known):
             for k, i in self.prefix.get(token, ()):
                 if k in tried:
                     continue
                 tried.add(k)  # this is the first shared token: both sides are in one order
-                label, tokens, size, need, most = self.templates[k]
-                if len(known) < need or len(block) > most or min(size - i, len(known) - j) < need:
+                _, tokens, size, need, _ = self.templates[k]
+                if len(known) < need or min(size - i, len(known) - j) < need:
                     continue
                 share = sum(w in tokens for w in known) / size
                 if share * size >= need - 1e-9:
-                    found[label] = max(found.get(label, 0.0), share)
+                    out.append((k, share))
+        return out
 
-
-def blocks_of(text: str) -> list[list[str]]:
-    out = []
-    for paragraph in _PARAGRAPH.split(text):
-        lines = [w for line in paragraph.split("\n") if (w := words_of(line))]
-        out += [w for w in lines if len(w) <= _WINDOW]
-        out += [w[i : i + _WINDOW] for w in lines if len(w) > _WINDOW for i in range(0, len(w) - _WINDOW // 2, _WINDOW // 2)]
-        if len(lines) > 1:
-            out.append([x for w in lines for x in w])
-    return out
+    def matches(self, block: list[str], found: dict[str, float]) -> None:
+        """The block as a whole."""
+        for k, share in self.candidates(block):
+            label, _, _, _, most = self.templates[k]
+            if len(block) <= most:
+                found[label] = max(found.get(label, 0.0), share)
+
+    def scan(self, words: list[str], found: dict[str, float]) -> None:
+        """Every window of the words."""
+        for k, share in self.candidates(words):
+            label, _, size, need, most = self.templates[k]
+            best = share if len(words) <= most else self._best_window(k, words) / size
+            if best * size >= need - 1e-9:
+                found[label] = max(found.get(label, 0.0), best)
+
+    def _best_window(self, k: int, words: list[str]) -> int:
+        """Most distinct tokens of the template that one of its windows holds."""
+        _, tokens, size, _, most = self.templates[k]
+        places = [i for i, w in enumerate(words) if w in tokens]
+        inside: Counter = Counter()
+        best = first = distinct = 0
+        for i in places:
+            distinct += not inside[words[i]]
+            inside[words[i]] += 1
+            while i - places[first] >= most:
+                gone = words[places[first]]
+                inside[gone] -= 1
+                distinct -= not inside[gone]
+                first += 1
+            best = max(best, distinct)
+            if best == size:
+                break
+        return best
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES,
@@ -134,9 +157,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         at = joined.find(f" {phrase} ", at + 1)
                 found: dict[str, float] = dict.fromkeys(base, 1.0)
                 if not index.prefix.keys().isdisjoint(words):
-                    for block in blocks_of(text):
-                        if not index.prefix.keys().isdisjoint(block):
-                            index.matches(block, found)
+                    index.scan(words, found)
                 rows.append((len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(found)), max(found.values(), default=0.0)))
             n, p, lo, hi, base_labels, labels, score = zip(*rows) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays(

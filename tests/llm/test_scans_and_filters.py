@@ -126,6 +126,47 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(spark.createDataFrame([], DOC)).count() == 0
 
 
+@pytest.mark.parametrize(("label", "notice"), license_scan.TEMPLATES)
+def test_notices_within_running_text(label, notice):
+    """In a long line and wrapped within a long paragraph, at any place; not when its words are far apart."""
+    vocabulary = {w for _, t in license_scan.TEMPLATES for w in license_scan.words_of(t)}
+    index = license_scan.TemplateIndex(dict.fromkeys(vocabulary, 1), license_scan.TEMPLATES, 0.9, 4.0)
+
+    def labels(text):
+        found: dict[str, float] = {}
+        index.scan(license_scan.words_of(text), found)
+        return found
+
+    for before in (0, 20, 53, 200):
+        assert labels("word " * before + notice + " word" * 200)[label] == 1.0
+        assert labels("word\n" * before + notice.replace(" ", "\n") + "\nword" * 200)[label] == 1.0
+    assert label not in labels((" word" * 60).join(f" {w}" for w in notice.split()))
+
+
+def test_license_in_a_long_line(spark):
+    text = "word " * 100 + "This work is licensed under the GNU General\nPublic License, version 3" + " word" * 100
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, text)], DOC)).first()
+    assert (got.labels, got.score) == ("gpl-3", 1.0)
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(5)
+    vocabulary = [f"t{i}" for i in range(14)]
+    templates = [(f"l{k}", " ".join(rng.sample(vocabulary, rng.randint(2, 9)))) for k in range(8)]
+    index = license_scan.TemplateIndex({w: rng.randrange(50) for w in vocabulary}, templates, 0.7, 2.0)
+    for _ in range(300):
+        words = [rng.choice([*vocabulary, *["z"] * 20]) for _ in range(rng.randint(1, 80))]
+        found: dict[str, float] = {}
+        index.scan(words, found)
+        want = {}
+        for label, text in templates:
+            t = set(text.split())
+            best = max(len(t & set(words[i : i + 2 * len(t)])) for i in range(len(words)))
+            if best >= math.ceil(0.7 * len(t) - 1e-9):
+                want[label] = best / len(t)
+        assert found == want
+
+
 def test_filters_lose_no_block():
     rng = random.Random(3)
     vocabulary = [f"t{i}" for i in range(14)]
