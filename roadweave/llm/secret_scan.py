@@ -6,7 +6,8 @@ candidate string (a long run of key-like characters with letters and digits) is
 window whose Shannon entropy follows from incremental counts: ``H = log2 w - S / w`` with
 ``S = sum c log2 c``, where one character enters and one leaves at each step. Hex strings and mixed
 strings are separate character classes with thresholds of their own. An allow-list suppresses known
-harmless strings, and spans inside a base span add nothing.
+harmless strings; a harmless word clears only the windows that overlap its piece of a path, url or
+key=value run. Spans inside a base span add nothing.
 
 All work is per row: no shuffle, no state. Defined cases: a null text is empty: counts 0, the hash of
 the empty string, no spans; repeated rows answer alike; empty tables give no rows; other columns are
@@ -28,10 +29,11 @@ ACCESS_LONG, HEX_LONG = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MIXED = r"^(?=.*[0-9])(?=.*[A-Za-z]).*$"
 # Strings that look random but are no secrets.
+# Words clear the piece between / = _ - that holds them, whole forms the run.
+ALLOWED_WORDS = r"(?i)example|sample|dummy|placeholder|changeme|lorem|xxxx|test_?key|abcdefghij|0123456789|qwertyuiop"
+ALLOWED_PIECE = rf"(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?:{ALLOWED_WORDS})[A-Za-z0-9+]*"
 ALLOWED = [
-    r"(?i)example|sample|dummy|placeholder|changeme|lorem|xxxx|test_?key",
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)abcdefghij|0123456789|qwertyuiop",
     r"^(?:sha(?:1|256|384|512)|md5)-",
     # possessive, so that very long strings of many words don't take the matcher's stack
     r"^[/_=-]*+(?:[A-Za-z]++[0-9]{0,4}+[/_=-]++)++[A-Za-z]*+[0-9]{0,4}+$",
@@ -72,8 +74,8 @@ def _gathered(items: Column, state: Column, step, kind: str) -> Column:
     return _bound(items, outer)
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (s, e, m): leftmost non-overlapping matches with their places in code points."""
+def matches(text: Column, pattern: str, between: bool = False) -> Column:
+    """Array of (s, e, m): leftmost non-overlapping matches, or what stands between them, with their places in code points."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     kind = "struct<s:int,e:int,m:string>"
     none = F.expr(f"cast(array() as array<{kind}>)")
@@ -81,9 +83,12 @@ def matches(text: Column, pattern: str) -> Column:
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         s = at + F.length(x["p"])
         e = s + F.coalesce(F.length(x["m"]), F.lit(0))
+        if between:
+            return e, F.array(F.struct(at.alias("s"), s.alias("e"), x["p"].alias("m")))
         return e, F.when(x["m"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
 
-    return F.when(text.rlike(pattern), _gathered(pieces, F.lit(0), step, kind)).otherwise(none)
+    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), text.alias("m"))) if between else none
+    return F.when(text.rlike(pattern), _gathered(pieces, F.lit(0), step, kind)).otherwise(whole)
 
 
 SPAN = "struct<s:int,k:int,e:int,kind:string>"
@@ -141,7 +146,15 @@ def hot_range(text: Column, threshold: Column, window: int = ENTROPY_WINDOW) ->
 
 def entropy_spans(text: Column) -> Column:
     allowed = lambda m: F.lit(False) if not ALLOWED else _any(m.rlike(p) for p in ALLOWED)
-    candidates = F.filter(matches(text, CANDIDATE), lambda x: x["m"].rlike(MIXED) & ~allowed(x["m"]))
+    suspect = lambda x: x["m"].rlike(MIXED) & ~allowed(x["m"])
+
+    def cleared(x: Column) -> Column:
+        """What stands between the pieces with allowed words: the windows that overlap no such piece lie there."""
+        rest = F.filter(matches(x["m"], ALLOWED_PIECE, between=True), lambda r: (F.length(r["m"]) >= ENTROPY_WINDOW) & suspect(r))
+        return F.transform(rest, lambda r: F.struct((x["s"] + r["s"]).alias("s"), (x["s"] + r["e"]).alias("e"), r["m"].alias("m")))
+
+    runs = F.filter(matches(text, CANDIDATE), suspect)
+    candidates = F.flatten(F.transform(runs, lambda x: F.when(x["m"].rlike(ALLOWED_WORDS), cleared(x)).otherwise(F.array(x))))
 
     def span(x: Column) -> Column:
         is_hex = x["m"].rlike("^[0-9a-fA-F]+$")

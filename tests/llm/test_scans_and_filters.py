@@ -60,6 +60,21 @@ def test_entropy_spans_and_allow_list(spark, text, found):
     assert ("entropy" in secret_scan.scan_secrets(spark.createDataFrame([(1, text)], DOC)).first().spans) == found
 
 
+@pytest.mark.parametrize(
+    ("text", "left"),
+    [
+        ("at /srv/example-app/key/Zx9Kq2LmN8vB4tRw7YpD1sHc end", "at /srv/example-app/key/[SECRET] end"), ("Zx9Kq2LmN8vB4tRw7YpD1sHc-dummy_Qa8Zx9Kq2LmN8vB4tRw7Y", "[SECRET]-dummy_[SECRET]"),
+        ("id=0123456789/Zx9Kq2LmN8vB4tRw7YpD1sHc", "id=0123456789/[SECRET]"), ("key=my_test_key=Zx9Kq2LmN8vB4tRw7YpD1sHc", "key=my_test_key=[SECRET]"), ("/lorem/some-long-path/with-words/and-v2/EXAMPLEZx9Kq2LmN8vB4tRw7YpD", None),
+    ],
+)
+def test_an_allowed_word_clears_its_piece_only(spark, text, left):
+    got = secret_scan.redact_secrets(spark.createDataFrame([(1, text)], DOC)).first().text
+    secret = "Zx9Kq2LmN8vB4tRw7YpD1sHc"
+    assert got == text if left is None else ("[SECRET]" in got and secret not in got and got.count("[SECRET]") == left.count("[SECRET]")), got
+    if left is not None:
+        assert all(w in got for w in ("example", "dummy", "0123456789", "test_key") if w in text), got
+
+
 def test_secrets_in_very_long_texts(spark):
     many = "deadbeef0123deadbeef012345 " * 3000 + "token: abcdefg " * 700
     docs = spark.createDataFrame([(1, "ab-" * 60_000 + "1"), (2, "aGVsb1G8gd2/9ybGQx" * 3000), (3, many)], DOC)
