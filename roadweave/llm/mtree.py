@@ -99,47 +99,75 @@ class MTree:
         self.reach = self.parent_dist + self.radius
         return self
 
-    def search(self, q: np.ndarray, k: int, own_id: int | None, floor: tuple[float, int] | None = None) -> list[tuple[int, int]]:
-        """Up to k (score, id), best first, ties to the smaller id. ``floor``: (score, id) of a k-th best found elsewhere; only better ones return."""
+    def search(self, q: np.ndarray, k: int, floor: np.ndarray | None = None, floor_id: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Up to k (scores, ids) of each query (row of q), best first, ties to the smaller id.
+
+        Queries share the walk: nodes are taken by the best bound that any of them has, and a page is
+        multiplied with those queries only whose own bound reaches their own k-th best. ``floor`` and
+        ``floor_id``: a k-th best found elsewhere (-inf: none); only better ones return.
+        """
         fq = q.astype(np.float64)
-        norm = float(np.sqrt(fq @ fq))
+        norm = np.sqrt((fq * fq).sum(1))
         safe = self.most * float(np.abs(fq).max(initial=0)) < 2**53
-        vectors, centers, asked = (self.fv, self.fc, fq) if safe else (self.vectors.astype(object), self.center.astype(object), q.astype(object))
+        vectors, centers, asked = (self.fv, self.fc, fq) if safe else (self.vectors.astype(np.int64), self.center.astype(np.int64), q.astype(np.int64))
         slack = 1e-9 * (norm * (1 + self.most) + 1)  # above any rounding in a bound
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        worst, worst_id = (-np.inf, 0) if floor is None else floor
-        product = centers[0] @ asked
-        todo = [(-float(product + norm * self.radius[0] + slack), 0, product)]
+        worst = np.full(len(q), -np.inf) if floor is None else np.array(floor, np.float64)
+        worst_id = np.full(len(q), np.iinfo(np.int64).max) if floor_id is None else np.array(floor_id, np.int64)
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query, score, id: the k best so far of each
+        every = np.arange(len(q))
+        product = (centers[:1] @ asked.T)[0]
+        todo = [(-np.inf, 0, every, product, product + norm * self.radius[0] + slack)]
         while todo:
-            bound, node, product = heapq.heappop(todo)
-            bound = -bound
-            if bound < worst:
-                break
-            if bound < worst + 1 and self.least_id[node] > worst_id:  # scores are whole: at most ties, all with larger ids
+            _, node, of, product, bound = heapq.heappop(todo)
+            # scores are whole: a bound within 1 of the k-th best leaves ties at most, and those lose if all ids are larger
+            live = (bound >= worst[of]) & ~((bound < worst[of] + 1) & (self.least_id[node] > worst_id[of]))
+            if not live.any():
                 continue
+            of, product = of[live], product[live]
             lo, hi = self.first[node], self.last[node]
-            need = -np.inf if worst == -np.inf else float(worst - product - slack) / norm if norm else 0.0
+            need = np.divide(worst[of] - product - slack[of], norm[of], out=np.full(len(of), -np.inf), where=norm[of] > 0)
             if self.leaf[node]:
-                hi = lo + int(np.searchsorted(self.entry_dist[lo:hi], -need, "right"))  # by the stored distance to the leaf's routing vector
+                hi = lo + int(np.searchsorted(self.entry_dist[lo:hi], -need.min(), "right"))  # by the stored distance to the leaf's routing vector
                 if hi == lo:
                     continue
-                scores = vectors[lo:hi] @ asked
-                for j in np.flatnonzero(scores >= worst).tolist():
-                    s, i = int(scores[j]), int(self.ids[lo + j])
-                    if i == own_id or s < worst or (s == worst and i > worst_id):
-                        continue
-                    heapq.heappush(best, (s, -i))
-                    if len(best) > k:
-                        heapq.heappop(best)
-                    if len(best) == k and (best[0][0], -best[0][1]) != (worst, worst_id):
-                        worst, worst_id = best[0][0], -best[0][1]
+                scores = vectors[lo:hi] @ asked[of].T
+                least = worst[of]
+                if hi - lo > k and np.isinf(least).any():
+                    least = np.maximum(least, np.partition(scores, hi - lo - k, axis=0)[hi - lo - k])
+                entry, column = np.nonzero(scores >= least)
+                new = of[column], scores[entry, column].astype(np.int64), self.ids[lo + entry]
+                keep = (new[1] > worst[new[0]]) | (new[2] <= worst_id[new[0]])
+                if keep.any():
+                    found = self._best(k, *(np.concatenate([x, y[keep]]) for x, y in zip(found, new)))
+                    self._raise(k, found, worst, worst_id)
             else:
-                near = lo + np.flatnonzero(self.reach[lo:hi] >= need)  # by the stored distances, before any product
+                pass_by = self.reach[lo:hi, None] >= need[None]  # by the stored distances, before any product
+                near = np.flatnonzero(pass_by.any(1))
                 if not len(near):
                     continue
-                products = centers[near] @ asked
-                bounds = products + norm * self.radius[near] + slack
-                for n, p, b in zip(near.tolist(), products.tolist(), bounds.tolist()):
-                    if b >= worst:
-                        heapq.heappush(todo, (-float(b), n, p))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+                products = centers[lo + near] @ asked[of].T
+                bounds = products + norm[of] * self.radius[lo + near][:, None] + slack[of]
+                passed = pass_by[near] & (bounds >= worst[of])
+                for n, p, b, w in zip((lo + near).tolist(), products, bounds, passed):
+                    if w.any():
+                        heapq.heappush(todo, (-float(b[w].max()), n, of[w], p[w], b[w]))
+        cuts = np.searchsorted(found[0], every[1:])
+        return list(zip(np.split(found[1], cuts), np.split(found[2], cuts))) if len(q) else []
+
+    @staticmethod
+    def _best(k: int, of: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -scores, of))
+        of = of[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        order = order[rank < k]
+        return of[rank < k], scores[order], ids[order]
+
+    @staticmethod
+    def _raise(k: int, found: tuple[np.ndarray, ...], worst: np.ndarray, worst_id: np.ndarray) -> None:
+        """The k-th best of queries that have k."""
+        of, scores, ids = found
+        last = np.flatnonzero(np.append(of[1:] != of[:-1], True))
+        last = last[last - np.searchsorted(of, of[last]) == k - 1]
+        better = (scores[last] > worst[of[last]]) | ((scores[last] == worst[of[last]]) & (ids[last] < worst_id[of[last]]))
+        last = last[better]
+        worst[of[last]], worst_id[of[last]] = scores[last], ids[last]

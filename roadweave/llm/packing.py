@@ -13,11 +13,11 @@ so a task that runs again after a lost executor makes the same rows.
 
 Ids are those of the tokenizers library for the given vocabulary; by default the tiktoken library
 computes them from the same vocabulary's ranks, about four times as fast. Texts with characters that the
-two libraries' Unicode tables may class differently, or with very long runs of white space, are given
-to tokenizers itself.
+two libraries' Unicode tables may class differently, with very long runs of white space, or that hold
+the string of an added token (which tokenizers turns into that token's id), are given to tokenizers itself.
 
 Defined cases: a null text is empty: one piece with the end id; repeated rows are packed each; an
-empty table gives no rows; other columns are ignored. Texts of special tokens are ordinary text.
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(vocabulary)
-        self.exact.encode_special_tokens = True
+        self.added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         self.fast, self.end_id = None, end_id
         if ranks:
             import tiktoken
@@ -59,7 +59,8 @@ class Encoder:
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        ids = self.fast.encode_ordinary(text) if self.fast and _STABLE(text) and not _LONG_SPACE(text) else self.exact.encode(text, add_special_tokens=False).ids
+        alike = self.fast and _STABLE(text) and not _LONG_SPACE(text) and not any(a in text for a in self.added)
+        ids = self.fast.encode_ordinary(text) if alike else self.exact.encode(text, add_special_tokens=False).ids
         return np.array([*ids, self.end_id], np.uint32)
 
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from roadweave.llm import decontaminate, html_extract, license_scan, packing, secret_scan, toxicity, url_filter
 
@@ -328,14 +329,14 @@ VOCABULARY = {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks"
 def test_packing_round_trip(spark, max_open):
     odd = [(9001, None), (9002, ""), (9003, "x <|endoftext|> \u0085 ① ½ 　 \n\n  z"), (9004, "y" * 20_000)]
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, DOC)).withColumn("start", F.lit("s"))
-    exact = packing.Encoder(VOCABULARY["vocabulary"], None, None, 1)
+    exact = Tokenizer.from_file(VOCABULARY["vocabulary"])
     pieces, sequences = {}, {}
     for r in packing.pack_documents(docs, max_open=max_open, with_ids=True, **VOCABULARY).collect():
         pieces.setdefault(r.doc_id, []).append((r.start, r.ids, r.doc_tokens, r.ids_crc32))
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
     for d in docs.collect():
         ids = [i for _, part, _, _ in sorted(pieces[d.doc_id]) for i in part]
-        assert ids == exact(d.text).tolist()
+        assert ids == [*exact.encode(d.text or "", add_special_tokens=False).ids, 1]
         at = 0
         for start, part, total, crc in sorted(pieces[d.doc_id]):
             assert (start, total, crc) == (at, len(ids), __import__("zlib").crc32(np.array(part, "<u4").tobytes()))
@@ -358,6 +359,31 @@ def test_ids_of_very_long_runs(text):
     assert encode(text).tolist() == [*encode.exact.encode(text, add_special_tokens=False).ids, 1]
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|EndOfText|>", "<|endoftext", "\u200b\u1f600 e\u0301 \ufeff x", "\x00\x1f tab\t", "\U0001f468\u200d\U0001f469 १२ ⅷ ²"])
+def test_ids_of_added_tokens_and_odd_characters(text):
+    plain = Tokenizer.from_file(VOCABULARY["vocabulary"])
+    assert packing.Encoder(**VOCABULARY, end_id=1)(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_of_a_whole_table(spark):
+    plain, encode = Tokenizer.from_file(VOCABULARY["vocabulary"]), packing.Encoder(**VOCABULARY, end_id=1)
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect():
+        assert encode(r.text).tolist() == [*plain.encode(r.text or "", add_special_tokens=False).ids, 1]
+
+
+def test_sum_of_squares_leaves_few_windows_open():
+    """Before leftovers are merged: share of places that stay empty, against filling one window after the other."""
+    rng = np.random.default_rng(2)
+    sizes = np.minimum(rng.lognormal(5.5, 1.0, 4000).astype(int) + 1, 2048)
+    packer, last, plain = packing.Packer(2048, 10**6), 2048, 0
+    for row, n in enumerate(sizes.tolist()):
+        packer.add(row, np.zeros(n, np.uint32))
+        plain, last = (plain + 1, n) if last + n > 2048 else (plain, last + n)
+    windows = packer.next_id + packer.n_open
+    assert sizes.sum() / 2048 <= windows
+    assert windows * 2048 / sizes.sum() < 1.01 < 1.05 < plain * 2048 / sizes.sum()
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(10, 100)
     rng = random.Random(0)

@@ -28,22 +28,24 @@ def best(ids, x, q, k, own):
 def test_mtree_equals_brute_force(seed):
     rng = np.random.default_rng(seed)
     n, d = int(rng.integers(1, 500)), int(rng.integers(1, 9))
-    x = rng.integers(-4, 5, (n, d)) * (3 * 10**9 if seed % 4 == 0 else 1)  # products beyond 2**53 too
+    x = rng.integers(-4, 5, (n, d)) * (2 * 10**8 if seed % 4 == 0 else 1)  # products beyond 2**53 too
     x[rng.random(n) < 0.4] = x[0]
     ids = rng.permutation(2 * n)[:n].astype(np.int64)
     tree = MTree.from_bytes(MTree.build(ids, x, page=int(rng.integers(2, 20)), fanout=4).to_bytes()).prepare()
-    for q in x[rng.integers(0, n, 4)]:
-        want = best(ids, x, q, 10, int(ids[0]))
-        assert tree.search(q, 10, int(ids[0])) == want
-        if len(want) == 10:
-            score, at = want[4]
-            assert tree.search(q, 10, int(ids[0]), (score, at)) == want[:5]
+    q = x[rng.integers(0, n, 7)]
+    want = [best(ids, x, v, 10, None) for v in q]
+    assert [list(zip(s.tolist(), i.tolist())) for s, i in tree.search(q, 10)] == want
+    full = [w for w in range(len(q)) if len(want[w]) == 10]
+    if full:
+        floor, floor_id = (np.array(c) for c in zip(*(want[w][4] for w in full)))
+        got = tree.search(q[full], 10, floor, floor_id)
+        assert [list(zip(s.tolist(), i.tolist())) for s, i in got] == [want[w][:5] for w in full]
 
 
 VECTORS = "vec_id long, embedding array<float>, score string"
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_rows": 40, "block_queries": 5, "pivots": 4}])
+@pytest.mark.parametrize("options", [{}, {"shard_rows": 40, "block_queries": 5, "max_pivots": 4}])
 def test_top_k_with_odd_rows(spark, options):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(0, 0.2, 6)], "x") for i in range(150)]
@@ -59,6 +61,18 @@ def test_top_k_with_odd_rows(spark, options):
     assert by_query == {int(i): best(ids, x, v, 20, int(i)) for i, v in zip(ids, x) if i % 20 == 0}
 
 
+def test_top_k_with_large_values(spark):
+    """Scores up to the largest long are exact; vectors whose squared length is beyond it take no part."""
+    side = 2.0**31.5 / 64 / 2  # four of these: squared length just below 2**63
+    rows = [(0, [side] * 3 + [0.0]), (1, [side * 0.9, side, 0.0, 0.0]), (2, [-side, side, side, 0.0]), (3, [1e9] * 4), (20, [1e300, 0.0, 0.0, 0.0]), (40, [1.0, 0.0, 0.0, 0.0]), (5, [0.0] * 4)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    x = {i: [int(np.floor(64 * c)) for c in v] for i, v in rows if i not in (3, 20)}
+    want = {q: sorted(((sum(a * b for a, b in zip(x[q], x[i])), i) for i in x if i != q), key=lambda r: (-r[0], r[1])) for q in (0, 40)}
+    assert max(s for s, _ in want[0]) > 2**53
+    assert {q: [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 40)} == want
+    assert {r.query_id for r in got} == {0, 40}
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     assert topk.top_k(spark.createDataFrame([(20, [1.0], "")], VECTORS)).count() == 0
