@@ -5,14 +5,17 @@ in. Pass 2 gives ambiguous and short blocks the label of the nearest decided nei
 independent: one streaming pass, no shuffle.
 
 Defined cases: null or empty html gives an empty text and 0; broken markup (unclosed tags, stray
-``<``) is read as browsers do, as far as text is concerned; very long pages are read whole; repeated
-rows answer alike; an empty table gives no rows; other columns are ignored.
+``<``) is read as browsers do, as far as text is concerned: an element without an end tag ends where
+the one around it does, and a dropped one (a button, say) at the next block; very long pages are read
+whole, in time linear in their length; repeated rows answer alike; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -29,7 +32,8 @@ STOP_WORDS = frozenset(
     "el los las que y en un una por con no se su para del al lo como más".split()
 )
 # Elements by their part in a page.
-DROPPED = "script style noscript template textarea select option svg iframe object canvas math title audio video button"
+RAW = "script style textarea title iframe"  # their content is no markup
+DROPPED = frozenset("noscript template select option button svg object canvas math audio video".split())
 ZONES = frozenset("nav footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
@@ -37,20 +41,24 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 MAIN = frozenset("article main".split())
+REPEATING = frozenset("p li dt dd tr td th option".split())
+#: Names of elements around a page's text, and names that the text's own element may bear too.
 HINTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banners?|side-?bar|widgets?|cookies?|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscri\w+|shar(?:e|ing)|social|related|"
     r"recommend\w*|bread-?crumbs?|nav\w*|menus?|footer|masthead|comments?|disqus|repl(?:y|ies)|respond|login|signup|search|toolbar|paginat\w+|pager)(?:$|[\s_-])"
 )
+SURE = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|cookies?|consent|gdpr|side-?bar|nav\w*|menus?|footer|ads?|advert\w*)(?:$|[\s_-])")
 ROLES = re.compile(r"""role\s*=\s*["']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert|form)\b""")
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
 NAMES = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Names like sideBar come apart; names like has-sidebar speak of the page's layout, not of what the element holds.
 CAMEL, LAYOUT = re.compile(r"(?<=[a-z])(?=[A-Z])"), re.compile(r"\b(?:has|with|no|without|hide|show)[-_][\w-]*")
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(DROPPED.split())})\b[^>]*(?<!/)>.*?(?:</\1\b[^>]*>|\Z)"
-    r"""|<(/?)([a-z][a-z0-9:-]*)((?:[^>"'<]|"[^"<]*"|'[^'<]*')*+>|[^>]*>?)|<[!?/][^>]*>?""",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW.split())})\b[^>]*(?<!/)>"
+    r"""|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"'<]|"[^"<]*"|'[^'<]*')*+>|[^>]*>?)|<[!?/][^>]*>?""",
     re.S | re.I,
 )
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW.split()}
 
 
 @dataclass
@@ -72,23 +80,133 @@ class Block:
         self.text, self.label = "", ""
 
 
-def _is_zone(name: str, attrs: str, in_main: bool) -> bool:
-    if name in ZONES or (name == "header" and not in_main):
+class Node:
+    """A tag or a text in page order. ``last``: the item after an element's content; ``closed``: by its own end tag."""
+
+    __slots__ = ("attrs", "closed", "end", "last", "letters", "name", "text")
+
+    def __init__(self, name: str = "", end: bool = False, attrs: str = "", text: str = ""):
+        self.name, self.end, self.attrs, self.text = name, end, attrs, text
+        self.last, self.closed, self.letters = 0, False, 0
+
+
+def items_of(page: str) -> list[Node]:
+    """Tags and texts; comments, raw elements and declarations go."""
+    out, at, lost = [], 0, set()
+    while at < len(page):
+        m = TOKEN.search(page, at)
+        if m is None:
+            break
+        if m.start() > at:
+            out.append(Node(text=page[at : m.start()]))
+        at = m.end()
+        raw = (m["raw"] or "").lower()
+        if raw:
+            found = None if raw in lost else RAW_END[raw].search(page, at)
+            if found is not None:
+                at = found.end()
+            elif raw in ("script", "style"):
+                return out  # code up to the end, as in browsers
+            else:
+                lost.add(raw)  # none stands further on either
+        elif m["name"]:
+            out.append(Node(m["name"].lower(), bool(m["end"]), m["attrs"]))
+    if at < len(page):
+        out.append(Node(text=page[at:]))
+    return out
+
+
+def pair_up(items: list[Node]) -> None:
+    """Finds where each element ends: at its own end tag, or where the element around it does.
+
+    An inline end tag reaches up to the next block element only. Open names are counted by block, so a
+    tag without a partner costs one look-up and the pass is linear in the page.
+    """
+    stack: list[int] = []
+    blocks: dict[str, int] = {}  # open block elements by name
+    inline: list[dict[str, int]] = [{}]  # open inline elements by name, since each open block
+
+    def pop(end: int) -> Node:
+        e = items[stack.pop()]
+        e.last = end
+        if e.name in BLOCKS:
+            blocks[e.name] -= 1
+            inline.pop()
+        else:
+            inline[-1][e.name] -= 1
+        return e
+
+    for i, x in enumerate(items):
+        if not x.name or x.name in VOID:
+            continue
+        of = blocks if x.name in BLOCKS else inline[-1]
+        if x.end:
+            if of.get(x.name):
+                while True:
+                    e = pop(i)
+                    if e.name == x.name:
+                        e.closed = True
+                        break
+        elif not x.attrs.endswith("/>"):
+            if x.name in REPEATING and stack and items[stack[-1]].name == x.name:
+                pop(i)
+                of = blocks if x.name in BLOCKS else inline[-1]
+            of[x.name] = of.get(x.name, 0) + 1
+            if x.name in BLOCKS:
+                inline.append({})
+            stack.append(i)
+        else:
+            x.last = i
+    while stack:
+        pop(len(items))
+    total = 0
+    before = []
+    for x in items:
+        before.append(total)
+        total += len(x.text) - x.text.count(" ") if x.text else 0
+    before.append(total)
+    for i, x in enumerate(items):
+        x.letters = before[x.last] - before[i] if x.last > i else 0
+
+
+def _named(attrs: str, hints: re.Pattern) -> bool:
+    names = (next(filter(None, m), "") for m in NAMES.findall(attrs))
+    return any(hints.search(LAYOUT.sub(" ", CAMEL.sub("-", n).lower())) for n in names)
+
+
+def _is_zone(x: Node, in_main: bool, main_inside: bool, main_elsewhere: bool, letters: int) -> bool:
+    """Whether an element is around the text. A name says so only if the element does not hold the text itself.
+
+    That is where it holds the page's main element, or most of the letters of the element that it stands
+    in (its page or main element); names that are sure, such as comments, yield only to nearly all.
+    """
+    if x.name in ZONES or (x.name == "header" and not in_main):
         return True
-    if not attrs or name in ("html", "body", "article", "main"):
+    if not x.attrs or x.name in ("html", "body", "article", "main"):
         return False
-    low = attrs.lower()
+    low = x.attrs.lower()
     if ROLES.search(low) or HIDDEN.search(low):
         return True
-    names = (next(filter(None, m), "") for m in NAMES.findall(attrs))
-    return any(HINTS.search(LAYOUT.sub(" ", CAMEL.sub("-", n).lower())) for n in names)
+    if not _named(x.attrs, HINTS):
+        return False
+    sure = _named(x.attrs, SURE)
+    if main_inside and not main_elsewhere:
+        return False
+    if main_elsewhere and not in_main:
+        return True
+    return x.letters <= (0.9 if sure else 0.5) * letters
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; an element's zone and main flags hold for all that it encloses."""
-    stack: list[tuple[str, bool, bool]] = []
+    items = items_of(page)
+    pair_up(items)
+    mains = [i for i, x in enumerate(items) if x.name in MAIN and not x.end]
+    everything = sum(len(x.text) - x.text.count(" ") for x in items if x.text)
     out: list[Block] = []
+    until: list[tuple[int, bool, bool, int]] = []  # (end, flags and letters as they were around)
     zone = in_main = heading = False
+    letters, silent, silent_open = everything, 0, False  # items before `silent` are in a dropped element
     links = breaks = 0
     now = Block(False, False, False)
 
@@ -108,22 +226,18 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 now.linked += len(text.strip())
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        if not m[3]:
+    for i, x in enumerate(items):
+        while until and until[-1][0] <= i:
+            _, zone, in_main, letters = until.pop()
+        name = x.name
+        if i < silent and not (name in BLOCKS and not x.end and silent_open):
             continue
-        name = m[3].lower()
-        if m[2]:
-            if name == "a":
-                links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    zone, in_main = stack[i][1:]
-                    del stack[i:]
-                    break
+        silent = min(silent, i)
+        if not name:
+            put(x.text)
+            continue
+        if x.end:
+            links = max(0, links - 1) if name == "a" else links
             heading = False if name[0] == "h" and name[1:].isdigit() else heading
         else:
             if name == "a":
@@ -134,20 +248,22 @@ def blocks_of(page: str) -> list[Block]:
                 if breaks > 1:
                     flush()
                 continue
-            if name not in VOID and not m[4].endswith("/>"):
-                if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                stack.append((name, zone, in_main))
+            if x.last > i:
+                if name in DROPPED:
+                    silent, silent_open = x.last, not x.closed  # without an end tag of its own it ends at the next block
+                    continue
+                until.append((x.last, zone, in_main, letters))
                 in_main = in_main or name in MAIN
-                zone = zone or _is_zone(name, m[4][:-1], in_main)
+                if not zone:
+                    lo, hi = bisect_right(mains, i), bisect_left(mains, x.last)
+                    zone = _is_zone(x, in_main, lo < hi, lo + len(mains) - hi > 0, letters)
+                letters = x.letters if name in MAIN else letters
             heading = name[0] == "h" and name[1:].isdigit()
         if name in BLOCKS:
             flush()
             links = 0
-        elif not m[2] and zone != now.zone:
+        elif not x.end and zone != now.zone:
             flush()
-    if at < len(page):
-        put(page[at:])
     flush()
     return out
 

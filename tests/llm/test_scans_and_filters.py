@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import brute
@@ -263,7 +264,95 @@ def test_odd_pages(page):
 )
 def test_zones_by_name(name, stays):
     text = "This is the text of the page and it is as long as it was in the book that we have read in all of the days of the year and more."
-    assert (html_extract.main_text(f"<div class='{name}'><p>{text}</p></div>") == text) == stays
+    other = "And this is the rest of it that is as much of the page as the other was and it is about the day and the night. " * 2
+    got = html_extract.main_text(f"<div class='{name}'><p>{text}</p></div><div><p>{other}</p></div>")
+    assert got == (f"{text}\n{other.strip()}" if stays else other.strip())
+
+
+LONG = "This is the text of the page and it is as long as it was in the book that we have read in all of the days of the year and more."
+
+
+@pytest.mark.parametrize("name", ["search", "reply-all search-results", "social", "related", "share", "widget", "notice"])
+def test_a_name_on_the_texts_own_element(name):
+    for page in (f"<div class='{name}'><p>{LONG}</p></div>", f"<main><div class='{name}'><p>{LONG}</p></div></main>", f"<nav>the menu of it</nav><div id='{name}'><article><p>{LONG}</p></article></div>", f"<article><section class='{name}'><p>{LONG}</p></section></article>"):
+        assert html_extract.main_text(page) == LONG, page
+
+
+def test_comments_longer_than_the_text_go():
+    page = f"<article><p>{LONG}</p></article><div id='comments'>" + f"<article class='comment-body'><p>{LONG}</p></article>" * 5 + "</div>"
+    assert html_extract.main_text(page) == LONG
+    assert html_extract.main_text(page.replace("article", "div")) == LONG
+
+
+@pytest.mark.parametrize("name", ["button", "svg", "select", "object", "video", "template", "noscript", "title", "textarea", "iframe"])
+def test_dropped_elements_without_an_end_tag(name):
+    two = "It was the best of the times and it was the worst of the times for all of us that were there."
+    assert html_extract.main_text(f"<article><p>{LONG}</p><{name}>Share it<p>{LONG}</p><p>{two}</p></article>").split("\n")[-2:] == [LONG, two]
+    assert html_extract.main_text(f"<article><p>{LONG}</p><div><{name}></div><p>{two}</p></article>") == f"{LONG}\n{two}"
+    assert html_extract.main_text(f"<article><p>{LONG}</p><{name}>Share <b>it</b></{name}><p>{two}</p></article>") == f"{LONG}\n{two}"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 120_000 + "</i>" * 120_000, "<div>" * 100_000 + "</p>" * 100_000, "<i><p>" + "<b>" * 100_000 + "</i>" * 100_000, "<button>" * 100_000, "<title>" * 100_000, "<!" * 300_000, "<a href='" * 60_000, "<p" * 300_000])
+def test_a_megabyte_of_unmatched_tags(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 10  # about 2 s; quadratic work took minutes
+
+
+def test_passes_equal_plain_rules():
+    """Labels by the rules as the docstring says them, looked up block by block."""
+    rng, rules = random.Random(8), html_extract.Rules()
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randint(1, 14)):
+            b = html_extract.Block(rng.random() < 0.15, rng.random() < 0.5, rng.random() < 0.1)
+            b.text = " ".join(rng.choice(["the", "of", "xylo", "brak", "und"]) for _ in range(rng.choice([2, 5, 9, 30])))
+            b.linked = rng.choice([0, 0, len(b.text)])
+            blocks.append(b)
+        first = []
+        for b in blocks:
+            words = b.text.split()
+            stops = sum(w in html_extract.STOP_WORDS for w in words) / len(words)
+            bad, good = b.zone or b.linked / len(b.text) > rules.max_links, stops >= rules.high or (stops >= rules.low and len(words) >= rules.long)
+            open_ = b.heading or len(words) < rules.short
+            first.append("bad" if bad else "open" if open_ else "good" if good else "open" if b.in_main or stops >= rules.low else "bad")
+        want = list(first)
+        for i, b in enumerate(blocks):
+            if first[i] == "open":
+                sides = [next(((abs(i - j), first[j], j) for j in span if first[j] != "open"), None) for span in (range(i - 1, -1, -1), range(i + 1, len(blocks)))]
+                near = [x for x in sides if x and blocks[x[2]].in_main == b.in_main and not (b.in_main and blocks[x[2]].zone)]
+                if not near:
+                    want[i] = "good" if b.in_main else "bad"
+                elif len({x[1] for x in near}) == 1:
+                    want[i] = near[0][1]
+                else:
+                    want[i] = "good" if b.in_main else sides[1][1] if b.heading else min(near)[1]
+        html_extract.classify(blocks, rules)
+        assert [b.label for b in blocks] == want
+
+
+def labelled_page(rng):
+    """A page of usual form and its text."""
+    say = lambda n: " ".join(rng.choice("the of and to in is that it was for on with as be at house river stone bright walked quickly opened letter market".split()) for _ in range(n)).capitalize() + "."
+    title, parts = say(6), [say(rng.choice([4, 15, 40, 80])) for _ in range(rng.randint(3, 9))]
+    kind, side = rng.choice(["article", "main", "div class='post-content'", "div id='content'", "section class='has-sidebar story'"]), say(30)
+    link = lambda n: "".join(f"<li><a href='/{i}'>{say(3)}</a></li>" for i in range(n))
+    body = f"<h1>{title}</h1>" + "".join(f"<p>{p}" + rng.choice(["</p>", ""]) for p in parts)
+    extra = [f"<div class='{rng.choice(['ad', 'share-bar', 'related', 'newsletter-signup'])}'>{say(12)}</div>", f"<aside>{side}</aside>", f"<form><label>{say(5)}</label><button>{say(2)}</button></form>", f"<div id='comments'><p>{say(40)}</p><p>{say(25)}</p></div>", f"<div class='cookie-notice'>{say(20)}</div>", f"<ul class='menu'>{link(5)}</ul>", f"<script>var a = '{say(5)}';</script>"]
+    rng.shuffle(extra)
+    page = f"<html><body><header><div>{say(4)}</div></header><nav><ul>{link(6)}</ul></nav>{extra[0]}{extra[1]}<{kind}>{body}</{kind.split()[0]}>{extra[2]}{extra[3]}<footer>{say(15)}</footer></body></html>"
+    return page, "\n".join([title, *parts])
+
+
+def test_precision_and_recall_on_labelled_pages():
+    rng, right, got_n, want_n = random.Random(21), 0, 0, 0
+    for _ in range(400):
+        page, want = labelled_page(rng)
+        got, want = Counter(html_extract.main_text(page).split()), Counter(want.split())
+        right, got_n, want_n = right + (got & want).total(), got_n + got.total(), want_n + want.total()
+    print("precision", right / got_n, "recall", right / want_n)
+    assert right / got_n > 0.97
+    assert right / want_n > 0.97
 
 
 def test_short_blocks_inherit():
