@@ -6,17 +6,23 @@ document with a smaller id are removed. Steps, each bounded in memory and dealt
 1. Anchors. Every window has an anchor, its smallest k-gram hash; equal windows have equal anchors, so
    windows recur only where anchors do. Distinct anchors (about a fifth of the windows) meet in hash
    buckets as packed numbers; a document learns which of its anchors other documents have too.
-2. Confirmed passages. Only windows with such an anchor meet by their 64-bit hashes, in runs that share
+2. Confirmed passages. Only windows with such an anchor meet by their 128-bit hashes, in runs that share
    an anchor. The answer to a document: runs of windows that recur in an earlier document, and where.
 3. Automata. Both texts of each run go to the shard of that earlier passage. A shard compiles its
    windows into an Aho-Corasick automaton (pyahocorasick, over word numbers) and streams the texts of
-   all documents dealt to it through the automaton, which finds every occurrence word for word.
+   all documents dealt to it through the automaton, which finds every occurrence word for word. Texts
+   without a confirmed passage are not streamed: every shard would have to read the whole corpus.
 4. Documents are joined with their verified runs; the words that stay are hashed.
 
 Before each shuffle a task settles what it can see itself: of equal anchors or windows in its batch, one
-goes out, and the other documents refer to it. A passage that a third of all documents share so meets
-as one number for each batch, and its automaton work is spread over as many earlier documents. The
-documents' texts are shuffled once, by id; the joins of steps 2, 3 and 4 read that same exchange.
+goes out, and the other documents refer to it. Where many documents hold a window they refer to each
+other as a tree: each to one a ``FAN_OUT``-th of its place in their order, which is earlier and holds the
+window too. So a passage that a third of all documents share is no larger a shard than others. The
+documents' texts are shuffled once, by id; the joins of steps 2, 3 and 4 read that same exchange. Hash
+buckets hold about ``PART_BYTES`` of text each, so their number follows the input and a task's memory does not.
+
+Words have two 64-bit hashes that mix eight bytes at a time, and windows two sums of these with
+multipliers of their own for each place, so different windows are told apart by 128 bits.
 
 Defined cases: null and empty texts have no words; texts below ``window`` words lose none; a null id is
 neither smaller nor greater than another: such rows lose no words and are no source; rows of one id do
@@ -46,12 +52,17 @@ BATCH_ENTRIES = 1_500_000
 #: Windows of one earlier document that one automaton holds at most.
 AUTOMATON_WINDOWS = 16_384
 
-_ROUND = np.uint64(0x9E3779B97F4A7C15)
-
+#: Later documents that one earlier passage serves, for each task that settles and once among them.
+FAN_OUT = 64
+#: Bytes of text whose anchors or windows meet in one bucket.
+PART_BYTES = 32 << 20
+#: Longer words are hashed one by one, shorter ones all at once.
+LONG_WORD = 256
 
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_MIX, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def split_words(text: bytes | None) -> list[bytes]:
@@ -59,36 +70,41 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").split()
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _MIX
+    h = (h ^ (h >> np.uint64(27))) * _MIX_2
+    return h ^ (h >> np.uint64(31))
+
+
 class WordHasher:
-    """64-bit hashes of all words of a text at once: a polynomial in the bytes, from prefix sums, then mixed."""
+    """Two 64-bit hashes of all words of a text at once: eight bytes of each word are mixed in at a time."""
 
     #: Longer texts are hashed in parts that end at white space.
     part = 1 << 19
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            base, inverse = int(_ROUND), pow(int(_ROUND), -1, 1 << 64)
-            for name, r in (("up", base), ("down", inverse)):
-                powers = np.full(n, r, np.uint64)
-                powers[0] = 1
-                setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+    #: Multipliers of the two hashes.
+    series = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
     def _hash(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(first byte, hash) of each word."""
+        """(first byte, hashes) of each word."""
+        padded = data + bytes(8)
         b = np.frombuffer(data, np.uint8)
-        self._powers(max(len(b), 4096))
+        eights = np.ndarray((len(b) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
         inside = np.zeros(len(b) + 2, np.int8)
         inside[1:-1] = ~_IS_SPACE[b]
         edges = np.flatnonzero(np.diff(inside))
         first, end = edges[::2], edges[1::2]
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.up[: len(b)], out=total[1:])
-        h = (total[end] - total[first]) * self.down[first] + (end - first).astype(np.uint64)
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-        return first, h ^ (h >> np.uint64(29))
+        size = end - first
+        h = size.astype(np.uint64)[:, None] * self.series
+        short = size <= LONG_WORD
+        of, done = np.flatnonzero(short), 0
+        while len(of):
+            v = eights[first[of] + done] & _LOW_BYTES[np.minimum(size[of] - done, 8)]
+            h[of] = _mixed((h[of] ^ v[:, None]) * self.series)
+            done += 8
+            of = of[size[of] > done]
+        for i in np.flatnonzero(~short).tolist():
+            h[i] = np.frombuffer(hashlib.blake2b(data[first[i] : end[i]], digest_size=16).digest(), "<u8")
+        return first, h
 
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """The words' hashes of each text; short texts are hashed together."""
@@ -123,13 +139,12 @@ class WordHasher:
         return np.concatenate(found)
 
 
-def _rolled(h: np.ndarray, size: int) -> np.ndarray:
-    """64-bit hashes of each ``size`` consecutive values."""
+def _rolled(h: np.ndarray, size: int, series: int = 0) -> np.ndarray:
+    """64-bit hashes of each ``size`` consecutive values; each series has multipliers of its own."""
     n = len(h) - size + 1
     out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out *= _ROUND
-        out += h[j : j + n]
+    for j, m in enumerate(np.random.default_rng((series, size)).integers(0, 1 << 63, size, np.uint64)):
+        out += h[j : j + n] * (m * np.uint64(2) + np.uint64(1))
     out ^= out >> np.uint64(31)
     out *= _MIX
     return out ^ (out >> np.uint64(29))
@@ -146,8 +161,8 @@ def _anchors(h: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 def _windows(hasher: WordHasher, texts: list[bytes | None], window: int, gram: int, with_hashes: bool) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """(anchors, window hashes) of each text, empty below ``window`` words. Neighbouring texts are rolled over together; windows across their border are left out."""
-    none = np.zeros(0, np.uint64)
+    """(anchors, two window hashes) of each text, empty below ``window`` words. Neighbouring texts are rolled over together; windows across their border are left out."""
+    none, no_hashes = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
     lo = 0
     while lo < len(texts):
         hi, size = lo, 0
@@ -156,12 +171,13 @@ def _windows(hasher: WordHasher, texts: list[bytes | None], window: int, gram: i
             hi += 1
         words = hasher.texts([t or b"" for t in texts[lo:hi]])
         h = np.concatenate(words)
-        anchors = _anchors(h, window, gram) if len(h) >= window else none
-        hashes = _rolled(h, window) if with_hashes and len(h) >= window else none
+        one, two = np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])
+        anchors = _anchors(one, window, gram) if len(h) >= window else none
+        hashes = np.stack([_rolled(one, window), _rolled(two, window, 1)], 1) if with_hashes and len(h) >= window else no_hashes
         at = 0
         for w in words:
             n = len(w) - window + 1
-            yield (anchors[at : at + n], hashes[at : at + n]) if n > 0 else (none, none)
+            yield (anchors[at : at + n], hashes[at : at + n]) if n > 0 else (none, no_hashes)
             at += len(w)
         lo = hi
 
@@ -281,10 +297,21 @@ def _run_rows(kind: int, runs: list[np.ndarray], parts: int) -> list[tuple]:
 
 
 def _earlier(h, doc, crc, at) -> tuple[np.ndarray, np.ndarray]:
-    """(order, source): windows sorted by hash and document, and for each sorted one the position in that order of its group's first."""
-    order = np.lexsort((at, crc, doc, h))
-    head = starts(h[order])
-    return order, np.repeat(head, np.diff(np.append(head, len(order)))) if len(order) else np.zeros(0, np.int64)
+    """(order, source): windows sorted by hash and document, and for each sorted one the position in that order of an earlier document's, or its own.
+
+    The documents of a group form a tree of FAN_OUT children each; the first one is its own source.
+    """
+    order = np.lexsort((at, crc, doc, h[:, 1], h[:, 0]))
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    one, two, d = h[order, 0], h[order, 1], doc[order]
+    group = starts(one, two)  # first row of each group, and of each document in it
+    holder = starts(one, two, d)
+    group_of = np.repeat(np.arange(len(group)), np.diff(np.append(group, len(order))))
+    holder_of = np.repeat(np.arange(len(holder)), np.diff(np.append(holder, len(order))))
+    base = np.searchsorted(holder, group)[group_of]  # the group's first document
+    place = holder_of - base
+    return order, holder[base + np.maximum(place - 1, 0) // FAN_OUT]
 
 
 def _referred(h, doc, crc, at, parts: int) -> tuple[list[tuple], np.ndarray]:
@@ -307,7 +334,8 @@ def recurring_runs(joined: DataFrame, *, window: int, gram: int, parts: int) ->
     def settled(ids, crcs, hs, ats, anchors) -> pa.RecordBatch:
         sizes = [len(x) for x in hs]
         doc, crc = np.repeat(np.array(ids, np.int64), sizes), np.repeat(np.array(crcs, np.int64), sizes)
-        h, at, anchor = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hs, np.uint64), (ats, np.int64), (anchors, np.uint64)))
+        h = np.concatenate(hs) if hs else np.zeros((0, 2), np.uint64)
+        at, anchor = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((ats, np.int64), (anchors, np.uint64)))
         rows, later = _referred(h, doc, crc, at, parts)
         keep = ~later
         doc, crc, h, at, anchor = doc[keep], crc[keep], h[keep], at[keep], anchor[keep]
@@ -317,7 +345,7 @@ def recurring_runs(joined: DataFrame, *, window: int, gram: int, parts: int) ->
         n = np.diff(np.append(head, len(at)))
         for p, (first, size) in _by_part(deal(anchor[head], parts), head, n):
             inside = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            rows.append((p, 0, pack(doc[first]), pack(crc[first]), pack(at[first]), pack(size), None, None, None, low_bytes(h[inside], 8)))
+            rows.append((p, 0, pack(doc[first]), pack(crc[first]), pack(at[first]), pack(size), None, None, None, h[inside].astype("<u8").tobytes()))
         return _batch(rows, _RUNS)
 
     def sent(batches):
@@ -344,7 +372,7 @@ def recurring_runs(joined: DataFrame, *, window: int, gram: int, parts: int) ->
         rows = [tuple(r) for r in rest.itertuples(index=False)]
         if len(own):
             doc, crc, at, n = (np.concatenate([unpack(x) for x in own[c]]) for c in ("doc", "crc", "at", "n"))
-            h = np.concatenate([from_low_bytes(x, 8) for x in own["data"]])
+            h = np.concatenate([np.frombuffer(x, "<u8").reshape(-1, 2) for x in own["data"]]).astype(np.uint64)
             at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             rows += _referred(h, np.repeat(doc, n), np.repeat(crc, n), at, parts)[0]
         return pd.DataFrame(rows, columns=[f.split()[0] for f in _RUNS.split(",")])
@@ -502,11 +530,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """One row per document: id, n_words, n_removed, kept_sha256 and, if asked, kept_text (the words that stay, joined by one space)."""
     if not 0 < gram < window:
         raise ValueError("gram must be below window")
-    parts, kind = parts or n_partitions(docs), docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
     # a column that has its name already gets no alias: the optimizer drops one in some joins only, and then their exchanges differ
     text = F.col(text_col) if text_col == "text" else F.col(text_col).alias("text")
     rows = docs.select(F.col(id_col).alias("id"), F.crc32(F.col(text_col).cast("binary")).alias("crc"), text)
     named = rows.where("id is not null").withColumn("id", F.col("id").cast("long"))
+    if parts is None:
+        size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(n_partitions(docs), -(-size // PART_BYTES))
     anchors = shared_anchors(named.select("id", F.col("text").cast("binary")), window=window, gram=gram, parts=parts)
     runs = recurring_runs(_with(named, anchors, "inner").select("id", "crc", F.col("text").cast("binary"), "anchors"), window=window, gram=gram, parts=parts)
     found = verified(passages(_with(named, runs, "inner").select("id", "crc", F.col("text").cast("binary"), "runs"), window), window)

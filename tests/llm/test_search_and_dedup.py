@@ -89,18 +89,43 @@ def test_packing_round_trip(values):
 
 def test_word_hashes_do_not_depend_on_parts(monkeypatch):
     rng = random.Random(9)
-    texts = [b"".join(rng.choice([b"ab", b"\x00", "é".encode(), b"long" * 40, b" ", b"\n", b"\t "]) for _ in range(rng.randint(0, 200))) for _ in range(40)]
+    texts = [b"".join(rng.choice([b"ab", b"\x00", "é".encode(), b"long" * 40, b"longer" * 60, b" ", b"\n", b"\t "]) for _ in range(rng.randint(0, 200))) for _ in range(40)]
     whole = substring.WordHasher().texts(texts)
     assert [len(w) for w in whole] == [len(t.split()) for t in texts]
-    seen: dict[bytes, int] = {}
+    seen: dict[bytes, tuple] = {}
     for t, w in zip(texts, whole):
         for word, h in zip(t.split(), w.tolist()):
-            assert seen.setdefault(word, h) == h
-    assert len(set(seen.values())) == len(seen)
+            assert seen.setdefault(word, tuple(h)) == tuple(h)
+    assert len({h[0] for h in seen.values()}) == len({h[1] for h in seen.values()}) == len(seen)
     monkeypatch.setattr(substring.WordHasher, "part", 50)
     assert [w.tolist() for w in substring.WordHasher().texts(texts)] == [w.tolist() for w in whole]
 
 
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_in_plain_polynomials(spark):
+    a = thue_morse(4096)
+    b, rest = a.translate(str.maketrans("ab", "ba")), " ".join(f"r{i}" for i in range(12))
+    docs = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest}")]
+    assert sorted(tuple(r) for r in substring.remove_repeats(spark.createDataFrame(docs, DOC)).collect()) == sorted(brute.repeats(docs))
+    assert brute.repeats(docs)[2][2] == 13
+
+
+def test_repeated_word_patterns_collide_nowhere():
+    """Windows that differ by swapped words at many places."""
+    hasher, seen = substring.WordHasher(), {}
+    for bits in range(1 << 13):
+        h = hasher.texts([b" ".join(b"x" if bits >> i & 1 else b"y" for i in range(13))])[0]
+        key = int(substring._rolled(np.ascontiguousarray(h[:, 0]), 13)[0]), int(substring._rolled(np.ascontiguousarray(h[:, 1]), 13, 1)[0])
+        assert seen.setdefault(key, bits) == bits
+    assert len({k[0] for k in seen}) == len({k[1] for k in seen}) == 1 << 13
+
+
 def repeat_docs(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -114,8 +139,9 @@ def repeat_docs(seed):
     return [*docs, (500, docs[3][1]), (501, "a b c " * 30), (502, "x " + "a b c " * 9), (503, None), (504, ""), (505, "é\u00a0ü " * 14), (506, "é\u00a0ü " * 13)]
 
 
-@pytest.mark.parametrize("batch", [50, 10**6])
-def test_repeats_equal_brute_force(spark, batch, monkeypatch):
+@pytest.mark.parametrize(("batch", "fan_out"), [(50, 64), (10**6, 2), (50, 1)])
+def test_repeats_equal_brute_force(spark, batch, fan_out, monkeypatch):
+    monkeypatch.setattr(substring, "FAN_OUT", fan_out)
     monkeypatch.setattr(substring, "BATCH_ENTRIES", batch)
     monkeypatch.setattr(substring, "AUTOMATON_WINDOWS", 16)
     docs = repeat_docs(4)
