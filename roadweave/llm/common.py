@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,18 +26,33 @@ def ascii_lower(col: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share; a local one is set only where none is named."""
+    """The folder that all executors share; only a local session may do without a named one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "roadweave-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if named is None and sc._jsc.sc().getCheckpointDir().isDefined():
+        named = sc._jsc.sc().getCheckpointDir().get()
+    if named is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "roadweave-tables")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the plan is computed now, kept in the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The plan is computed now, written as a table in the shared folder and read from there.
+
+    ``release`` removes the table once nothing needs it; others stay for the session's later jobs.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes what ``cut`` wrote for these tables."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._table)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.llm.common import cut
+from roadweave.llm.common import cut, release
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -17,8 +17,8 @@ def _with_least(pairs: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) long -> (node, component): each linked node and the smallest node that it reaches.
 
-    Rounds end when the links no longer change, after O(log n) of them; each is checkpointed in the
-    shared folder. Nulls and self-links are dropped; an empty table gives no rows.
+    Rounds end when the links no longer change, after O(log n) of them; each is written to the shared
+    folder, where the one before it is then removed. Nulls and self-links are dropped; an empty table gives no rows.
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
@@ -30,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)
-        edges = cut(
+        last, edges = edges, cut(
             small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         )
+        release(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -97,13 +97,6 @@ class TemplateIndex:
                     out.append((k, share))
         return out
 
-    def matches(self, block: list[str], found: dict[str, float]) -> None:
-        """The block as a whole."""
-        for k, share in self.candidates(block):
-            label, _, _, _, most = self.templates[k]
-            if len(block) <= most:
-                found[label] = max(found.get(label, 0.0), share)
-
     def scan(self, words: list[str], found: dict[str, float]) -> None:
         """Every window of the words."""
         for k, share in self.candidates(words):

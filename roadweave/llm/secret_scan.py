@@ -74,20 +74,20 @@ def _gathered(items: Column, state: Column, step, kind: str) -> Column:
     return _bound(items, outer)
 
 
-def matches(text: Column, pattern: str, between: bool = False) -> Column:
-    """Array of (s, e, m): leftmost non-overlapping matches, or what stands between them, with their places in code points."""
+def matches(text: Column, pattern: str, between: bool = False, measure=F.length) -> Column:
+    """Array of (s, e, m): leftmost non-overlapping matches, or what stands between them, with their places in code points (or as ``measure`` counts)."""
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, m: F.struct(p.alias("p"), m.alias("m")))
     kind = "struct<s:int,e:int,m:string>"
     none = F.expr(f"cast(array() as array<{kind}>)")
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
-        s = at + F.length(x["p"])
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
+        s = at + measure(x["p"])
+        e = s + F.coalesce(measure(x["m"]), F.lit(0))
         if between:
             return e, F.array(F.struct(at.alias("s"), s.alias("e"), x["p"].alias("m")))
         return e, F.when(x["m"].isNull(), none).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))
 
-    whole = F.array(F.struct(F.lit(0).alias("s"), F.length(text).alias("e"), text.alias("m"))) if between else none
+    whole = F.array(F.struct(F.lit(0).alias("s"), measure(text).alias("e"), text.alias("m"))) if between else none
     return F.when(text.rlike(pattern), _gathered(pieces, F.lit(0), step, kind)).otherwise(whole)
 
 
@@ -144,7 +144,8 @@ def hot_range(text: Column, threshold: Column, window: int = ENTROPY_WINDOW) ->
     return _bound(codes, scanned)
 
 
-def entropy_spans(text: Column) -> Column:
+def entropy_spans(text: Column, measure=F.length) -> Column:
+    """Candidates are ASCII, so places inside them count alike in code points and bytes."""
     allowed = lambda m: F.lit(False) if not ALLOWED else _any(m.rlike(p) for p in ALLOWED)
     suspect = lambda x: x["m"].rlike(MIXED) & ~allowed(x["m"])
 
@@ -153,7 +154,7 @@ def entropy_spans(text: Column) -> Column:
         rest = F.filter(matches(x["m"], ALLOWED_PIECE, between=True), lambda r: (F.length(r["m"]) >= ENTROPY_WINDOW) & suspect(r))
         return F.transform(rest, lambda r: F.struct((x["s"] + r["s"]).alias("s"), (x["s"] + r["e"]).alias("e"), r["m"].alias("m")))
 
-    runs = F.filter(matches(text, CANDIDATE), suspect)
+    runs = F.filter(matches(text, CANDIDATE, measure=measure), suspect)
     candidates = F.flatten(F.transform(runs, lambda x: F.when(x["m"].rlike(ALLOWED_WORDS), cleared(x)).otherwise(F.array(x))))
 
     def span(x: Column) -> Column:
@@ -174,15 +175,15 @@ def _any(conditions) -> Column:
     return out
 
 
-def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
-    """Adds __assign, __access, __hex and __spans (base and added, in order)."""
+def with_spans(docs: DataFrame, text_col: str, measure=F.length) -> DataFrame:
+    """Adds __assign, __access, __hex and __spans (base and added, in order), with places as ``measure`` counts them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.withColumn("__t", text).select(
         *docs.columns,
-        _spans(F.filter(matches(F.col("__t"), ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6), "assign", 0).alias("__assign"),
-        _spans(matches(F.col("__t"), ACCESS_LONG), "access", 1).alias("__access"),
-        _spans(matches(F.col("__t"), HEX_LONG), "hex", 2).alias("__hex"),
-        entropy_spans(F.col("__t")).alias("__more"),
+        _spans(F.filter(matches(F.col("__t"), ASSIGN, measure=measure), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6), "assign", 0).alias("__assign"),
+        _spans(matches(F.col("__t"), ACCESS_LONG, measure=measure), "access", 1).alias("__access"),
+        _spans(matches(F.col("__t"), HEX_LONG, measure=measure), "hex", 2).alias("__hex"),
+        entropy_spans(F.col("__t"), measure).alias("__more"),
     )
     base = base.withColumn("__base", F.array_sort(F.concat("__assign", "__access", "__hex")))
 
@@ -210,14 +211,15 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns, each span (overlapping ones together) replaced by ``mark``; null texts stay null."""
-    found = with_spans(docs, text_col)
-    text = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    found = with_spans(docs, text_col, F.octet_length)
+    text, data = F.col(text_col), F.col(text_col).cast("binary")  # bytes are cut without a walk from the start
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        grown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, grown).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        """at: the end of the spans so far. One that starts there or later adds what stands before it, and the mark."""
+        before = F.substring(data, at + 1, F.greatest(x["s"] - at, F.lit(0))).cast("string")
+        none = F.expr("cast(array() as array<string>)")
+        return F.greatest(at, x["e"]), F.when(x["k"] < 0, F.array(before)).when(x["s"] >= at, F.array(before, F.lit(mark))).otherwise(none)
 
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    end = F.struct(F.octet_length(text).alias("s"), F.lit(-1).alias("k"), F.octet_length(text).alias("e"), F.lit("").alias("kind"))
+    masked = F.array_join(_gathered(F.concat("__spans", F.array(end)), F.lit(0), step, "string"), "")
     return found.withColumn("__new", F.when(F.size("__spans") > 0, masked).otherwise(text)).select(*(F.col("__new").alias(c) if c == text_col else F.col(c) for c in docs.columns))

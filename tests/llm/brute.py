@@ -51,7 +51,7 @@ def contamination(docs, items, window=10):
                 if (got := wins.get(tuple(w[i : i + size]))) is not None:
                     hit.update(range(i, i + size))
                     found |= got
-        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
+        out.append((doc, len(w), len(hit), len(found), sha(",".join(sorted(str(i) for i in found if i is not None))), bool(hit)))
     return out
 
 
