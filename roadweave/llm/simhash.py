@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
-from roadweave.llm.common import cut
+from roadweave.llm.common import cut, release
 from roadweave.llm.components import components
 from roadweave.llm.packed import mix
 
@@ -110,6 +110,11 @@ def _forest(fps: list[int], ids: list[int], split: int, radius: int) -> list[tup
     return links
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest blocks whose keys (64 / blocks bits for each block beyond the radius) are at most four times fewer than the nodes."""
+    return next((b for b in range(radius + 2, 2 * radius) if n <= 1 << (64 * (b - radius) // b + 2)), 2 * radius)
+
+
 def shard_links(nodes: DataFrame, *, radius: int, blocks: int, max_shard: int) -> DataFrame:
     """nodes (fp, id) -> links (u, v) between ids whose fingerprints differ in at most ``radius`` bits."""
     agree = blocks - radius
@@ -282,14 +287,19 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     keys = ["g", "x", "y"]
     found = components(units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(linked, "u long, v long"))
+    release(members, loose)
     labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int = 6, max_shard: int = 2048) -> DataFrame:
-    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that it reaches)."""
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, max_shard: int = 2048) -> DataFrame:
+    """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that it reaches).
+
+    ``blocks``: by default as many as keep shards of unlike fingerprints at a few nodes; the links are the same for any number.
+    """
     rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).select(F.col("id").cast("long").alias("id"), "fp"))
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
+    blocks = blocks or blocks_for(nodes.count(), radius)
     found = components(shard_links(nodes.where("id is not null"), radius=radius, blocks=blocks, max_shard=max_shard))
     labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

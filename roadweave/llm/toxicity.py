@@ -75,12 +75,14 @@ def _term_batches(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_train: int = 20_000, max_features: int = 2048, min_docs: int = 4, factors: int = 6, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
+        max_train: int = 20_000, max_features: int = 2048, anchors: int = 8, max_partners: int = 1024, min_docs: int = 4, factors: int = 6, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``max_train`` labelled rows (the smallest by a hash of the id), never on held-out ids.
 
     Equal term sets with one label count once, so groups of copies don't stand for many documents.
     Buckets found in fewer than ``min_docs`` of these are left out; the ``max_features`` with the
-    largest chi-square against the label stay.
+    largest chi-square against the label stay, and beside them ``max_partners`` with the largest
+    chi-square among the documents of one of the ``anchors`` strongest toxic buckets: terms that are
+    neutral alone and decide beside another.
     """
     picked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -104,13 +106,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         if not pos or not neg:
             return none
         a, b = F.col("a"), F.col("b")
-        chi = (a * (F.lit(neg) - b) - b * (F.lit(pos) - a)) ** 2 / ((a + b) * (F.lit(pos + neg) - a - b) + 1.0)
-        kept = (
-            sample.select(F.explode("terms").alias("t"), "y").groupBy("t")
-            .agg(F.sum((F.col("y") > 0).cast("double")).alias("a"), F.sum((F.col("y") <= 0).cast("double")).alias("b"))
-            .where(a + b >= min_docs).orderBy(chi.desc(), "t").limit(max_features)
-        )
-        buckets = np.sort(np.array([r["t"] for r in kept.select("t").collect()], np.int32))
+
+        def chi(n_pos: Column, n_neg: Column) -> Column:
+            return (a * (n_neg - b) - b * (n_pos - a)) ** 2 / ((a + b) * (n_pos + n_neg - a - b) + 1.0)
+
+        counts = [F.sum((F.col("y") > 0).cast("double")).alias("a"), F.sum((F.col("y") <= 0).cast("double")).alias("b")]
+        single = sample.select(F.explode("terms").alias("t"), "y").groupBy("t").agg(*counts).where(a + b >= min_docs).orderBy(chi(F.lit(pos), F.lit(neg)).desc(), "t").limit(max_features)
+        kept = [(r["t"], r["a"], r["b"]) for r in single.select("t", "a", "b").collect()]
+        strong: dict[tuple, int] = {}  # buckets that stand in the same documents count once
+        for t, in_pos, in_neg in kept:
+            if in_pos * neg > in_neg * pos and len(strong) < anchors:
+                strong.setdefault((in_pos, in_neg), t)
+        chosen = {t for t, _, _ in kept} | set(_partners(sample, strong, chi, counts, min_docs, max_partners))
+        buckets = np.sort(np.array(sorted(chosen), np.int32))
         rows = (
             sample.select(F.array_sort(F.array_intersect("terms", F.array(*[F.lit(int(x)) for x in buckets]))).alias("terms"), "y").collect()
             if len(buckets) else []
@@ -124,6 +132,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return _train(buckets, x, np.array([y for _, y in rows], np.float64), w0, factors, epochs, seed)
 
 
+def _partners(sample: DataFrame, strong: dict[tuple, int], chi, counts: list[Column], min_docs: int, most: int) -> list[int]:
+    """Buckets with the largest chi-square within the documents that hold one of the strong ones."""
+    if not strong or not most:
+        return []
+    held = sample.select(F.explode(F.array_intersect("terms", F.array(*map(F.lit, strong.values())))).alias("anchor"), "terms", "y")
+    n = {c: F.lit(None) for c in "ab"}
+    for (in_pos, in_neg), t in strong.items():
+        for c, v in (("a", in_pos), ("b", in_neg)):
+            n[c] = F.when(F.col("anchor") == t, v).otherwise(n[c])
+    pairs = held.select("anchor", F.explode("terms").alias("t"), "y").groupBy("anchor", "t").agg(*counts).where(F.col("a") + F.col("b") >= min_docs)
+    best = pairs.groupBy("t").agg(F.max(chi(n["a"], n["b"])).alias("chi")).where("chi > 0").orderBy(F.col("chi").desc(), "t").limit(most)
+    return [r["t"] for r in best.select("t").collect()]
+
+
 def _train(buckets: np.ndarray, x: list[np.ndarray], y: np.ndarray, w0: float, factors: int, epochs: int, seed: int) -> FactorizationMachine:
     """AdaGrad on the logistic loss with L2, over bounded sample rows only."""
     rng, n = np.random.default_rng(seed), len(buckets)

@@ -467,6 +467,42 @@ def test_pairs_that_linear_weights_miss(spark):
     assert np.abs(model.v).max() > 0.1
 
 
+def test_raw_scores_equal_the_plain_sum_over_pairs():
+    rng = np.random.default_rng(0)
+    model = toxicity.FactorizationMachine(np.arange(9, dtype=np.int32), 0.3, rng.normal(size=9), rng.normal(size=(9, 4)))
+    rows = [np.array(sorted(rng.choice(9, n, replace=False)), np.int64) for n in (0, 1, 2, 5, 9)]
+    for row, got in zip(rows, model.raw(rows)):
+        want = 0.3 + sum(model.w[i] for i in row) + sum(float(model.v[i] @ model.v[j]) for a, i in enumerate(row) for j in row[a + 1 :])
+        assert math.isclose(got, want, abs_tol=1e-9)
+
+
+def test_terms_that_decide_beside_another_only(spark):
+    """A word neutral alone, among many that are as frequent: toxic with one word, harmless with another."""
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(1500):
+        m, a, b = rng.random() < 0.5, rng.random() < 0.3, rng.random() < 0.3
+        rows.append((i, " ".join([*["mentions"] * m, *["insult"] * a, *["other"] * b, *(f"n{rng.randrange(400)}" for _ in range(10))])))
+        labels.append((i, int((m and a) or (not m and b))))
+    docs, known = spark.createDataFrame(rows, DOC), spark.createDataFrame(labels, "doc_id long, toxic int")
+    truth = dict(labels)
+
+    def right(**options):
+        model = toxicity.fit(docs, known, max_features=12, **options)
+        return np.mean([r.predicted == truth[r.doc_id] for r in toxicity.score(docs, model).where("held_out").collect()])
+
+    assert right(max_partners=12) > 0.9 > 0.85 > right(max_partners=0)
+
+
+def test_ties_and_very_long_texts(spark):
+    """A score at the threshold predicts 1; words count once, however long the text."""
+    model = toxicity.FactorizationMachine(np.array([toxicity._hashes("grout")[0]], np.int32), 0.0, np.array([2.0]), np.zeros((1, 2)))
+    docs = spark.createDataFrame([(1, "plain"), (2, "grout"), (3, "grout " * 500_000), (4, "plain " * 500_000 + "grout"), (5, "plain")], DOC)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score(docs, model).collect()}
+    assert got[1] == got[5] == (0.5, 1)
+    assert got[2] == got[3] == got[4] and got[2][0] > 0.85
+    assert {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()} == set()
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (2, "")], DOC)
     empty = spark.createDataFrame([], "doc_id long, toxic int")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from roadweave.llm import simhash, substring, topk
+from roadweave.llm.common import release, shared_dir
 from roadweave.llm.components import components
 from roadweave.llm.mtree import MTree
 from roadweave.llm.packed import from_low_bytes, low_bytes, pack, unpack
@@ -186,12 +188,28 @@ def linked(docs, radius=4):
     return {(d, f"{fps[d]:016x}", root(d)) for d in fps}
 
 
-@pytest.mark.parametrize("max_shard", [2048, 2])
-def test_simhash_equals_brute_force(spark, max_shard):
+@pytest.mark.parametrize(("max_shard", "blocks"), [(2048, None), (2, None), (2048, 7), (2048, 8)])
+def test_simhash_equals_brute_force(spark, max_shard, blocks):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     rows += [(1000 + i, rows[i][1] + f" extra{i % 2}") for i in range(60)] + [(2000, None), (2001, ""), (2002, " \n"), (2003, "A b"), (2004, "a B")]
     df = spark.createDataFrame([(*r, "q") for r in rows], DOC + ", fp string")
-    assert {tuple(r) for r in simhash.near_duplicates(df, max_shard=max_shard).collect()} == linked(rows)
+    assert {tuple(r) for r in simhash.near_duplicates(df, max_shard=max_shard, blocks=blocks).collect()} == linked(rows)
+
+
+def test_blocks_follow_the_number_of_nodes():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**6, 10**8, 10**10, 10**12)] == [6, 6, 7, 8, 8]
+    assert simhash.blocks_for(10**12, 1) > 1
+
+
+def test_tables_go_once_nothing_reads_them(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    at = Path(shared_dir(spark))
+    before = set(at.iterdir()) if at.exists() else set()
+    found = components(links)
+    assert len(set(at.iterdir()) - before) == 1
+    assert found.where("component <> 0").count() == 0
+    release(found)
+    assert set(at.iterdir()) == before
 
 
 def test_simhash_with_odd_rows(spark):
