@@ -105,8 +105,8 @@ def package(tensors: DataFrame) -> DataFrame:
 def regraph(graphs: DataFrame, key: list[str], lossless: bool = True) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) built anew from nested graphs with the default options.
 
-    Node structs without velocity fields take them from their features if lossless; else, as the
-    reference's adapter does, velocities and headings become 0.
+    Node structs without velocity fields take them from their features if lossless; else velocities
+    and headings become 0.
     """
     have = _fields(graphs, "nodes")
     rows = graphs.select(*key, F.explode("nodes").alias("n"))

@@ -60,7 +60,7 @@ def build_nodes(actors: DataFrame, key: list[str], config: GraphConfig = GraphCo
     """Nodes of every frame. Aliases: x_m before x, heading_rad before heading, actor_class before class_name, class, label.
 
     ``order_col`` gives the row order within a frame (default: track id). ``numeric_tracks`` reads ids as
-    whole numbers, other strings as 0 (as the reference does); else they stay as they are.
+    whole numbers, other strings as 0; else they stay as they are.
     """
     num = lambda *names: F.lit(0.0) if (c := _first(actors, *names)) is None else safe_float(c)
     order = order_col or "track_id"
@@ -184,7 +184,7 @@ def nested_graphs(nodes: DataFrame, edges: DataFrame, key: list[str], radius: fl
 
 
 def build_interaction_graph(actors: DataFrame, radius: float = 6.0, actor_classes: list[str] | None = None, ignore_video: bool = False) -> DataFrame:
-    """Undirected nested graph of each frame, in ascending frame order. ``ignore_video`` mixes videos, as the reference does."""
+    """Undirected nested graph of each frame, in ascending frame order. ``ignore_video`` mixes videos."""
     key = ["frame_id"] if ignore_video or "video_id" not in actors.columns else ["video_id", "frame_id"]
     nodes, edges = build_graphs(actors, key, GraphConfig(radius=radius, actor_classes=actor_classes))
     return nested_graphs(nodes, edges, key, radius, "undirected").orderBy(*key)

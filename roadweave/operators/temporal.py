@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.scalars import safe_float
+from roadweave.functions.numbering import row_number, running_sum
+from roadweave.functions.scalars import require_columns, safe_float
 from roadweave.functions.vocabulary import EDGE_FEATURES
 
 
@@ -17,12 +18,12 @@ def sliding_windows(frames: DataFrame, video_col: str = "video_id", frame_col: s
     """
     if window_size < 1 or stride < 1:
         raise ValueError("window_size and stride must be >= 1")
+    require_columns(frames, video_col, frame_col)
     own = Window.partitionBy(video_col)
     placed = frames.select(video_col, frame_col).distinct().withColumns({"p": F.row_number().over(own.orderBy(frame_col)) - 1, "n": F.count("*").over(own)}).where(F.col("n") >= window_size)
     per_video = frames.select(video_col, frame_col).distinct().groupBy(video_col).agg(F.count("*").alias("n")).where(F.col("n") >= window_size)
     windows = F.floor((F.col("n") - window_size) / stride).cast("long") + 1
-    # one row per video is numbered in one task; frames never are
-    base = per_video.withColumn("base", F.coalesce(F.sum(windows).over(Window.orderBy(video_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(video_col, "base")
+    base = running_sum(per_video, [video_col], windows, "base").select(video_col, "base")
     first = F.greatest(F.lit(0), F.ceil((F.col("p") - window_size + 1) / stride)).cast("long")
     last = F.least(F.floor(F.col("p") / stride), F.floor((F.col("n") - window_size) / stride)).cast("long")
     members = placed.where(first <= last).withColumn("w", F.explode(F.sequence(first, last)))
@@ -39,9 +40,11 @@ def tumbling_windows(graphs: DataFrame, order_col: str, window_size: int = 2, na
     if window_size < 1:
         raise ValueError("window_size must be >= 1")
     by = group_cols or []
-    order = Window.partitionBy(*by).orderBy(order_col) if by else Window.orderBy(order_col)
-    n = F.floor((F.row_number().over(order) - 1) / window_size).cast("int")
-    rows = graphs.withColumn("__w", n).groupBy(*by, "__w").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(name_col or order_col).alias("m")))).alias("s"))
+    if by:
+        placed = graphs.withColumn("__p", F.row_number().over(Window.partitionBy(*by).orderBy(order_col)) - 1)
+    else:
+        placed = row_number(graphs, [order_col], "__p")
+    rows = placed.withColumn("__w", F.floor(F.col("__p") / window_size).cast("int")).groupBy(*by, "__w").agg(F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(name_col or order_col).alias("m")))).alias("s"))
     return rows.select(*by, F.format_string("window_%03d", F.col("__w") + 1).alias("window_id"), F.transform("s", lambda x: x["m"]).alias("members"), F.size("s").alias("num_graphs"))
 
 

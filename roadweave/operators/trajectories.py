@@ -9,7 +9,7 @@ from roadweave.functions.scalars import nan_to_null, require_columns
 
 
 def keys_of(df: DataFrame, *names: str, video_col: str = "video_id", per_video: bool = True) -> list[str]:
-    """Key columns, with the video if the table has one and per_video holds (the reference mixes videos)."""
+    """Key columns, with the video if the table has one and per_video holds (without it, videos are mixed)."""
     return [*([video_col] if per_video and video_col in df.columns else []), *names]
 
 
@@ -50,12 +50,13 @@ def compute_kinematics(df: DataFrame, track_id_col: str = "track_id", frame_col:
     return out.withColumn("accel_mps2", F.try_divide(step(F.col("speed_mps")), F.col("dt")))
 
 
-def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float, condition: Column | None = None, inclusive: bool = False, bucketed: bool = False, x_col: str = "x_m", y_col: str = "y_m") -> DataFrame:
+def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float, condition: Column | None = None, inclusive: bool = False, bucketed: bool = False, x_col: str = "x_m", y_col: str = "y_m", wanted: DataFrame | None = None) -> DataFrame:
     """Unordered pairs of points of one key closer than ``radius``: structs a and b (a's id smaller) and dist.
 
     Plain: an equi-join by key, with the distance as a condition of the join. Bucketed: by key and a grid
     of cells as wide as the radius, one side also sent to the 8 cells around; a pair meets in exactly one
     cell, so a crowded frame is dealt over its cells. Both give the same pairs. ``condition`` may use a and b.
+    ``wanted`` (__a, __b) are the only pairs of ids that may meet: the first goes along as a part of the key.
     """
     gap = lambda: F.hypot(F.col("b")[x_col] - F.col("a")[x_col], F.col("b")[y_col] - F.col("a")[y_col])
     all_of = F.struct(*(F.col(c) for c in points.columns))
@@ -70,6 +71,10 @@ def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float,
         two = two.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
         two = two.withColumns({"__cx": cell("b", x_col) + F.col("__dx"), "__cy": cell("b", y_col) + F.col("__dy")}).drop("__dx", "__dy")
         names = [*names, "__cx", "__cy"]
+    if wanted is not None:
+        one = one.withColumn("__a", F.col("a")[id_col]).join(wanted, "__a").drop("__a")
+        two = two.withColumn("__b", F.col("b")[id_col])
+        names = [*names, "__b"]
     near = gap() <= radius if inclusive else gap() < radius
     joined = one.alias("l").join(two.alias("r"), [F.col(f"l.{n}") == F.col(f"r.{n}") for n in names] + [F.col("a")[id_col] < F.col("b")[id_col], near])
     out = joined.select("a", "b", gap().alias("dist"))
@@ -77,43 +82,45 @@ def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float,
 
 
 def find_nearby_pairs(df: DataFrame, frame_col: str = "frame_idx", track_col: str = "track_id", x_col: str = "x_m", y_col: str = "y_m", distance_threshold: float = 15.0,
-                      speed_col: str | None = None, bucketed: bool = False, per_video: bool = True, mark_repeated: bool = False) -> DataFrame:
+                      speed_col: str | None = None, bucketed: bool = True, per_video: bool = True, mark_repeated: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(frame, track_id_a, track_id_b, dist[, rel_speed]): pairs strictly closer than the threshold, ids ordered as strings.
 
     ``mark_repeated`` adds ``repeated``: whether a track of the pair has several rows in the frame.
+    ``carry`` adds structs a and b with x_m, y_m and these columns.
     """
     require_columns(df, frame_col, track_col, x_col, y_col)
     key = keys_of(df, frame_col, per_video=per_video)
     speed = speed_col if speed_col and speed_col in df.columns else None
     points = df.select(
-        *key, F.col(track_col).cast("string").alias("track"), nan_to_null(x_col).alias("x_m"), nan_to_null(y_col).alias("y_m"), *([nan_to_null(speed).alias("speed")] if speed else [])
+        *key, F.col(track_col).cast("string").alias("track"), nan_to_null(x_col).alias("x_m"), nan_to_null(y_col).alias("y_m"), *([nan_to_null(speed).alias("speed")] if speed else []), *carry
     ).where(F.col(frame_col).isNotNull())
     if mark_repeated:  # partitioned by track already where kinematics came before
         points = points.withColumn("repeated", F.count("*").over(Window.partitionBy(*key, "track")) > 1)
     pairs = pairs_within(points, key, "track", distance_threshold, bucketed=bucketed)
     return pairs.select(
         *(F.col("a")[k].alias(k) for k in key), F.col("a.track").alias("track_id_a"), F.col("b.track").alias("track_id_b"), "dist",
-        *([F.abs(F.col("a.speed") - F.col("b.speed")).alias("rel_speed")] if speed else []), *([(F.col("a.repeated") | F.col("b.repeated")).alias("repeated")] if mark_repeated else []),
+        *([F.abs(F.col("a.speed") - F.col("b.speed")).alias("rel_speed")] if speed else []), *([(F.col("a.repeated") | F.col("b.repeated")).alias("repeated")] if mark_repeated else []), *(["a", "b"] if carry else []),
     )
 
 
 def compute_conflict_pairs(df: DataFrame, frame_col: str = "frame_idx", track_col: str = "track_id", x_col: str = "x_m", y_col: str = "y_m", speed_col: str = "speed_mps",
-                           min_interaction_frames: int = 3, distance_threshold: float = 15.0, bucketed: bool = False, per_video: bool = True) -> DataFrame:
+                           min_interaction_frames: int = 3, distance_threshold: float = 15.0, bucketed: bool = True, per_video: bool = True) -> DataFrame:
     """Pairs near each other in enough frames: frame_indices, min_distance, min_distance_frame, avg_relative_speed.
 
     Duplicate rows of a track in a frame count as near frames, once each, but their distances and speeds don't.
     """
     near = find_nearby_pairs(df, frame_col, track_col, x_col, y_col, distance_threshold, speed_col, bucketed, per_video, mark_repeated=True)
+    return near.groupBy(*keys_of(df, per_video=per_video), "track_id_a", "track_id_b").agg(*conflict_measures(near, frame_col)).where(F.col("n_frames") >= min_interaction_frames)
+
+
+def conflict_measures(near: DataFrame, frame_col: str) -> list[Column]:
+    """Aggregates of a pair's near frames (dist, rel_speed if there is one, repeated)."""
     dist, speed = F.when(~F.col("repeated"), F.col("dist")), F.when(~F.col("repeated"), F.col("rel_speed")) if "rel_speed" in near.columns else F.lit(None).cast("double")
-    return (
-        near.groupBy(*keys_of(df, per_video=per_video), "track_id_a", "track_id_b")
-        .agg(
-            F.sort_array(F.collect_list(frame_col)).alias("frame_indices"), F.count("*").alias("n_frames"), F.coalesce(F.min(dist), F.lit(float("inf"))).alias("min_distance"),
-            F.coalesce(F.min(F.when(~F.col("repeated"), F.struct("dist", F.col(frame_col).alias("f"))))["f"], F.lit(-1)).alias("min_distance_frame"),
-            F.coalesce(F.avg(speed), F.lit(0.0)).alias("avg_relative_speed"),
-        )
-        .where(F.col("n_frames") >= min_interaction_frames)
-    )
+    return [
+        F.sort_array(F.collect_list(frame_col)).alias("frame_indices"), F.count("*").alias("n_frames"), F.coalesce(F.min(dist), F.lit(float("inf"))).alias("min_distance"),
+        F.coalesce(F.min(F.when(~F.col("repeated"), F.struct("dist", F.col(frame_col).alias("f"))))["f"], F.lit(-1)).alias("min_distance_frame"),
+        F.coalesce(F.avg(speed), F.lit(0.0)).alias("avg_relative_speed"),
+    ]
 
 
 def filter_meaningful_conflicts(pairs: DataFrame, max_min_distance: float = 5.0, min_avg_speed: float = 0.0) -> DataFrame:

@@ -154,6 +154,31 @@ ORACLE["feature_stats"] = """SELECT CAST(i - 1 AS INTEGER) AS channel, round(avg
   SELECT unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings) GROUP BY i"""
 ORACLE["z_scores"] = """SELECT vec_id, round((embedding[1]::DOUBLE - 0.1) / 0.5, 6) AS z0, round(embedding[2]::DOUBLE + 0.2, 6) AS z1, round(embedding[3]::DOUBLE / 0.25, 6) AS z2 FROM embeddings"""
 
+_h = [1.2, 0.1, 3.0, -0.05, 0.9, 1.0, 0.0005, 0.0002, 1.0]
+ORACLE["homography_fit"] = f"WITH {TRACKS} SELECT DISTINCT cls_idx AS camera, {', '.join(f'{v}::DOUBLE AS h{i}' for i, v in enumerate(_h))}, 0.0::DOUBLE AS rms_error FROM tracks".replace("0.0005::DOUBLE", "round(0.0005::DOUBLE, 5)")
+ORACLE["interaction_graphs"] = f"""WITH {GRAPH}, e AS (SELECT frame_id, CAST(count(*) AS INTEGER) AS m, string_agg((src + 1) || '-' || (dst + 1) || '-' || src || '-' || dst, ',' ORDER BY src, dst) AS edges FROM fwd GROUP BY frame_id),
+n AS (SELECT frame_id, CAST(count(*) AS INTEGER) AS num_nodes, string_agg(node_id || ':' || track_id || ':' || actor_class, ',' ORDER BY node_id) AS nodes,
+  round(sum(x + y + vx + vy + speed + sin(heading) + cos(heading) + size_prior + 1), 3) AS feature_sum FROM full_nodes GROUP BY frame_id)
+SELECT frame_id, true AS directed, 6.0::DOUBLE AS radius, num_nodes, coalesce(m, 0) AS num_edges, nodes, coalesce(edges, '') AS edges, feature_sum FROM n LEFT JOIN e USING (frame_id)"""
+ORACLE["trimmed_edges"] = f"""WITH {GRAPH}, e AS (SELECT frame_id, arg_min(src, (src, dst)) + 1 AS src, arg_min(dst, (src, dst)) + 1 AS dst FROM fwd GROUP BY frame_id)
+SELECT n.frame_id, CAST(CASE WHEN e.src IS NULL THEN 0 ELSE 1 END AS INTEGER) AS num_edges, CAST(e.src AS INTEGER) AS src, CAST(e.dst AS INTEGER) AS dst FROM (SELECT DISTINCT frame_id FROM nodes) n LEFT JOIN e USING (frame_id)"""
+ORACLE["graph_samples_roundtrip"] = f"""WITH {GRAPH}, e AS (SELECT frame_id, CAST(count(*) AS INTEGER) AS m FROM fwd GROUP BY frame_id)
+SELECT 's' || frame_id AS sample_id, 'site' || (frame_id % 3) AS site_id, CAST(frame_id % 2 AS INTEGER) AS label, CAST(frame_id AS BIGINT) AS frame_id, n, coalesce(m, 0) AS m, track_ids, CAST(frame_id % 2 AS DOUBLE) AS y
+FROM (SELECT frame_id, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY node_id) AS track_ids FROM nodes GROUP BY frame_id) LEFT JOIN e USING (frame_id)"""
+ORACLE["sample_lines_missing_keys"] = """SELECT missing, count(*) AS n FROM (SELECT concat_ws(',', CASE WHEN event_id % 3 = 0 THEN 'sample_id' END, CASE WHEN event_id % 2 = 0 THEN 'label' END) AS missing FROM events) WHERE missing <> '' GROUP BY missing"""
+ORACLE["graph_folder_by_number"] = f"""WITH {TRACKS}, f AS (SELECT frame_idx, count(*) AS n FROM tracks GROUP BY frame_idx), o AS (SELECT *, row_number() OVER (ORDER BY 'frame_id=' || frame_idx || '/') AS k FROM f)
+SELECT frame_idx AS frame_id, n, 'sample_unknown_f' || lpad(CAST(frame_idx AS VARCHAR), 6, '0') AS sample_name FROM o WHERE k = 3"""
+ORACLE["row_numbers"] = "SELECT o_custkey, n, row_number() OVER (ORDER BY o_custkey) - 1 AS ordinal FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey)"
+ORACLE["toy_measures"] = f"""WITH {TRACKS}, t AS (SELECT track_id, count(*) AS n, row_number() OVER (ORDER BY track_id) AS k FROM tracks GROUP BY track_id)
+SELECT format('ssm_{{:03d}}', k) AS event_id, track_id, 'car' AS class_name, 'ttc' AS measure, greatest(0, 5 - 0.5 * n)::DOUBLE AS value, 'toy_computed' AS status FROM t WHERE n >= 2"""
+ORACLE["window_manifest"] = f"""WITH {TRACKS}, f AS (SELECT frame_idx AS frame_id, row_number() OVER (ORDER BY frame_idx) - 1 AS p FROM (SELECT DISTINCT frame_idx FROM tracks))
+SELECT 'window_' || lpad(CAST(p // 4 + 1 AS VARCHAR), 3, '0') AS window_id, string_agg(CAST(frame_id AS VARCHAR), ',' ORDER BY frame_id) AS members, CAST(count(*) AS INTEGER) AS num_graphs FROM f GROUP BY p // 4"""
+ORACLE["detections_from_tracks"] = """SELECT CAST(l_linenumber AS INTEGER) AS frame_idx, 'car' AS class_name, count(*) AS n, round(sum(CASE WHEN l_linenumber > 2 THEN round(l_discount, 6) ELSE 1.0 END), 4) AS confidence, round(sum(round(l_quantity + 4, 6)), 2) AS x2,
+  count(DISTINCT l_partkey) AS actors FROM lineitem GROUP BY l_linenumber"""
+ORACLE["best_epochs"] = """WITH e AS (SELECT CAST(p_partkey % 7 AS INTEGER) AS epoch, round(avg(p_size / 50), 3) AS f1 FROM part GROUP BY 1) SELECT arg_max(epoch, (f1, -epoch)) AS best_epoch, max(f1) AS best_f1 FROM e"""
+ORACLE["group_split"] = """WITH g AS (SELECT count(*) AS n, count(DISTINCT o_custkey) AS k FROM orders)
+SELECT n, CAST(ceil(k * 0.2::DOUBLE) AS BIGINT) AS val_groups, CAST(k - ceil(k * 0.2::DOUBLE) AS BIGINT) AS train_groups, 1::BIGINT AS most_sides FROM g"""
+
 # Windows
 
 VIDEOS = TRACKS + """, frames AS (SELECT DISTINCT 'v' || CAST(track_id % 4 AS VARCHAR) AS video_id, frame_idx AS frame_id FROM tracks),
@@ -202,7 +227,7 @@ def _stats(rel: str, name: str, l2: bool) -> str:
 _s4 = lambda n: ", ".join(f"round({n}_{s}, 6) AS {n}_{s}" for s in ("mean", "std", "min", "max"))
 _zero = lambda *names: ", ".join(f"0.0::DOUBLE AS {n}" for n in names)
 ORACLE["graph_feature_vector"] = f"""WITH n AS (SELECT label AS graph_id, vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS features, vec_id % 5 AS track_id FROM embeddings),
-e AS (SELECT graph_id, features[1:15] AS features FROM n WHERE vec_id % 2 = 0), p AS (SELECT graph_id, features[1:2] AS features FROM n),
+e AS (SELECT graph_id, features[1:15] AS features FROM n), p AS (SELECT graph_id, features[1:2] AS features FROM n),
 xs AS ({_stats('n', 'x', True)}), es AS ({_stats('e', 'e', True)}), ps AS ({_stats('p', 'pos', False)}),
 c AS (SELECT graph_id, count(*)::DOUBLE AS num_nodes, avg(track_id) AS track_id_mean, count(DISTINCT track_id)::DOUBLE AS track_id_unique, (graph_id % 2)::DOUBLE AS y FROM n GROUP BY graph_id),
 m AS (SELECT graph_id, count(*)::DOUBLE AS num_edges FROM e GROUP BY graph_id)

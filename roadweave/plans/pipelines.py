@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.vocabulary import ACTOR_CLASSES
 from roadweave.operators import calibration, gcn, graphs, metrics, safety, splits, temporal
-from roadweave.operators.trajectories import compute_conflict_pairs, compute_kinematics, filter_meaningful_conflicts, find_nearby_pairs, keys_of, smooth_positions
+from roadweave.operators.trajectories import compute_kinematics, filter_meaningful_conflicts, find_nearby_pairs, smooth_positions
 
 
 def event_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +39,8 @@ def conflicts(tracks: DataFrame, h: np.ndarray | None = None, fps: float = 30.0,
     if smooth:
         rows = smooth_positions(rows, order_col="frame_idx", window=smooth)
     rows = compute_kinematics(rows, fps=fps)
-    pairs = compute_conflict_pairs(rows, min_interaction_frames=min_frames, distance_threshold=distance_threshold, bucketed=bucketed)
-    if max_min_distance is not None:
-        pairs = filter_meaningful_conflicts(pairs, max_min_distance)
-    key = [*keys_of(rows), "track_id_a", "track_id_b"]
-    ttc = safety.frame_pair_ttc(rows, distance_threshold=distance_threshold, bucketed=bucketed).groupBy(*key).agg(F.min("ttc_seconds").alias("min_ttc"), F.max("severity").alias("max_severity"))
-    return pairs.join(ttc, key, "left")
+    pairs = safety.conflict_risk(rows, distance_threshold=distance_threshold, min_interaction_frames=min_frames, bucketed=bucketed)
+    return pairs if max_min_distance is None else filter_meaningful_conflicts(pairs, max_min_distance)
 
 
 def window_dataset(actors: DataFrame, window_size: int = 8, stride: int = 1, config: graphs.GraphConfig = graphs.GraphConfig()) -> tuple[DataFrame, DataFrame]:
@@ -67,10 +63,8 @@ def train_and_evaluate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, ke
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of event tracks near each other on at least 3 days: frames, least distance and its frame, mean speed difference, least time to collision."""
     rows = compute_kinematics(event_trajectories(spark, sf_dir), fps=1.0)
-    pairs = compute_conflict_pairs(rows, bucketed=True)
-    ttc = safety.frame_pair_ttc(rows, bucketed=True).groupBy("track_id_a", "track_id_b").agg(F.min("ttc_seconds").alias("min_ttc"))
     finite = F.when(F.col("min_ttc") < float("inf"), F.col("min_ttc"))
-    return pairs.join(ttc, ["track_id_a", "track_id_b"], "left").select(
+    return safety.conflict_risk(rows).select(
         "track_id_a", "track_id_b", F.col("n_frames").cast("long").alias("n_frames"), F.round("min_distance", 6).alias("min_distance"), "min_distance_frame",
         F.round("avg_relative_speed", 6).alias("avg_relative_speed"), F.round(finite, 6).alias("min_ttc"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +14,7 @@ from roadweave.functions import scalars
 from roadweave.functions.vocabulary import EDGE_FEATURES
 from roadweave.operators import baselines, calibration, exports, gcn, graph_vectors, graphs, metrics, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
+from roadweave.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -170,8 +173,9 @@ def world_roundtrip(spark, sf_dir):
 
 @query
 def homography_fit(spark, sf_dir):
-    at = calibration.image_points_to_world(event_trajectories(spark, sf_dir).where("frame_idx < 5").select(F.col("cls_idx").alias("camera"), F.col("x_m").alias("x"), F.col("y_m").alias("y")), H)
-    return calibration.fit_homographies(at.select("camera", F.col("x").alias("image_x"), F.col("y").alias("image_y"), F.col("x_m").alias("world_x"), F.col("y_m").alias("world_y")))
+    at = calibration.image_points_to_world(event_trajectories(spark, sf_dir).select(F.col("cls_idx").alias("camera"), F.col("x_m").alias("x"), F.col("y_m").alias("y")), H)
+    fits = calibration.fit_homographies(at.select("camera", F.col("x").alias("image_x"), F.col("y").alias("image_y"), F.col("x_m").alias("world_x"), F.col("y_m").alias("world_y")))
+    return fits.select("camera", *(F.round(F.get("h", F.lit(i)), 5).alias(f"h{i}") for i in range(9)), F.round("rms_error", 5).alias("rms_error"))
 
 
 # Graphs
@@ -223,7 +227,11 @@ def graph_validate(spark, sf_dir):
 
 @query
 def interaction_graphs(spark, sf_dir):
-    return graphs.build_interaction_graph(event_actors(spark, sf_dir))
+    nested = graphs.build_interaction_graph(event_actors(spark, sf_dir))
+    nodes = F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["node_id"].cast("string"), n["track_id"].cast("string"), n["actor_class"])), ",").alias("nodes")
+    edges = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", *(e[c].cast("string") for c in ("src", "dst", "src_node", "dst_node")))), ",").alias("edges")
+    total = F.aggregate("nodes", F.lit(0.0), lambda acc, n: acc + F.aggregate(n["features"], F.lit(0.0), lambda s, v: s + v))
+    return nested.select("frame_id", "directed", "radius", "num_nodes", "num_edges", nodes, edges, F.round(total, 3).alias("feature_sum"))
 
 
 @query
@@ -326,12 +334,95 @@ def window_last_label(spark, sf_dir):
     return temporal.last_label(windows, F.when(F.col("frame_id") % 3 == 0, F.col("frame_id")))
 
 
+# Sources, sinks and exports
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder where the session keeps shared files, or a local one in a local session."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{named or tempfile.gettempdir()}/roadweave-{uuid.uuid4().hex}"
+
+
+@query
+def graph_samples_roundtrip(spark, sf_dir):
+    """Nested graphs as JSON lines, read back and normalised."""
+    at = _scratch(spark)
+    nested = graphs.build_interaction_graph(event_actors(spark, sf_dir))
+    samples = nested.select(F.concat(F.lit("s"), "frame_id").alias("sample_id"), F.concat(F.lit("site"), F.col("frame_id") % 3).alias("site_id"), (F.col("frame_id") % 2).cast("int").alias("label"), F.struct("frame_id", "num_nodes", "nodes", "edges").alias("graph"))
+    files.write_jsonl(samples, at)
+    ids = F.array_join(F.transform("track_ids", lambda t: t.cast("string")), ",").alias("track_ids")
+    return files.read_graph_samples(spark, at).select("sample_id", "site_id", "label", "frame_id", F.size("nodes").alias("n"), F.size("edges").alias("m"), ids, F.get("y", F.lit(0)).alias("y"))
+
+
+@query
+def sample_lines_missing_keys(spark, sf_dir):
+    at = _scratch(spark)
+    rows = read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 > 0, F.col("event_id")).alias("sample_id"), F.when(F.col("event_id") % 2 > 0, F.lit(1)).alias("label"), F.struct("user_id").alias("graph"))
+    rows.select(F.to_json(F.struct("sample_id", "label", "graph")).alias("value")).write.text(at)
+    return files.samples_missing_keys(spark, at).groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n"))
+
+
+@query
+def graph_folder_by_number(spark, sf_dir):
+    """Graphs written by frame, read as a folder, the third file by path taken."""
+    at = _scratch(spark)
+    nodes = graphs.build_nodes(event_actors(spark, sf_dir), KEY).where(F.col("frame_id").isNotNull())
+    files.write_graphs(nodes.groupBy("frame_id").agg(F.count("*").alias("n")).repartition(1), at)
+    found = files.read_graph_folder(spark, at, recursive=True)
+    return files.graph_at(found, 2).select(F.regexp_extract("path", "frame_id=([0-9]+)", 1).cast("int").alias("frame_id"), "n", "sample_name")
+
+
+@query
+def row_numbers(spark, sf_dir):
+    return files.with_ordinal(read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "o_custkey").select("o_custkey", "n", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query
+def toy_measures(spark, sf_dir):
+    tracks = event_trajectories(spark, sf_dir).groupBy("track_id").agg(F.collect_list("frame_idx").alias("frames"))
+    rows = files.toy_ssm(tracks.withColumns({"ordinal": F.col("track_id"), "class_name": F.lit("car")}))
+    return rows.select("event_id", "track_id", "class_name", "measure", r6("value"), "status")
+
+
+@query
+def window_manifest(spark, sf_dir):
+    frames = event_actors(spark, sf_dir).select("frame_id").distinct()
+    out = temporal.tumbling_windows(frames, "frame_id", 4)
+    return out.select("window_id", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), "num_graphs")
+
+
+@query
+def detections_from_tracks(spark, sf_dir):
+    q = F.col
+    box = F.struct(q("l_quantity").alias("x1"), F.lit(1.0).alias("y1"), (q("l_quantity") + 4).alias("x2"), (q("l_tax") + 2).alias("y2"))
+    rows = read(spark, sf_dir, "lineitem").select(
+        q("l_orderkey").cast("string").alias("video_id"), q("l_linenumber").cast("int").alias("frame_idx"), q("l_partkey").cast("string").alias("track_id"), F.lit("car").alias("class_name"), box.alias("bbox"),
+        F.when(q("l_linenumber") > 2, q("l_discount")).alias("confidence"), F.lit(None).cast("struct<x:double,y:double>").alias("footpoint_img"), F.lit(False).alias("occluded"))
+    return records.track_to_detection(rows).select("video_id", "frame_idx", "actor_id", "class_name", r6("confidence"), r6(F.col("bbox.x2"), "x2")).groupBy("frame_idx", "class_name").agg(
+        F.count("*").alias("n"), F.round(F.sum("confidence"), 4).alias("confidence"), F.round(F.sum("x2"), 2).alias("x2"), F.count_distinct("actor_id").alias("actors"))
+
+
+@query
+def trimmed_edges(spark, sf_dir):
+    out = exports.trim_edges(graphs.build_interaction_graph(event_actors(spark, sf_dir)))
+    e = F.get("edges", F.lit(0))
+    return out.select("frame_id", "num_edges", e["src"].alias("src"), e["dst"].alias("dst"))
+
+
+@query
+def best_epochs(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 7).cast("int").alias("epoch")).agg(F.round(F.avg(F.col("p_size") / 50), 3).alias("f1"))
+    return metrics.best_epoch(rows)
+
+
 # Graph vectors and models
 
 
 def _vector_nodes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("graph_id"), F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("features"), (F.col("vec_id") % 5).alias("track_id"))
-    edges = rows.where("node_id % 2 = 0").select("graph_id", F.slice("features", 1, 15).alias("features"))
+    edges = rows.select("graph_id", F.slice("features", 1, 15).alias("features"))
     return rows.withColumn("pos", F.slice("features", 1, 2)), edges
 
 
@@ -397,8 +488,11 @@ def label_summary(spark, sf_dir):
 
 @query
 def group_split(spark, sf_dir):
+    """Which groups are drawn rests on the hash; that none is divided and how many are drawn does not."""
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("site_id"))
-    return splits.grouped_split(rows, "o_orderkey").groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("site_id").alias("groups"))
+    split = splits.grouped_split(rows, "o_orderkey")
+    sides = split.groupBy("site_id").agg(F.count_distinct("split").alias("sides"), F.max("split").alias("side"), F.count("*").alias("n"))
+    return sides.agg(F.sum("n").alias("n"), F.count(F.when(F.col("side") == "val", 1)).alias("val_groups"), F.count(F.when(F.col("side") == "train", 1)).alias("train_groups"), F.max("sides").alias("most_sides"))
 
 
 def _gcn_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
