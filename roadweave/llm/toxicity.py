@@ -25,6 +25,8 @@ from roadweave.llm.common import alnum_words
 HASH_BITS = 20
 #: The word cache of a task is emptied when it holds this many words.
 CACHE_WORDS = 300_000
+#: Least chi-square of a term beside a strong one: chance reaches it about once in 10^5 terms.
+PARTNER_CHI = 20.0
 
 
 @dataclass
@@ -82,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     Buckets found in fewer than ``min_docs`` of these are left out; the ``max_features`` with the
     largest chi-square against the label stay, and beside them ``max_partners`` with the largest
     chi-square among the documents of one of the ``anchors`` strongest toxic buckets: terms that are
-    neutral alone and decide beside another.
+    neutral alone and decide beside another. That chi-square must reach PARTNER_CHI, so that terms that
+    stand there by chance don't join.
     """
     picked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
@@ -142,7 +145,7 @@ def _partners(sample: DataFrame, strong: dict[tuple, int], chi, counts: list[Col
         for c, v in (("a", in_pos), ("b", in_neg)):
             n[c] = F.when(F.col("anchor") == t, v).otherwise(n[c])
     pairs = held.select("anchor", F.explode("terms").alias("t"), "y").groupBy("anchor", "t").agg(*counts).where(F.col("a") + F.col("b") >= min_docs)
-    best = pairs.groupBy("t").agg(F.max(chi(n["a"], n["b"])).alias("chi")).where("chi > 0").orderBy(F.col("chi").desc(), "t").limit(most)
+    best = pairs.groupBy("t").agg(F.max(chi(n["a"], n["b"])).alias("chi")).where(F.col("chi") >= PARTNER_CHI).orderBy(F.col("chi").desc(), "t").limit(most)
     return [r["t"] for r in best.select("t").collect()]
 
 
