@@ -27,6 +27,7 @@ class GCNModel:
     seed: int = 42
     weights: list[np.ndarray] = field(default_factory=list)  # W and b of each layer, then the head's
     dropout: float = 0.0
+    best_weights: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if self.num_layers < 2:
@@ -92,20 +93,24 @@ def forward(nodes: DataFrame, edges: DataFrame, key: list[str], model: GCNModel,
     return pool_nodes(h, key, width, model.pool).select(*key, F.get(_linear(F.col("h"), w, b), F.lit(0)).alias("logit"))
 
 
-def _gradients(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: float, model_weights: list[np.ndarray], layers: int, pool: str) -> tuple[float, float, list[np.ndarray]]:
-    """(logit, loss, gradients) of one graph."""
-    n = len(x)
-    a = np.zeros((n, n))
-    np.add.at(a, (dst, src), 1.0)
-    a[np.arange(n), np.arange(n)] += 1.0
+def _gradients(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: float, model_weights: list[np.ndarray], layers: int, pool: str, dropout: float = 0.0, seed: int = 0) -> tuple[float, float, list[np.ndarray]]:
+    """(logit, loss, gradients) of one graph, by sums over its edges. With dropout, channels of each layer go by a draw that the seed fixes."""
+    n, rng = len(x), np.random.default_rng(seed)
     d = 1 / np.sqrt(1.0 + np.bincount(dst, minlength=n))
-    a = a * d[:, None] * d[None]
+    along = (d[src] * d[dst])[:, None]
+
+    def spread(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = h * (d * d)[:, None]
+        np.add.at(out, b, h[a] * along)
+        return out
+
     inputs, masks, h = [], [], x
     for i in range(layers):
-        inputs.append(a @ h)
+        inputs.append(spread(h, src, dst))
         z = inputs[-1] @ model_weights[2 * i] + model_weights[2 * i + 1]
-        masks.append(z > 0)
-        h = np.maximum(z, 0)
+        keep = (rng.random(z.shape) >= dropout) / (1 - dropout) if dropout else 1.0
+        masks.append((z > 0) * keep)
+        h = z * masks[-1]
     pooled = {"mean": h.mean(0), "add": h.sum(0), "max": h.max(0)}[pool]
     logit = float(pooled @ model_weights[-2][:, 0] + model_weights[-1][0])
     loss = max(logit, 0) - logit * y + np.log1p(np.exp(-abs(logit)))
@@ -120,46 +125,80 @@ def _gradients(x: np.ndarray, src: np.ndarray, dst: np.ndarray, y: float, model_
     for i in reversed(range(layers)):
         dz = dh * masks[i]
         out = [inputs[i].T @ dz, dz.sum(0), *out]
-        dh = a.T @ (dz @ model_weights[2 * i].T)
+        dh = spread(dz @ model_weights[2 * i].T, dst, src)
     return logit, float(loss), out
 
 
-def train(graphs: DataFrame, model: GCNModel, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4, label_col: str = "label") -> list[dict[str, float]]:
-    """Adam on the whole training set each epoch; ``graphs`` has one row per graph: x array<array>, src, dst arrays, label.
+def _sums(graphs: DataFrame, model: GCNModel, seed: int, dropout: float) -> dict[str, np.ndarray]:
+    """Sums over the graphs: gradients, number, loss and confusion counts. Each partition returns one row of the weights' size."""
+    weights, layers, pool = [w.copy() for w in model.weights], model.num_layers, model.pool
+
+    def summed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, counts = [np.zeros_like(w) for w in weights], np.zeros(5)  # graphs, loss, true and false positives, false negatives
+        for pdf in parts:
+            for x, src, dst, y, h in zip(pdf["x"], pdf["src"], pdf["dst"], pdf["y"], pdf["h"]):
+                if len(x):
+                    logit, one, g = _gradients(np.stack(x).astype(float), np.array(src, int), np.array(dst, int), y, weights, layers, pool, dropout, [seed, h & (1 << 63) - 1])
+                    total = [t + u for t, u in zip(total, g)]
+                    counts += [1, one, logit >= 0 and y > 0.5, logit >= 0 and y <= 0.5, logit < 0 and y > 0.5]
+        yield pd.DataFrame({"g": [np.concatenate([t.ravel() for t in total])], "counts": [counts]})
+
+    parts = graphs.mapInPandas(summed, "g array<double>, counts array<double>").collect()
+    n = sum(w.size for w in weights)
+    return {"g": np.sum([r["g"] for r in parts], axis=0) if parts else np.zeros(n), "counts": np.sum([r["counts"] for r in parts], axis=0) if parts else np.zeros(5)}
+
 
-    ``graphs`` is cached while training runs. Returns the history of mean losses; the model's weights change.
+def train(graphs: DataFrame, model: GCNModel, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4, label_col: str = "label", batches: int = 1, validation: DataFrame | None = None) -> list[dict[str, float]]:
+    """Adam over ``batches`` steps an epoch; ``graphs`` has one row per graph: x array<array>, src, dst arrays, label.
+
+    Each step takes the graphs that a hash of graph and epoch deals to it (about n / batches; with 1, all).
+    Training rows are cached while training runs. Returns the history: mean loss and, with validation
+    rows of the same form, their loss and F1 at 0.5. The model's weights change; ``best_weights`` are those
+    of the first epoch with the greatest F1 (without validation rows, the last).
     """
-    graphs = graphs.select("x", "src", "dst", F.col(label_col).cast("double").alias("y")).persist()
-    m, v, history = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights], []
-    layers, pool = model.num_layers, model.pool
+    form = lambda t: t.select("x", "src", "dst", F.col(label_col).cast("double").alias("y"), F.xxhash64("x", "src", "dst").alias("h"))
+    graphs, held = form(graphs).persist(), None if validation is None else form(validation).persist()
+    m, v, history, step, best = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights], [], 0, -1.0
+    model.best_weights = [w.copy() for w in model.weights]
     try:
         for epoch in range(1, epochs + 1):
-            weights = [w.copy() for w in model.weights]
-
-            def summed(parts: Iterator[pd.DataFrame], weights=weights) -> Iterator[pd.DataFrame]:
-                total, n, loss = [np.zeros_like(w) for w in weights], 0, 0.0
-                for pdf in parts:
-                    for x, src, dst, y in zip(pdf["x"], pdf["src"], pdf["dst"], pdf["y"]):
-                        if len(x):
-                            _, one, g = _gradients(np.stack(x).astype(float), np.array(src, int), np.array(dst, int), y, weights, layers, pool)
-                            total, n, loss = [t + u for t, u in zip(total, g)], n + 1, loss + one
-                yield pd.DataFrame({"g": [np.concatenate([t.ravel() for t in total])], "n": [n], "loss": [loss]})
-
-            parts = graphs.mapInPandas(summed, "g array<double>, n long, loss double").collect()  # one row of the weights' size per partition
-            n = max(1, sum(r["n"] for r in parts))
-            flat = np.sum([r["g"] for r in parts], axis=0) / n if parts else np.zeros(sum(w.size for w in weights))
-            at = 0
-            for i, w in enumerate(model.weights):
-                g = flat[at : at + w.size].reshape(w.shape) + weight_decay * w
-                at += w.size
-                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                model.weights[i] = w - lr * (m[i] / (1 - 0.9**epoch)) / (np.sqrt(v[i] / (1 - 0.999**epoch)) + 1e-8)
-            history.append({"epoch": epoch, "train_loss": sum(r["loss"] for r in parts) / n})
+            seen = np.zeros(5)
+            for batch in range(batches):
+                rows = graphs if batches == 1 else graphs.where(F.pmod(F.xxhash64("h", F.lit(model.seed + epoch)), F.lit(batches)) == batch)
+                got = _sums(rows, model, model.seed + 1000 * epoch + batch, model.dropout)
+                n = got["counts"][0]
+                if not n:
+                    continue
+                seen, step, at = seen + got["counts"], step + 1, 0
+                for i, w in enumerate(model.weights):
+                    g = got["g"][at : at + w.size].reshape(w.shape) / n + weight_decay * w
+                    at += w.size
+                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                    model.weights[i] = w - lr * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+            line = {"epoch": epoch, "train_loss": seen[1] / max(1.0, seen[0])}
+            if held is not None:
+                n, loss, tp, fp, fn = _sums(held, model, 0, 0.0)["counts"]
+                line |= {"val_loss": loss / max(1.0, n), "val_f1": 2 * tp / max(1.0, 2 * tp + fp + fn)}
+            if line.get("val_f1", 0.0) > best or held is None:
+                best, model.best_weights = line.get("val_f1", 0.0), [w.copy() for w in model.weights]
+            history.append(line)
     finally:
         graphs.unpersist()
+        if held is not None:
+            held.unpersist()
     return history
 
 
+def model_to_dict(model: GCNModel, weights: list[np.ndarray] | None = None) -> dict:
+    """A model as plain numbers, for a JSON file."""
+    options = {"in_channels": model.in_channels, "hidden": model.hidden, "num_layers": model.num_layers, "pool": model.pool, "seed": model.seed, "dropout": model.dropout}
+    return options | {"weights": [w.tolist() for w in (model.weights if weights is None else weights)]}
+
+
+def model_from_dict(stored: dict) -> GCNModel:
+    return GCNModel(**{k: v for k, v in stored.items() if k != "weights"}, weights=[np.array(w, float) for w in stored["weights"]])
+
+
 def as_graph_rows(nodes: DataFrame, edges: DataFrame, key: list[str], features_col: str = "features") -> DataFrame:
     """(key, x, src, dst): one row per graph, as training takes them."""
     x = nodes.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.col(features_col).alias("f")))), lambda r: r["f"]).alias("x"))

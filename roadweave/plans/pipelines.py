@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from roadweave.functions.vocabulary import ACTOR_CLASSES
 from roadweave.operators import calibration, gcn, graphs, metrics, safety, splits, temporal
 from roadweave.operators.trajectories import compute_kinematics, filter_meaningful_conflicts, find_nearby_pairs, smooth_positions
+from roadweave.sources import files
 
 
 def event_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,16 +54,30 @@ def window_dataset(actors: DataFrame, window_size: int = 8, stride: int = 1, con
 
 
 def train_and_evaluate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, key: str = "sample_id", width: int | None = None, group_key: str = "site_id", val_frac: float = 0.2, seed: int = 42,
-                       hidden: int = 64, num_layers: int = 2, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4) -> tuple[gcn.GCNModel, list[dict], DataFrame]:
-    """Graph tables and labels (key, label, ids) -> (model, history, predictions with split)."""
+                       hidden: int = 64, num_layers: int = 2, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4, dropout: float = 0.0, batches: int = 1, run_dir: str | None = None) -> tuple[gcn.GCNModel, list[dict], DataFrame]:
+    """Graph tables and labels (key, label, ids) -> (model, history, predictions with split).
+
+    ``run_dir``, a folder on the driver, gets history.json, last.json and best.json; ``evaluate_stored`` reads the latter two.
+    """
     split = splits.grouped_split(labels, key, group_key, val_frac, seed)
     first = nodes.select(F.size("features").alias("n")).first()
-    model = gcn.build_model(width or first["n"], hidden, num_layers, seed=seed)
+    model = gcn.build_model(width or first["n"], hidden, num_layers, dropout=dropout, seed=seed)
     rows = gcn.as_graph_rows(nodes, edges, [key]).join(split, key)
-    history = gcn.train(rows.where("split = 'train'"), model, epochs, lr, weight_decay)
+    history = gcn.train(rows.where("split = 'train'"), model, epochs, lr, weight_decay, batches=batches, validation=rows.where("split = 'val'"))
+    if run_dir is not None:
+        files.write_json(f"{run_dir}/history.json", {"history": history})
+        for name, weights in (("last", model.weights), ("best", model.best_weights)):
+            files.write_json(f"{run_dir}/{name}.json", gcn.model_to_dict(model, weights))
     return model, history, metrics.predictions(gcn.forward(nodes, edges, [key], model).join(split, key))
 
 
+def evaluate_stored(path: str, nodes: DataFrame, edges: DataFrame, labels: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """A stored model over graph tables and labels -> (predictions, metrics)."""
+    model = gcn.model_from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+    found = metrics.predictions(gcn.forward(nodes, edges, [key], model).join(labels, key))
+    return found, metrics.binary_metrics(found, "label", "logit")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of event tracks near each other on at least 3 days: frames, least distance and its frame, mean speed difference, least time to collision."""
     rows = compute_kinematics(event_trajectories(spark, sf_dir), fps=1.0)
@@ -70,4 +88,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-__all__ = ["conflicts", "event_actors", "event_trajectories", "find_nearby_pairs", "flagship", "train_and_evaluate", "window_dataset"]
+__all__ = ["conflicts", "event_actors", "event_trajectories", "evaluate_stored", "find_nearby_pairs", "flagship", "train_and_evaluate", "window_dataset"]

@@ -152,6 +152,12 @@ def test_gcn_training_learns(spark):
     model = gcn.build_model(3, hidden=8)
     history = gcn.train(rows, model, epochs=40, lr=0.05)
     assert history[-1]["train_loss"] < 0.5 * history[0]["train_loss"]
+    again = gcn.build_model(3, hidden=8, dropout=0.2)
+    history = gcn.train(rows, again, epochs=12, lr=0.05, batches=2, validation=rows)
+    assert history[-1]["train_loss"] < history[0]["train_loss"]
+    assert max(h["val_f1"] for h in history) > 0.9
+    stored = gcn.model_from_dict(json.loads(json.dumps(gcn.model_to_dict(again, again.best_weights))))
+    assert all((a == b).all() for a, b in zip(stored.weights, again.best_weights))
     for bad in ({"num_layers": 1}, {"pool": "median"}):
         with pytest.raises(ValueError):
             gcn.build_model(3, **bad)
