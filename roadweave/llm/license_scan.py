@@ -143,9 +143,10 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 joined = f" {' '.join(words)} "
                 places, base = [], set()
                 for phrase, label in phrases.items():
-                    at = joined.find(f" {phrase} ")
+                    at, last, place = joined.find(f" {phrase} "), 0, 0
                     while at >= 0:
-                        places.append(joined.count(" ", 0, at))
+                        place, last = place + joined.count(" ", last, at), at  # each character is counted once
+                        places.append(place)
                         base.add(label)
                         at = joined.find(f" {phrase} ", at + 1)
                 found: dict[str, float] = dict.fromkeys(base, 1.0)
