@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from roadweave.llm.common import cut, release
 
 
-#: Slices that a node's neighbours are dealt over, so that a hub's rows don't meet in one task.
+#: Slices (at most 64) that a node's neighbours are dealt over, so that a hub's rows don't meet in one task.
 SLICES = 32
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
     """pairs (u, v) -> (u, v, m): m the smallest of u and its neighbours.
 
-    Minima are found by slices of the neighbours and told to those slices that a node has, so a hub's rows stay dealt out.
+    One partial aggregate finds the minima and which slices of the neighbours a node has, as bits of a
+    number; minima are told to those slices only, so a hub's rows stay dealt out.
     """
-    sliced = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SLICES)))
-    of_slice = sliced.groupBy("u", "s").agg(F.min("v").alias("m"))
-    least = of_slice.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s")).select("u", F.least("u", "m").alias("m"), F.explode("s").alias("s"))
-    return sliced.join(least, ["u", "s"]).drop("s")
+    sliced = pairs.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SLICES)).cast("int"))
+    least = sliced.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.bit_or(F.expr("shiftleft(1L, s)")).alias("held"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(SLICES - 1)), lambda i: F.getbit("held", i) == 1)
+    return sliced.join(least.select("u", "m", F.explode(held).alias("s")), ["u", "s"]).drop("s")
 
 
 def components(links: DataFrame) -> DataFrame:
