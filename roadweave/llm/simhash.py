@@ -212,83 +212,144 @@ def shingle_sets(docs: DataFrame, *, shingle: int) -> DataFrame:
     return docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(hashed, "id long, t long, size long, fp binary, keys array<long>")
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links (places in the list) of a spanning forest of the pairs whose Jaccard similarity reaches ``similarity``."""
-    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+def _alike(shared, a, b, similarity: float):
+    """Whether sets of a and b members that share so many reach the Jaccard similarity."""
+    return shared >= similarity * (a + b - shared) - 1e-9
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links (places in the list) of a spanning forest of the pairs whose Jaccard similarity reaches ``similarity``.
 
-    def similar(shared, i, j):
-        return shared >= similarity * (sizes[i] + sizes[j] - shared) - 1e-9
+    Sets of one ``known`` class count as joined already and are not compared with each other.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    group = np.arange(n) if known is None else np.unique(np.array(known), return_inverse=True)[1]
+    if n < 2 or (group == group[0]).all():
+        return []
 
     def direct(i: int, j: int) -> bool:
-        return bool(similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), i, j))
+        return bool(_alike(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), sizes[i], sizes[j], similarity))
 
-    if n < 3:
-        return [(1, 0)] if n == 2 and direct(1, 0) else []
+    if n == 2:
+        return [(1, 0)] if direct(1, 0) else []
     _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     holders, first, at = np.repeat(np.arange(n), sizes)[np.argsort(token, kind="stable")], np.cumsum(count) - count, np.cumsum(sizes) - sizes
-    group, links = np.arange(n), []
+    links = []
     for i in range(1, n):
-        if direct(i, i - 1):
-            group[i] = group[i - 1]
+        if group[i] != group[i - 1] and direct(i, i - 1):
+            group[group == group[i]] = group[i - 1]
             links.append((i, i - 1))
-            if (group[:i] == group[i]).all():
-                continue
+        if (group[:i] == group[i]).all():
+            continue
         mine = token[at[i] : at[i] + sizes[i]]
         mine = mine[count[mine] > 1]
         c = count[mine]
         shared = np.bincount(holders[np.repeat(first[mine] - (np.cumsum(c) - c), c) + np.arange(c.sum())], minlength=n)[:i]
-        for j in np.flatnonzero(similar(shared, i, np.arange(i))).tolist():
+        for j in np.flatnonzero(_alike(shared, sizes[i], sizes[:i], similarity)).tolist():
             if group[j] != group[i]:
                 group[group == group[i]] = group[j]
                 links.append((i, j))
     return links
 
 
+def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def leader_classes(stars: DataFrame, nodes: DataFrame, keyed: DataFrame, *, shingle: int, similarity: float, max_docs: int) -> DataFrame:
+    """stars (id, leader) -> components (node, component) of those links whose shingle sets reach the similarity.
+
+    A leader's followers are dealt over slices of about ``max_docs``; each slice gets the leader's text and
+    the followers stream past it, so a task holds one leader whatever its number of followers.
+    """
+    crowded = stars.groupBy("leader").agg(F.ceil(F.count("*") / max_docs).cast("int").alias("parts")).where("parts > 1")
+    dealt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    followers = cut(stars.join(crowded, "leader", "left").select(F.col("leader").alias("g"), dealt.alias("s"), F.lit(1).alias("role"), "id"))
+    leaders = followers.select("g", "s").distinct().select("g", "s", F.lit(0).alias("role"), F.col("g").alias("id"))
+    wanted = nodes.select("id", "t").join(followers.unionByName(leaders), "id")
+    units = keyed.join(wanted.hint("shuffle_hash"), ["id", "t"]).select("g", "s", "role", "id", "text")
+
+    def linked(batches):
+        unit, heads = None, []
+        for b in batches:
+            links = []
+            for g, s, role, d, text in zip(*(c.to_pylist() for c in b.columns)):
+                if (g, s) != unit:
+                    unit, heads = (g, s), []
+                mine = shingle_hashes(text, shingle)
+                if not role:
+                    heads.append(mine)
+                elif any(_alike(len(np.intersect1d(h, mine, assume_unique=True)), len(h), len(mine), similarity) for h in heads):
+                    links.append((d, g))
+            yield _link_batch(links)
+
+    out = components(units.repartition("g", "s").sortWithinPartitions("g", "s", "role").mapInArrow(linked, "u long, v long"))
+    release(followers)
+    return out
+
+
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_docs: int = 1024, max_shingles: int = 1 << 20) -> DataFrame:
     """One row per document: id, component_id. Documents are linked where the Jaccard similarity of their shingle sets reaches ``similarity``.
 
     Documents that share a MinHash band, directly or through others, form a loose group; only links
-    whose shingle sets were compared count. Loose groups of more than ``max_docs`` documents or
-    ``max_shingles`` shingles are cut into parts, and each pair of parts becomes a task of its own.
+    whose shingle sets were compared count. First each document is compared with its leaders, the
+    smallest and the largest id that it shares a band with; this joins most of a group to one class at a cost in
+    proportion to its size. Where a loose group still has several classes, the documents outside its
+    largest class are compared with all of the group: both sides are cut into parts of at most ``max_docs``
+    documents or ``max_shingles`` shingles, and each pair of parts is a task of its own.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    keyed = texts.withColumn("t", F.xxhash64("text"))
     rows = cut(shingle_sets(texts, shingle=shingle))
     nodes = cut(rows.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "t", "size", "keys")).alias("n")).select("fp", "n.*"))
     banded = nodes.select("id", F.explode("keys").alias("v"))
-    least = banded.groupBy("v").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1").select("v", "m")
-    loose = components(banded.join(least, "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")))
-    members = cut(nodes.join(loose, nodes["id"] == loose["node"]).select("id", "t", "size", F.col("component").alias("g")))
-    parts = F.greatest(F.ceil(F.count("*") / max_docs), F.ceil(F.sum("size") / max_shingles), F.lit(1)).cast("int")
-    placed = members.join(members.groupBy("g").agg(parts.alias("parts")), "g").withColumn("own", F.pmod(F.xxhash64("id", "t"), F.col("parts")).cast("int"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("parts") - 1), F.array("own")))
-    held = texts.withColumn("t", F.xxhash64("text")).join(placed.hint("shuffle_hash"), ["id", "t"])
-    units = held.withColumn("other", F.explode(others)).select("g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "text")
+    ends = banded.groupBy("v").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("n")).where("m <> x")
+    ends = ends.select("v", "m", F.expr("if(n > 2, x, null)").alias("x"))  # of a pair, one is the other's leader
+    led = banded.join(ends, "v").groupBy("id").agg(F.min("m").alias("m"), F.max("x").alias("x"))
+    near = cut(banded.join(ends.select("v", "m"), "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")).distinct())
+    stars = cut(led.select("id", F.explode(F.array_distinct(F.array("m", "x"))).alias("leader")).where("id <> leader"))
+    loose = components(near)
+    close = leader_classes(stars, nodes, keyed, shingle=shingle, similarity=similarity, max_docs=max_docs)
+    release(near, stars)
+    classes = cut(nodes.join(close, nodes["id"] == close["node"], "left").select("fp", "id", "t", "size", F.coalesce("component", "id").alias("c")))
+    members = cut(classes.join(loose, classes["id"] == loose["node"]).select("id", "t", "size", "c", F.col("component").alias("g")))
+    release(close, loose)
+
+    def n_parts(n, size):
+        return F.greatest(F.ceil(F.col(n) / max_docs), F.ceil(F.col(size) / max_shingles), F.lit(1)).cast("int")
+
+    sizes = members.groupBy("g", "c").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    mixed = sizes.groupBy("g").agg(F.max(F.struct("n", "size", "c")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = mixed.select("g", F.col("main.c").alias("main"), F.col("main.n").alias("n0"), F.col("main.size").alias("size0"), (F.col("n") - F.col("main.n")).alias("n1"), (F.col("size") - F.col("main.size")).alias("size1"))
+    mixed = mixed.select("g", "main", n_parts("n0", "size0").alias("inner"), n_parts("n1", "size1").alias("outer"))
+    at, inside = F.xxhash64("id", "t"), F.col("c") == F.col("main")
+    placed = members.join(mixed, "g").withColumn("own", F.when(inside, F.col("outer") + F.pmod(at, F.col("inner"))).otherwise(F.pmod(at, F.col("outer"))).cast("int"))
+    others = F.when(inside, F.sequence(F.lit(0), F.col("outer") - 1)).otherwise(F.array_except(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1), F.array("own")))
+    placed = placed.withColumn("other", F.explode(others)).select("id", "t", "c", "g", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    units = keyed.join(placed.hint("shuffle_hash"), ["id", "t"]).select("g", "x", "y", "c", "text")
 
     def linked(batches):
-        unit, ids, sets = None, [], []
+        unit, known, sets = None, [], []
 
         def found() -> list[tuple[int, int]]:
-            return [(ids[i], ids[j]) for i, j in similar_sets(sets, similarity)]
-
-        def batch(links):
-            u, v = zip(*links) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            return [(known[i], known[j]) for i, j in similar_sets(sets, similarity, known)]
 
         for b in batches:
             links = []
-            for g, x, y, d, text in zip(*(c.to_pylist() for c in b.columns)):
+            for g, x, y, c, text in zip(*(c.to_pylist() for c in b.columns)):
                 if (g, x, y) != unit:
                     links += found()
-                    unit, ids, sets = (g, x, y), [], []
-                ids.append(d)
+                    unit, known, sets = (g, x, y), [], []
+                known.append(c)
                 sets.append(shingle_hashes(text, shingle))
-            yield batch(links)
-        yield batch(found())
+            yield _link_batch(links)
+        yield _link_batch(found())
 
     keys = ["g", "x", "y"]
-    found = components(units.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(linked, "u long, v long"))
-    release(members, loose)
-    labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    joined = components(units.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(linked, "u long, v long"))
+    release(members)
+    labelled = classes.join(joined, classes["c"] == joined["node"], "left").select("fp", F.coalesce("component", "c").alias("component_id"))
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 
 
