@@ -63,4 +63,46 @@ def _url_sql(depth: int = 3, most: int = 20, z: float = 1.96, strength: float =
     return f"WITH {cte}\nSELECT page_id, t.host, path, rule, coalesce(known, CASE WHEN up < {purity} THEN 'block' ELSE 'allow' END) AS verdict FROM t JOIN o{depth + 1} o ON o.host = t.host AND {' AND '.join(f'o.{c} = t.{c}' for c in s)}"
 
 
-ORACLE = {"op1_exact_topk": TOP_K, "op2_substring_dedup": REPEATS, "op3_url_filters": _url_sql(), "op7_benchmark_decontamination": CONTAMINATION}
+def _manifest_sql(levels: int = 6, source_levels: int = 5, fan: int = 16) -> str:
+    """Enough levels for fan ** levels rows of a source and fan ** source_levels sources; further ones change nothing."""
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: f"sha256({' || '.join([*(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars')), field(text)])})"
+    crc = (
+        "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda acc, c: list_reduce([xor(acc, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))))"
+    )
+    parts = [
+        f"l AS (SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS tampered FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l)",
+        "n0 AS (SELECT tree, i, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM a0)",
+    ]
+
+    def climb(k: int, nodes: str, runs: str, above: str) -> None:
+        parts.append(f"{runs} AS (SELECT tree, i // {fan} AS i, list(d ORDER BY i) AS r, max(n) AS n FROM {nodes} GROUP BY tree, i // {fan})")
+        parts.append(f"{above} AS (SELECT tree, i, CASE WHEN n = 1 THEN r[1] ELSE sha256(array_to_string(r, '')) END AS d, CAST(ceil(n / {fan}) AS BIGINT) AS n FROM {runs})")
+
+    for k in range(levels):
+        climb(k, f"n{k}", f"r{k}", f"n{k + 1}")
+    parts.append(f"u0 AS (SELECT 0 AS tree, tree AS i, d, count(*) OVER () AS n FROM n{levels})")
+    for k in range(source_levels):
+        climb(k, f"u{k}", f"v{k}", f"u{k + 1}")
+    parts.append("b0 AS (SELECT *, tampered AS f, '' AS proof FROM a0)")
+    steps = [(f"r{k}", "r.tree = b.tree", "b.i", fan**k) for k in range(levels)] + [(f"v{k}", "true", "b.tree", fan**k) for k in range(source_levels)]
+    for j, (runs, same, at, under) in enumerate(steps):
+        slot = f"({at} // {under}) % {fan}"
+        before, after = f"array_to_string(r.r[1:{slot}], '')", f"array_to_string(r.r[{slot} + 2:], '')"
+        parts.append(
+            f"b{j + 1} AS (SELECT b.* REPLACE (CASE WHEN r.n = 1 THEN b.f ELSE sha256({before} || b.f || {after}) END AS f, CASE WHEN r.n = 1 THEN b.proof ELSE b.proof || {before} || {after} END AS proof) "
+            f"FROM b{j} b JOIN {runs} r ON {same} AND r.i = {at} // {under * fan})"
+        )
+    cte = ",\n".join(parts)
+    return (
+        f"WITH {cte}\nSELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = t.d AS verified "
+        f"FROM b{len(steps)} b JOIN n{levels} s ON s.tree = b.tree CROSS JOIN u{source_levels} t"
+    )
+
+
+ORACLE = {
+    "op1_exact_topk": TOP_K, "op2_substring_dedup": REPEATS, "op3_url_filters": _url_sql(), "op7_benchmark_decontamination": CONTAMINATION, "op12_merkle_manifest": _manifest_sql(),
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import decontaminate, html_extract, license_scan, packing, secret_scan, simhash, substring, topk, toxicity, url_filter
+from roadweave.llm import alignment, decontaminate, html_extract, language, license_scan, manifest, packing, secret_scan, simhash, substring, topk, toxicity, url_filter
 from roadweave.llm.common import table
 from roadweave.llm.oracles import ORACLE
 
@@ -60,6 +60,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = {"vocabulary_a": public_tokenizers.path("byte_bpe_50k.json"), "model_b": public_tokenizers.path("piece_bpe_32k.model")}
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), **files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": op1_exact_topk,
     "op2_substring_dedup": op2_substring_dedup,
@@ -71,6 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
     "op9_html_extraction": op9_html_extraction,
     "op10_toxicity": op10_toxicity,
+    "op11_language_id": op11_language_id,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 __all__ = ["ORACLE", "QUERIES", "vocabulary"]
