@@ -76,11 +76,11 @@ class Pair:
         self.cuttable = self._cuts_at_byte_level() and self._pieces_open_with_space(pieces)
 
     def _cuts_at_byte_level(self) -> bool:
-        """A splits before white space by its pattern, and no entry holds a space after another byte."""
+        """A splits before white space by its pattern, and no entry holds a space after a character that a cut may follow."""
         own = json.loads(self.a.to_str())
         rule = own.get("pre_tokenizer") or {}
         words = own.get("normalizer") is None and own["model"]["type"] == "BPE" and rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
-        return bool(words) and not any(re.search(rb"[^\x20]\x20", x) for x in self.bytes_a)
+        return bool(words) and not any(re.search(f"[^{_SPACE_LIKE}] ", x.decode(errors="replace")) for x in self.bytes_a)
 
     def _pieces_open_with_space(self, pieces: list[str]) -> bool:
         """No piece of B holds a space after another character, spaces are kept as they are and one is put in front."""

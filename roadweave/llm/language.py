@@ -128,8 +128,8 @@ def windows_of(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, window:
     left = sizes[text] - begin
     at = (starts[text] + begin)[:, None] + np.arange(length)
     inside = np.arange(length) < left[:, None]
-    out = np.where(inside, flat[np.minimum(at, max(0, len(flat) - 1))] if len(flat) else 0, PAD)
-    return out.astype(np.int16), text, np.minimum(left, window)
+    found = flat[np.minimum(at, max(0, len(flat) - 1))].astype(np.int16) if len(flat) else np.zeros(at.shape, np.int16)
+    return np.where(inside, found, np.int16(PAD)), text, np.minimum(left, window)
 
 
 def _as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

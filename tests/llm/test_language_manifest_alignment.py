@@ -163,7 +163,8 @@ def test_alignment_of_empty_and_tokenless_tables(spark):
 def test_cuts_are_verified_from_the_vocabularies():
     pair = alignment.Pair(**FILES)
     assert pair.cuttable
-    assert not pair._pieces_open_with_space(["▁a", "a▁b"])
+    pieces = [pair.b.id_to_piece(i) for i in range(pair.b.get_piece_size())]
+    assert pair._pieces_open_with_space(pieces) and not pair._pieces_open_with_space([*pieces, "a▁b"])
     assert alignment.segments("a b  c\n d ") == ["a", "b", " c\n d "]
     assert alignment.segments("a b", cuttable=False) == ["a b"]
 
