@@ -18,6 +18,9 @@ import io
 
 import numpy as np
 
+#: The k-th best score of a query that has no k results yet.
+NONE = np.iinfo(np.int64).min
+
 _FIELDS = ("ids", "vectors", "entry_dist", "center", "radius", "parent_dist", "first", "last", "leaf", "least_id")
 
 
@@ -104,14 +107,16 @@ class MTree:
 
         Queries share the walk: nodes are taken by the best bound that any of them has, and a page is
         multiplied with those queries only whose own bound reaches their own k-th best. ``floor`` and
-        ``floor_id``: a k-th best found elsewhere (-inf: none); only better ones return.
+        ``floor_id``: a k-th best found elsewhere (NONE: none); only better ones return. Scores are kept and
+        compared as whole numbers; only bounds are floating-point, with a slack above their rounding.
         """
         fq = q.astype(np.float64)
         norm = np.sqrt((fq * fq).sum(1))
         safe = self.most * float(np.abs(fq).max(initial=0)) < 2**53
         vectors, centers, asked = (self.fv, self.fc, fq) if safe else (self.vectors.astype(np.int64), self.center.astype(np.int64), q.astype(np.int64))
         slack = 1e-9 * (norm * (1 + self.most) + 1)  # above any rounding in a bound
-        worst = np.full(len(q), -np.inf) if floor is None else np.array(floor, np.float64)
+        worst = np.full(len(q), NONE) if floor is None else np.array(floor, np.int64)
+        least_of = lambda of: np.where(worst[of] == NONE, -np.inf, worst[of].astype(np.float64))
         worst_id = np.full(len(q), np.iinfo(np.int64).max) if floor_id is None else np.array(floor_id, np.int64)
         found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))  # query, score, id: the k best so far of each
         every = np.arange(len(q))
@@ -120,22 +125,24 @@ class MTree:
         while todo:
             _, node, of, product, bound = heapq.heappop(todo)
             # scores are whole: a bound within 1 of the k-th best leaves ties at most, and those lose if all ids are larger
-            live = (bound >= worst[of]) & ~((bound < worst[of] + 1) & (self.least_id[node] > worst_id[of]))
+            low = least_of(of)
+            live = (bound >= low) & ~(safe & (bound < low + 1) & (self.least_id[node] > worst_id[of]))
             if not live.any():
                 continue
-            of, product = of[live], product[live]
+            of, product, low = of[live], product[live], low[live]
             lo, hi = self.first[node], self.last[node]
-            need = np.divide(worst[of] - product - slack[of], norm[of], out=np.full(len(of), -np.inf), where=norm[of] > 0)
+            need = np.divide(low - product - slack[of], norm[of], out=np.full(len(of), -np.inf), where=norm[of] > 0)
             if self.leaf[node]:
                 hi = lo + int(np.searchsorted(self.entry_dist[lo:hi], -need.min(), "right"))  # by the stored distance to the leaf's routing vector
                 if hi == lo:
                     continue
                 scores = vectors[lo:hi] @ asked[of].T
+                scores = scores.astype(np.int64)
                 least = worst[of]
-                if hi - lo > k and np.isinf(least).any():
+                if hi - lo > k and (least == NONE).any():
                     least = np.maximum(least, np.partition(scores, hi - lo - k, axis=0)[hi - lo - k])
                 entry, column = np.nonzero(scores >= least)
-                new = of[column], scores[entry, column].astype(np.int64), self.ids[lo + entry]
+                new = of[column], scores[entry, column], self.ids[lo + entry]
                 keep = (new[1] > worst[new[0]]) | (new[2] <= worst_id[new[0]])
                 if keep.any():
                     found = self._best(k, *(np.concatenate([x, y[keep]]) for x, y in zip(found, new)))
@@ -147,7 +154,7 @@ class MTree:
                     continue
                 products = centers[lo + near] @ asked[of].T
                 bounds = products + norm[of] * self.radius[lo + near][:, None] + slack[of]
-                passed = pass_by[near] & (bounds >= worst[of])
+                passed = pass_by[near] & (bounds >= low)
                 for n, p, b, w in zip((lo + near).tolist(), products, bounds, passed):
                     if w.any():
                         heapq.heappush(todo, (-float(b[w].max()), n, of[w], p[w], b[w]))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import cut
-from roadweave.llm.mtree import MTree
+from roadweave.llm.mtree import NONE, MTree
 
 
 def _numbers(data: bytes, dim: int) -> np.ndarray:
@@ -84,7 +84,7 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 KEY = ["dim", "region", "part"]
 _HOME = "dim int, region int, part int, qid long, data binary, ids array<long>, scores array<long>"
-_BLOCK = "dim int, region int, part int, kind int, data binary, qids array<long>, floor array<double>, floor_id array<long>"
+_BLOCK = "dim int, region int, part int, kind int, data binary, qids array<long>, floor array<long>, floor_id array<long>"
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -92,7 +92,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
 
 
-_BLOCK_SCHEMA = pa.schema([*((c, pa.int32()) for c in (*KEY, "kind")), ("data", pa.binary()), ("qids", pa.list_(pa.int64())), ("floor", pa.list_(pa.float64())), ("floor_id", pa.list_(pa.int64()))])
+_BLOCK_SCHEMA = pa.schema([*((c, pa.int32()) for c in (*KEY, "kind")), ("data", pa.binary()), ("qids", pa.list_(pa.int64())), ("floor", pa.list_(pa.int64())), ("floor_id", pa.list_(pa.int64()))])
 _FOUND_SCHEMA = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.int64()))])
 
 
@@ -141,7 +141,11 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         return pd.DataFrame(out, columns=["dim", "region", "part", "qid", "data", "ids", "scores"]).astype({"qid": "Int64"})
 
     homes = cut(sharded.groupBy(*KEY).applyInPandas(planted, _HOME))
-    reach = {(r["dim"], r["region"]): (r["reach"], r["parts"]) for r in regions.collect()}  # as many rows as there are regions
+    reach: dict[int, list[tuple]] = {}
+    for r in regions.orderBy("dim", "region").collect():  # as many rows as there are regions
+        reach.setdefault(r["dim"], []).append((r["region"], r["reach"], r["parts"]))
+    around = {d: (np.array([chosen[d][r] if r >= 0 else np.zeros(d) for r, _, _ in rows]).reshape(len(rows), d), np.array([far for _, far, _ in rows], float)) for d, rows in reach.items()}
+    lengths = {d: np.linalg.norm(at, axis=1) for d, (at, _) in around.items()}
 
     def routed(batches):
         """Queries -> blocks for the shards that can hold better results than their home shard."""
@@ -161,18 +165,18 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
             for dim, region, part, qid, data, ids, scores in zip(*(c.to_pylist() for c in b.columns)):
                 q = _numbers(data, dim).astype(np.float64)
                 wide = _numbers(data, dim).astype("<i8").tobytes()
-                floor, floor_id = (float(scores[-1]), ids[-1]) if len(ids) == most else (-np.inf, np.iinfo(np.int64).max)
+                floor, floor_id = (scores[-1], ids[-1]) if len(ids) == most else (NONE, np.iinfo(np.int64).max)
                 norm = float(np.linalg.norm(q))
-                for (d, r), (far, parts) in reach.items():
-                    if d != dim:
-                        continue
-                    if np.isfinite(floor) and r >= 0:
-                        bound = float(chosen[d][r] @ q) + norm * far
-                        if bound + 1e-9 * (abs(bound) + norm + 1) < floor:
-                            continue
+                if dim not in reach:
+                    continue
+                centers, far = around[dim]
+                wide_of = norm * far if norm else np.zeros(len(far))  # a region without a centre has no bound
+                bounds = centers @ q + wide_of + 1e-9 * (norm * (lengths[dim] + 1) + np.where(np.isfinite(wide_of), wide_of, 0) + 1)
+                for i in np.flatnonzero(bounds >= (-np.inf if floor == NONE else float(floor))).tolist():
+                    r, _, parts = reach[dim][i]
                     for p in range(parts):
                         if (r, p) != (region, part):
-                            held.setdefault((d, r, p), []).append((qid, wide, floor, floor_id))
+                            held.setdefault((dim, r, p), []).append((qid, wide, floor, floor_id))
                             n += 1
                 if n >= 8 * block_queries:
                     yield blocks(block_queries)
@@ -182,7 +186,7 @@ def top_k(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding
         yield blocks(1)
 
     routes = homes.where("qid is not null").mapInArrow(routed, _BLOCK)
-    none = {"qids": "array<long>", "floor": "array<double>", "floor_id": "array<long>"}
+    none = {"qids": "array<long>", "floor": "array<long>", "floor_id": "array<long>"}
     trees = homes.where("qid is null").select(*KEY, F.lit(0).alias("kind"), "data", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
 
     def answered(batches):

@@ -75,6 +75,23 @@ def test_top_k_with_large_values(spark):
     assert {r.query_id for r in got} == {0, 40}
 
 
+def test_top_k_beyond_doubles(spark):
+    """Whole scores near 2**60 that a double can't tell apart, over many pages and shards, with ties."""
+    rng = random.Random(4)
+    drawn = [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(3000)]
+    vectors = {i: [2**29 + a, 2**29 - a, 2**29 + b, 2**29 - b] for i, (a, b) in enumerate(drawn)}  # scores differ by less than 2**14
+    vectors |= {3000 + i: vectors[7 * i] for i in range(60)}  # ties across shards
+    scores = lambda q: sorted(((sum(a * b for a, b in zip(vectors[q], v)), i) for i, v in vectors.items() if i != q), key=lambda r: (-r[0], r[1]))[:20]
+    asked = [i for i in vectors if i % 20 == 0]
+    want = {q: scores(q) for q in asked}
+    assert min(s for s, _ in want[0]) > 2**59 and len({float(s) for s, _ in want[0]}) < len({s for s, _ in want[0]})
+    rows = [(i, [c / 64 for c in v]) for i, v in vectors.items()]
+    got = {}
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=256, page=32).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.score, r.vec_id)
+    assert {q: [x[n] for n in sorted(x)] for q, x in got.items()} == want
+
+
 def test_top_k_of_nothing(spark):
     assert topk.top_k(spark.createDataFrame([], VECTORS)).count() == 0
     assert topk.top_k(spark.createDataFrame([(20, [1.0], "")], VECTORS)).count() == 0
