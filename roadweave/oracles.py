@@ -258,11 +258,28 @@ ORACLE["majority_class"] = "SELECT (SELECT quality FROM labels GROUP BY quality
 ORACLE["label_summary"] = """SELECT count(*) AS n, count(*) FILTER (toxic = 1) AS positives, count(*) FILTER (toxic = 0) AS negatives, string_agg(DISTINCT 'site' || CAST(doc_id % 3 AS VARCHAR), ',' ORDER BY 'site' || CAST(doc_id % 3 AS VARCHAR)) AS sites FROM labels"""
 for how, f in (("mean", "avg"), ("max", "max"), ("add", "sum")):
     ORACLE[f"pool_{how}"] = f"WITH {NODES} SELECT frame_id, round({f}(x / 100), 6) AS p0, round({f}(y / 100), 6) AS p1, round({f}(size_prior), 6) AS p2 FROM full_nodes GROUP BY frame_id"
-ORACLE["gcn_forward"] = f"""WITH {GRAPH}, deg AS (SELECT frame_id, dst, count(*) AS c FROM edges GROUP BY ALL),
+_GCN = f"""WITH {GRAPH}, deg AS (SELECT frame_id, dst, count(*) AS c FROM edges GROUP BY ALL),
 h0 AS (SELECT n.frame_id, n.node_id, x / 100 AS a, y / 100 AS b, size_prior AS c, coalesce(d.c, 0) + 1.0::DOUBLE AS d FROM full_nodes n LEFT JOIN deg d ON d.frame_id = n.frame_id AND d.dst = n.node_id),
 loops AS (SELECT frame_id, src, dst FROM edges UNION ALL SELECT frame_id, node_id, node_id FROM h0),
 s0 AS (SELECT l.frame_id, l.dst AS node_id, sum(h.a / sqrt(h.d * t.d)) AS a, sum(h.b / sqrt(h.d * t.d)) AS b, sum(h.c / sqrt(h.d * t.d)) AS c, any_value(t.d) AS d FROM loops l JOIN h0 h ON h.frame_id = l.frame_id AND h.node_id = l.src JOIN h0 t ON t.frame_id = l.frame_id AND t.node_id = l.dst GROUP BY l.frame_id, l.dst),
 h1 AS (SELECT frame_id, node_id, d, greatest(0.1 * a + 0.05 * b + 0.2 * c + 0.01, 0) AS a, greatest(-0.2 * a + 0.3 * b + 0.1 * c - 0.02, 0) AS b FROM s0),
 s1 AS (SELECT l.frame_id, l.dst AS node_id, sum(h.a / sqrt(h.d * t.d)) AS a, sum(h.b / sqrt(h.d * t.d)) AS b FROM loops l JOIN h1 h ON h.frame_id = l.frame_id AND h.node_id = l.src JOIN h1 t ON t.frame_id = l.frame_id AND t.node_id = l.dst GROUP BY l.frame_id, l.dst),
-h2 AS (SELECT frame_id, greatest(0.3 * a - 0.1 * b, 0) AS a, greatest(0.2 * a + 0.4 * b + 0.05, 0) AS b FROM s1)
-SELECT frame_id, round(0.7 * avg(a) - 0.5 * avg(b) + 0.1, 6) AS logit FROM h2 GROUP BY frame_id"""
+h2 AS (SELECT frame_id, greatest(0.3 * a - 0.1 * b, 0) AS a, greatest(0.2 * a + 0.4 * b + 0.05, 0) AS b FROM s1)"""
+ORACLE["gcn_forward"] = _GCN + " SELECT frame_id, round(0.7 * avg(a) - 0.5 * avg(b) + 0.1, 6) AS logit FROM h2 GROUP BY frame_id"
+
+_SUMMED = {
+    **{("W0", i, j): f"(SELECT sum(s.{c} * z.{d}) FROM s0 s JOIN z1 z USING (frame_id, node_id))" for i, c in enumerate("abc") for j, d in enumerate("ab")},
+    **{("b0", j, 0): f"(SELECT sum({d}) FROM z1)" for j, d in enumerate("ab")},
+    **{("W1", i, j): f"(SELECT sum(s.{c} * z.{d}) FROM s1 s JOIN z2 z USING (frame_id, node_id))" for i, c in enumerate("ab") for j, d in enumerate("ab")},
+    **{("b1", j, 0): f"(SELECT sum({d}) FROM z2)" for j, d in enumerate("ab")},
+    **{("W2", i, 0): f"(SELECT sum(g * {d}) FROM slope)" for i, d in enumerate("ab")},
+    ("b2", 0, 0): "(SELECT sum(g) FROM slope)",
+}
+_rows = " UNION ALL ".join(f"SELECT '{n}' AS weight, CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round({v}, 6) + 0.0 AS gradient" for (n, i, j), v in _SUMMED.items())
+ORACLE["gcn_gradients"] = _GCN.replace("h2 AS (SELECT frame_id,", "h2 AS (SELECT frame_id, node_id,") + f""",
+slope AS (SELECT *, 1 / (1 + exp(-(0.7 * a - 0.5 * b + 0.1))) - n % 2 AS g FROM (SELECT frame_id, avg(a) AS a, avg(b) AS b, count(*) AS n FROM h2 GROUP BY frame_id)),
+z2 AS (SELECT frame_id, node_id, CASE WHEN h.a > 0 THEN 0.7 * g / n ELSE 0 END AS a, CASE WHEN h.b > 0 THEN -0.5 * g / n ELSE 0 END AS b FROM h2 h JOIN slope USING (frame_id)),
+t1 AS (SELECT l.frame_id, l.src AS node_id, sum(z.a / sqrt(s.d * t.d)) AS a, sum(z.b / sqrt(s.d * t.d)) AS b FROM loops l JOIN z2 z ON z.frame_id = l.frame_id AND z.node_id = l.dst
+  JOIN h1 s ON s.frame_id = l.frame_id AND s.node_id = l.src JOIN h1 t ON t.frame_id = l.frame_id AND t.node_id = l.dst GROUP BY l.frame_id, l.src),
+z1 AS (SELECT frame_id, node_id, CASE WHEN h.a > 0 THEN 0.3 * t.a + 0.2 * t.b ELSE 0 END AS a, CASE WHEN h.b > 0 THEN -0.1 * t.a + 0.4 * t.b ELSE 0 END AS b FROM t1 t JOIN h1 h USING (frame_id, node_id))
+{_rows}"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.functions.vocabulary import ACTOR_CLASSES
-from roadweave.operators import calibration, gcn, graphs, metrics, safety, splits, temporal
+from roadweave.operators import calibration, gcn, gcn_tables, graphs, metrics, safety, splits, temporal
 from roadweave.operators.trajectories import compute_kinematics, filter_meaningful_conflicts, find_nearby_pairs, smooth_positions
 from roadweave.sources import files
 
@@ -54,16 +54,23 @@ def window_dataset(actors: DataFrame, window_size: int = 8, stride: int = 1, con
 
 
 def train_and_evaluate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, key: str = "sample_id", width: int | None = None, group_key: str = "site_id", val_frac: float = 0.2, seed: int = 42,
-                       hidden: int = 64, num_layers: int = 2, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4, dropout: float = 0.0, batches: int = 1, run_dir: str | None = None) -> tuple[gcn.GCNModel, list[dict], DataFrame]:
+                       hidden: int = 64, num_layers: int = 2, epochs: int = 30, lr: float = 1e-3, weight_decay: float = 1e-4, dropout: float = 0.0, batches: int = 1, run_dir: str | None = None, by_tables: bool = False) -> tuple[gcn.GCNModel, list[dict], DataFrame]:
     """Graph tables and labels (key, label, ids) -> (model, history, predictions with split).
 
+    ``by_tables`` trains by joins, for graphs too large for one task, in place of one row for each graph.
     ``run_dir``, a folder on the driver, gets history.json, last.json and best.json; ``evaluate_stored`` reads the latter two.
     """
     split = splits.grouped_split(labels, key, group_key, val_frac, seed)
     first = nodes.select(F.size("features").alias("n")).first()
     model = gcn.build_model(width or first["n"], hidden, num_layers, dropout=dropout, seed=seed)
-    rows = gcn.as_graph_rows(nodes, edges, [key]).join(split, key)
-    history = gcn.train(rows.where("split = 'train'"), model, epochs, lr, weight_decay, batches=batches, validation=rows.where("split = 'val'"))
+    if by_tables:
+        sides = [gcn_tables.prepare(nodes, edges, split.where(F.col("split") == side), [key]) for side in ("train", "val")]
+        history = gcn_tables.train(sides[0], model, epochs, lr, weight_decay, batches=batches, validation=sides[1])
+        for side in sides:
+            side.drop()
+    else:
+        rows = gcn.as_graph_rows(nodes, edges, [key]).join(split, key)
+        history = gcn.train(rows.where("split = 'train'"), model, epochs, lr, weight_decay, batches=batches, validation=rows.where("split = 'val'"))
     if run_dir is not None:
         files.write_json(f"{run_dir}/history.json", {"history": history})
         for name, weights in (("last", model.weights), ("best", model.best_weights)):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import scalars
 from roadweave.functions.vocabulary import EDGE_FEATURES
-from roadweave.operators import baselines, calibration, exports, gcn, graph_vectors, graphs, metrics, records, safety, splits, subgraphs, temporal, trajectories
+from roadweave.operators import baselines, calibration, exports, gcn, gcn_tables, graph_vectors, graphs, metrics, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
 from roadweave.sources import files
 
@@ -529,6 +529,19 @@ def gcn_train(spark, sf_dir):
     return spark.createDataFrame([(h["epoch"], float(h["train_loss"])) for h in history], "epoch int, train_loss double")
 
 
+@query
+def gcn_gradients(spark, sf_dir):
+    """Gradients of the fixed model, summed over all frames, by joins over tables of nodes and edges."""
+    nodes, edges = _gcn_tables(spark, sf_dir)
+    labels = nodes.groupBy("frame_id").agg((F.count("*") % 2).alias("label"))
+    tables = gcn_tables.prepare(nodes, edges, labels, KEY)
+    sums, _ = gcn_tables.gradients(tables, gcn.GCNModel(3, 2, 2, "mean", weights=[np.array(w) for w in GCN_WEIGHTS]))
+    tables.drop()
+    names = ("W0", "b0", "W1", "b1", "W2", "b2")
+    rows = [(n, i, j, round(float(v), 6) + 0.0) for n, g in zip(names, sums) for i, line in enumerate(np.atleast_2d(g.T).T if g.ndim == 1 else g) for j, v in enumerate(line)]
+    return spark.createDataFrame(rows, "weight string, i int, j int, gradient double")
+
+
 def _baseline(name: str, **options) -> Query:
     def run(spark, sf_dir):
         rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), F.col("embedding").cast("array<double>").alias("features"))
