@@ -33,6 +33,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,6 +105,18 @@ def segments(text: str, cuttable: bool = True) -> list[str]:
     return parts
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes of a document: frequent segments have small codes, so byte by byte they take little room."""
+    return zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()) if len(codes) else b""
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4")[:, 0]
+
+
 def _blocks(cuttable: bool, block_chars: int):
     """Turns (id, text) into rows of documents (block, id, codes) and rows of segments (block, segment, code, n)."""
 
@@ -123,7 +136,7 @@ def _blocks(cuttable: bool, block_chars: int):
         for i, x in zip(rest, cut_up):
             starts[i], counts[i] = extra, len(x)
             extra += len(x)
-        held = [at[s : s + n].tobytes() for s, n in zip(starts.tolist(), counts.tolist())]
+        held = [_packed(at[s : s + n]) for s, n in zip(starts.tolist(), counts.tolist())]
         n, m = len(ids), len(codes.dictionary)
         yield pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int64()), ids, pa.array(held, pa.binary()), *(pa.nulls(n, schema.field(i).type) for i in (3, 4, 5))], schema=schema)
         if m:
@@ -157,24 +170,25 @@ def _blocks(cuttable: bool, block_chars: int):
     return run
 
 
-def align(key: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[bool, str, list[int]]:
-    """Whether both joined byte strings are the segment; its groups as text; its links as a << 32 | b."""
+def align(key: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[list[int], list[int]]:
+    """Groups of a segment, one after the other, each as n_a, n_b, its A ids and its B ids; and its links as a << 32 | b. Both are empty if joined bytes differ from the segment."""
     raw = b" " + key.encode()
     if b"".join([bytes_a[i] for i in a]) != raw or b"".join([bytes_b[i] for i in b]) != raw:
-        return False, "", []
+        return [], []
     if len(a) == 1 and len(b) == 1:
-        return True, f"{a[0]}|{b[0]}", [a[0] << 32 | b[0]]
-    groups, links = [], []
+        return [1, 1, a[0], b[0]], [a[0] << 32 | b[0]]
+    groups: list[int] = []
+    links = []
     i = j = last_a = last_b = 0
     end_a, end_b = len(bytes_a[a[0]]), len(bytes_b[b[0]])
     while True:
         if end_a == end_b:
-            groups.append(f"{','.join(map(str, a[last_a : i + 1]))}|{','.join(map(str, b[last_b : j + 1]))}")
+            groups += (i + 1 - last_a, j + 1 - last_b, *a[last_a : i + 1], *b[last_b : j + 1])
             links.append(a[i] << 32 | b[j])
             i, j = i + 1, j + 1
             last_a, last_b = i, j
             if i == len(a):
-                return True, ";".join(groups), links
+                return groups, links
             end_a += len(bytes_a[a[i]])
             end_b += len(bytes_b[b[j]])
         elif end_a < end_b:
@@ -185,7 +199,29 @@ def align(key: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: l
             end_b += len(bytes_b[b[j]])
 
 
-_ALIGNED = "seg string, n long, ok boolean, n_a int, n_b int, groups string, links array<long>"
+def spell(groups: list[int], names: list[str]) -> tuple[str, int, int, int]:
+    """Groups as text, with their numbers of A ids, B ids and groups."""
+    out, at, n_a, n_b = [], 0, 0, 0
+    while at < len(groups):
+        a, b = groups[at], groups[at + 1]
+        mid, end = at + 2 + a, at + 2 + a + b
+        out.append(",".join([names[i] for i in groups[at + 2 : mid]]) + "|" + ",".join([names[i] for i in groups[mid:end]]))
+        n_a, n_b, at = n_a + a, n_b + b, end
+    return ";".join(out), n_a, n_b, len(out)
+
+
+_ALIGNED = "seg string, n long, groups binary, links array<long>"
+#: Numbers of the packed groups; a long run without a common end needs more than two bytes for its counts too.
+_ID = "<u4"
+
+
+def _short(groups: list[int]) -> bytes:
+    """Two bytes a number if all fit, marked by an odd length."""
+    return np.array(groups, "<u2").tobytes() + b"s" if max(groups, default=0) < 1 << 16 else np.array(groups, _ID).tobytes()
+
+
+def _numbers(data: bytes) -> list[int]:
+    return np.frombuffer(data[:-1], "<u2").tolist() if len(data) % 2 else np.frombuffer(data, _ID).tolist()
 
 
 def _aligner(vocabulary_a: str, model_b: str):
@@ -201,11 +237,9 @@ def _aligner(vocabulary_a: str, model_b: str):
                     hi += 1
                 some = keys.slice(lo, hi - lo).to_pylist()
                 ids_a, ids_b = pair.encode(some)
-                out = [align(k, a, b, pair.bytes_a, pair.bytes_b) for k, a, b in zip(some, ids_a, ids_b)]
-                ok, groups, links = zip(*out)
-                yield pa.RecordBatch.from_arrays([
-                    keys.slice(lo, hi - lo), n.slice(lo, hi - lo), pa.array(ok), pa.array(list(map(len, ids_a)), pa.int32()), pa.array(list(map(len, ids_b)), pa.int32()),
-                    pa.array(groups), pa.array(links, pa.list_(pa.int64()))], names=["seg", "n", "ok", "n_a", "n_b", "groups", "links"])
+                groups, links = zip(*(align(k, a, b, pair.bytes_a, pair.bytes_b) for k, a, b in zip(some, ids_a, ids_b)))
+                yield pa.RecordBatch.from_arrays(
+                    [keys.slice(lo, hi - lo), n.slice(lo, hi - lo), pa.array(list(map(_short, groups)), pa.binary()), pa.array(links, pa.list_(pa.int64()))], names=["seg", "n", "groups", "links"])
                 lo = hi
 
     return run
@@ -215,7 +249,7 @@ def _lost(batches):
     """(block, code, n) of the documents that hold a code of ``bad``."""
     for batch in batches:
         for block, codes, bad in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            at = np.frombuffer(codes, np.int32)
+            at = _unpacked(codes)
             if np.isin(at, bad).any():
                 found, n = np.unique(at, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found), pa.array(n, pa.int64())], names=["block", "code", "n"])
@@ -223,7 +257,7 @@ def _lost(batches):
 
 def _without_lost(aligned: DataFrame, docs: DataFrame, held: DataFrame) -> DataFrame:
     """``aligned`` with the occurrences in documents without tokens taken off n."""
-    bad = aligned.where(~F.col("ok")).select("seg")
+    bad = aligned.where(F.size("links") == 0).select("seg")
     if bad.isEmpty():
         return aligned
     blocks = held.join(bad, "seg").groupBy("block").agg(F.collect_list("code").alias("bad"))  # at most a block's segments
@@ -234,27 +268,25 @@ def _without_lost(aligned: DataFrame, docs: DataFrame, held: DataFrame) -> DataF
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
     """(pair, count, best): how many links hold the pair; whether that is its B id's highest count."""
-    counts = aligned.where("ok and n > 0").select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
+    counts = aligned.where("n > 0").select("n", F.explode("links").alias("pair")).groupBy("pair").agg(F.sum("n").alias("count"))
     top = counts.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("count").alias("most"))
     return counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)).join(top, "b").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
 def _valued(aligned: DataFrame, pairs: DataFrame, max_sent: int) -> DataFrame:
     """``aligned`` with n_best and count_sum of each segment's links in place of n and links."""
-    keep = ["seg", "ok", "n_a", "n_b", "groups"]
-    schema = "seg string, ok boolean, n_a int, n_b int, groups string, n_links int, n_best int, count_sum long"
     some = pairs.limit(max_sent + 1)
     if some.count() > max_sent:
         links = aligned.select("seg", F.explode("links").alias("pair")).join(pairs, "pair")
-        sums = links.groupBy("seg").agg(F.count("*").cast("int").alias("n_links"), F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
-        return aligned.select(*keep).join(sums, "seg", "left").fillna(0, ["n_links", "n_best", "count_sum"])
+        sums = links.groupBy("seg").agg(F.sum(F.col("best").cast("int")).cast("int").alias("n_best"), F.sum("count").alias("count_sum"))
+        return aligned.select("seg", "groups").join(sums, "seg", "left").fillna(0, ["n_best", "count_sum"])
     table = pairs.orderBy("pair").toArrow()  # at most max_sent rows of 17 bytes
     sent = aligned.sparkSession.sparkContext.broadcast([table.column(c).to_numpy() for c in ("pair", "count", "best")])
 
     def run(batches):
         pair, count, best = sent.value
         for b in batches:
-            links = b.column(5)
+            links = b.column(2)
             flat, size = links.flatten().to_numpy(), pc.list_value_length(links).to_numpy(zero_copy_only=False)
             at = np.minimum(np.searchsorted(pair, flat), max(0, len(pair) - 1))
             known = pair[at] == flat if len(pair) else np.zeros(len(flat), bool)  # pairs of documents without tokens alone aren't counted
@@ -262,35 +294,33 @@ def _valued(aligned: DataFrame, pairs: DataFrame, max_sent: int) -> DataFrame:
             n_best = np.bincount(row[best[good]], minlength=len(b)).astype(np.int32)
             total = np.zeros(len(b), np.int64)
             np.add.at(total, row, count[good])
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(size.astype(np.int32)), pa.array(n_best), pa.array(total)], names=[*keep, "n_links", "n_best", "count_sum"])
-
-    return aligned.select(*keep, "links").mapInArrow(run, schema)
-
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_best), pa.array(total)], names=["seg", "groups", "n_best", "count_sum"])
 
-_SUMS = ("n_a", "n_b", "n_links", "n_best", "count_sum")
+    return aligned.select("seg", "groups", "links").mapInArrow(run, "seg string, groups binary, n_best int, count_sum long")
 
 
 def _compose(docs: pa.Table, held: pa.Table) -> pa.Table:
     """A block's documents from its segments: sums of what these give, and the hash of their groups in order."""
-    order = np.argsort(held.column("code").to_numpy())
-    place = np.full(int(order.size and held.column("code").to_numpy().max()) + 1, -1)
-    place[held.column("code").to_numpy()[order]] = order
-    sums = {c: held.column(c).to_numpy().astype(np.int64) for c in _SUMS}
-    ok, groups = held.column("ok").to_numpy(), held.column("groups").to_pylist()
+    codes = held.column("code").to_numpy()
+    place = np.full(int(codes.max(initial=0)) + 1, -1)
+    place[codes] = np.arange(len(codes))
+    numbers = [_numbers(g) for g in held.column("groups").to_pylist()]
+    names = list(map(str, range(max((max(g) for g in numbers if g), default=0) + 1)))
+    texts, *counted = map(list, zip(*(spell(g, names) for g in numbers))) if numbers else ([], [], [], [])
+    sums = np.array([*counted, held.column("n_best").to_numpy(), held.column("count_sum").to_numpy()], np.int64)
     rows = []
-    for codes in docs.column("codes").to_pylist():
-        at = place[np.frombuffer(codes, np.int32)]
-        if len(at) and ok[at].all():
-            text = ";".join([groups[i] for i in at.tolist()])
-            rows.append((*(int(sums[c][at].sum()) for c in _SUMS), hashlib.sha256(text.encode()).hexdigest()))
+    for data in docs.column("codes").to_pylist():
+        at = place[_unpacked(data)]
+        if len(at) and sums[0, at].all():
+            rows.append((*sums[:, at].sum(1).tolist(), hashlib.sha256(";".join([texts[i] for i in at.tolist()]).encode()).hexdigest()))
         else:
-            rows.append((0,) * len(_SUMS) + ("",))
+            rows.append((0,) * 5 + ("",))
     n_a, n_b, n_links, n_best, count_sum, sha = zip(*rows)
     longs = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_links, n_links, n_best, count_sum)]
     return pa.Table.from_arrays([docs.column("id").combine_chunks(), *longs, pa.array(sha, pa.string())], names=["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
-def align_tokenizers(docs: DataFrame, *, vocabulary_a: str, model_b: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 16_000_000, max_sent: int = 4_000_000) -> DataFrame:
+def align_tokenizers(docs: DataFrame, *, vocabulary_a: str, model_b: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000, max_sent: int = 4_000_000) -> DataFrame:
     """One row per document: id, n_a, n_b, n_groups, n_links, n_best, count_sum (longs), groups_sha256.
 
     Every group ends in one link, so both numbers are equal.
