@@ -6,7 +6,7 @@ is kept (max pooling) and a softmax gives a probability for each language. A tex
 text's probabilities are the mean of its windows', weighted by their bytes. Windows of many texts go
 through the network together.
 
-The network is fitted in numpy on the driver from a bounded sample: for each language at most
+The network is fitted in numpy on the driver from a bounded sample: for each language about
 ``per_class`` different texts (the smallest by a hash of the text) with at most ``per_text`` windows
 each, spread evenly over the text. Labels of many rows only change which texts the hash picks. Scoring
 is one scan of all whole texts without a shuffle.
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PAD = 256
@@ -156,31 +156,30 @@ def _sampler(window: int, length: int, per_text: int):
     return run
 
 
-def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int = 64, length: int = 67, per_class: int = 600, per_text: int = 8) -> DataFrame:
-    """(window bytes, lang) of the texts to learn from.
+def sample(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", window: int = 64, length: int = 67, per_class: int = 600, per_text: int = 8, most_languages: int = 200) -> DataFrame:
+    """(window bytes, lang) of the texts to learn from, of the ``most_languages`` languages with most different texts.
 
     A first pass estimates how many different texts each language has, so that the second keeps about
-    twice ``per_class`` of each by their hash; only these are told apart and ranked.
+    ``per_class`` of each by a hash of the text; equal texts of a language count once.
     """
     open_ = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("text").rlike(LETTER))
     hashed = open_.withColumn("hash", F.xxhash64("text"))
-    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.03).alias("texts"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("hash", 0.03).alias("texts")).orderBy(F.col("texts").desc(), "lang").limit(most_languages).collect()
+    learned = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_class / r["texts"])) for r in sizes], "lang string, share double")
     share = F.col("hash").bitwiseAND((1 << 62) - 1) / float(1 << 62)
-    picked = hashed.join(sizes, "lang").where(share <= F.lit(2.0 * per_class) / F.col("texts")).select("text", "lang", "hash").dropDuplicates(["hash", "lang"])
-    ranked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("hash").bitwiseAND((1 << 62) - 1), "hash"))).where(F.col("rank") <= per_class)
-    return ranked.select("text", "lang").mapInArrow(_sampler(window, length, per_text), "window binary, lang string")
+    kept = hashed.join(F.broadcast(learned), "lang").where(share <= F.col("share"))  # at most most_languages rows
+    picked = kept.select("text", "lang", "hash").dropDuplicates(["hash", "lang"])
+    return picked.select("text", "lang").mapInArrow(_sampler(window, length, per_text), "window binary, lang string")
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 600, per_text: int = 8, most_languages: int = 200, epochs: int = 12, batch: int = 128, rate: float = 3e-3, seed: int = 11) -> ByteCNN:
-    """Fit on the sample by Adam. Languages beyond the ``most_languages`` with most sampled windows are not learned: that bounds the sample."""
+    """Fit on the sample by Adam. ``most_languages`` bounds the sample; languages beyond it are not learned."""
     shape = ByteCNN([], seed=seed)
-    found = sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, window=shape.window, length=shape.length, per_class=per_class, per_text=per_text).persist()
-    try:
-        langs = [r["lang"] for r in found.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()]
-        table = found.where(F.col("lang").isin(langs)).toArrow() if langs else None  # at most languages x per_class x per_text windows
-    finally:
-        found.unpersist()
+    table = sample(
+        docs, id_col=id_col, text_col=text_col, lang_col=lang_col, window=shape.window, length=shape.length, per_class=per_class, per_text=per_text, most_languages=most_languages
+    ).toArrow()  # about languages x per_class x per_text windows at most
+    langs = set(table.column("lang").to_pylist())
     model = ByteCNN(sorted(langs), seed=seed)
     if len(langs) < 2:
         return model
