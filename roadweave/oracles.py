@@ -283,3 +283,19 @@ t1 AS (SELECT l.frame_id, l.src AS node_id, sum(z.a / sqrt(s.d * t.d)) AS a, sum
   JOIN h1 s ON s.frame_id = l.frame_id AND s.node_id = l.src JOIN h1 t ON t.frame_id = l.frame_id AND t.node_id = l.dst GROUP BY l.frame_id, l.src),
 z1 AS (SELECT frame_id, node_id, CASE WHEN h.a > 0 THEN 0.3 * t.a + 0.2 * t.b ELSE 0 END AS a, CASE WHEN h.b > 0 THEN -0.1 * t.a + 0.4 * t.b ELSE 0 END AS b FROM t1 t JOIN h1 h USING (frame_id, node_id))
 {_rows}"""
+
+_NET = """WITH v AS (SELECT vec_id, label % 2 AS y, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+h1 AS (SELECT *, greatest(0.4 * a + 0.2 * b - 0.6 * c + 0.05, 0) AS d, greatest(-0.3 * a + 0.5 * b + 0.1 * c - 0.1, 0) AS e FROM v),
+h2 AS (SELECT *, greatest(0.7 * d + 0.3 * e + 0.1, 0) AS f, greatest(-0.2 * d + 0.9 * e + 0.02, 0) AS g FROM h1),
+p AS (SELECT *, 1 / (1 + exp(-(1.1 * f - 0.8 * g + 0.15))) AS p FROM h2)"""
+ORACLE["mlp_forward"] = _NET + " SELECT vec_id, round(p, 6) AS p1 FROM p"
+_slopes = {
+    "rows": "1", "loss": "-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)",
+    **{f"W0_{i}_{j}": f"{x} * {z}" for i, x in enumerate("abc") for j, z in enumerate(("dd", "de"))}, **{f"b0_{j}": z for j, z in enumerate(("dd", "de"))},
+    **{f"W1_{i}_{j}": f"{x} * {z}" for i, x in enumerate("de") for j, z in enumerate(("df", "dg"))}, **{f"b1_{j}": z for j, z in enumerate(("df", "dg"))},
+    "W2_0_0": "f * z", "W2_1_0": "g * z", "b2_0": "z",
+}
+ORACLE["mlp_gradients"] = _NET + """, z AS (SELECT *, p - y AS z FROM p),
+top AS (SELECT *, CASE WHEN f > 0 THEN 1.1 * z ELSE 0 END AS df, CASE WHEN g > 0 THEN -0.8 * z ELSE 0 END AS dg FROM z),
+low AS (SELECT *, CASE WHEN d > 0 THEN 0.7 * df - 0.2 * dg ELSE 0 END AS dd, CASE WHEN e > 0 THEN 0.3 * df + 0.9 * dg ELSE 0 END AS de FROM top)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(round(sum({v}), 6) + 0.0 AS DOUBLE) AS total FROM low" for n, v in _slopes.items())

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import scalars
 from roadweave.functions.vocabulary import EDGE_FEATURES
-from roadweave.operators import baselines, calibration, exports, gcn, gcn_tables, graph_vectors, graphs, metrics, records, safety, splits, subgraphs, temporal, trajectories
+from roadweave.operators import baselines, calibration, exports, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
 from roadweave.sources import files
 
@@ -21,6 +21,8 @@ QUERIES: dict[str, Query] = {}
 
 #: Homography of the projection queries (fixed values).
 H = np.array([[1.2, 0.1, 3.0], [-0.05, 0.9, 1.0], [0.0005, 0.0002, 1.0]])
+#: Weights of the fixed dense network: 3 inputs, two layers of 2 units, 1 output.
+NET_WEIGHTS = [[[0.4, -0.3], [0.2, 0.5], [-0.6, 0.1]], [0.05, -0.1], [[0.7, -0.2], [0.3, 0.9]], [0.1, 0.02], [[1.1], [-0.8]], [0.15]]
 #: Weights of the fixed two-layer model: 3 inputs, 2 hidden.
 GCN_WEIGHTS = [[[0.1, -0.2], [0.05, 0.3], [0.2, 0.1]], [0.01, -0.02], [[0.3, 0.2], [-0.1, 0.4]], [0.0, 0.05], [[0.7], [-0.5]], [0.1]]
 
@@ -542,6 +544,24 @@ def gcn_gradients(spark, sf_dir):
     return spark.createDataFrame(rows, "weight string, i int, j int, gradient double")
 
 
+@query
+def mlp_forward(spark, sf_dir):
+    """Probabilities of a dense network with fixed weights."""
+    net = mlp.DenseNet([0, 1], [np.array(w) for w in NET_WEIGHTS])
+    p = net.probability(F.slice("embedding", 1, 3).cast("array<double>"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", p.alias("p")).select("vec_id", r6(F.get("p", F.lit(1)), "p1"))
+
+
+@query
+def mlp_gradients(spark, sf_dir):
+    """Loss and gradients of that network, summed over all rows."""
+    net = mlp.DenseNet([0, 1], [np.array(w) for w in NET_WEIGHTS])
+    rows = read(spark, sf_dir, "embeddings").select(F.slice("embedding", 1, 3).cast("array<double>").alias("x"), (F.col("label") % 2).cast("int").alias("y"))
+    sums = mlp.gradient_sums(rows, net, 3)
+    names = ["rows", "loss", *(f"{n}_{'_'.join(map(str, at))}" for n, w in zip(("W0", "b0", "W1", "b1", "W2", "b2"), net.weights) for at in np.ndindex(w.shape))]
+    return spark.createDataFrame([(n, round(float(v), 6) + 0.0) for n, v in zip(names, sums)], "name string, total double")
+
+
 def _baseline(name: str, **options) -> Query:
     def run(spark, sf_dir):
         rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), F.col("embedding").cast("array<double>").alias("features"))
@@ -553,4 +573,4 @@ def _baseline(name: str, **options) -> Query:
 
 QUERIES["logistic"] = _baseline("logistic", max_iter=100)
 QUERIES["random_forest"] = _baseline("random_forest", n_estimators=20, max_depth=8)
-QUERIES["mlp"] = _baseline("mlp", hidden=(16,), max_iter=50)
+QUERIES["mlp"] = _baseline("mlp")

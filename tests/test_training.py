@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadweave.operators import gcn, gcn_tables
+from roadweave.operators import baselines, gcn, gcn_tables, mlp
 
 # Graph convolution over tables
 
@@ -79,3 +79,66 @@ def test_dropout_draws_alike_in_both_passes(spark):
         loss.append(gcn_tables.gradients(t, model, seed=5, dropout=0.5)[1][1])
     assert abs((loss[0] - loss[1]) / (2 * eps) - got[0][1, 2]) < 1e-4
     assert counts[0] == 2
+
+
+# Dense networks
+
+
+def plain_gradients(x, y, net):
+    """Differences of the summed loss."""
+    def loss():
+        h = x
+        for i in range(0, len(net.weights), 2):
+            h = h @ net.weights[i] + net.weights[i + 1]
+            h = np.maximum(h, 0) if i < len(net.weights) - 2 else h
+        if len(net.classes) == 2:
+            return float(np.logaddexp(0, -h[:, 0] * (2 * y - 1)).sum())
+        return float((np.log(np.exp(h).sum(1)) - h[np.arange(len(h)), y]).sum())
+
+    for w in net.weights:
+        for at in np.ndindex(w.shape):
+            keep = w[at]
+            w[at] = keep + 1e-6
+            up = loss()
+            w[at] = keep - 1e-6
+            down = loss()
+            w[at] = keep
+            yield (up - down) / 2e-6
+
+
+@pytest.mark.parametrize("classes", [[0, 1], [2, 5, 9]])
+def test_network_gradients_equal_differences(classes):
+    rng = np.random.default_rng(0)
+    net = mlp.DenseNet.drawn(4, (5, 3), classes, 1)
+    x, y = rng.normal(size=(20, 4)), rng.integers(0, len(classes), 20)
+    assert np.allclose(net.gradient_sums(x, y)[2:], list(plain_gradients(x, y, net)), atol=1e-4)
+
+
+def rings(spark, n, seed=0, labels=(0, 1)):
+    rng = np.random.default_rng(seed)
+    r, a = rng.uniform(0, 2, n), rng.uniform(0, 2 * np.pi, n)
+    return spark.createDataFrame([([float(p * np.cos(q)), float(p * np.sin(q))], labels[int(p > 1)]) for p, q in zip(r, a)], "features array<double>, y int")
+
+
+def test_network_learns_rings_and_stops_early(spark):
+    """A linear model can't tell a disc from the ring around it."""
+    found = mlp.train(rings(spark, 600), (16, 8), rate=0.02, max_iter=80, batch_rows=60)
+    assert found.stopped and len(found.losses) < 80 and len(found.scores) == len(found.losses)
+    best = max(range(len(found.scores)), key=lambda i: (found.scores[i], -i))
+    assert len(found.scores) - best - 1 >= 10 and found.scores[best] > 0.85
+    p = rings(spark, 300, seed=5).withColumn("p", found.net.probability(F.col("features"))).collect()
+    assert np.mean([(r.p[1] > 0.5) == r.y for r in p]) > 0.85
+
+
+def test_network_cases(spark):
+    rows = rings(spark, 200, labels=(3, 7)).union(spark.createDataFrame([(None, 3), ([0.0, 0.0], None)], "features array<double>, y int"))
+    model = baselines.get_baseline("mlp", hidden=(4,), max_iter=3, held_out=0.0).fit(rows)
+    assert model.trained.scores == [] and len(model.trained.losses) == 3
+    got = model.predict(rows).collect()
+    assert {r.prediction for r in got} <= {3, 7, None} and [r.prediction for r in got if r.features is None] == [None]
+    one = baselines.get_baseline("mlp", hidden=(4,), max_iter=2).fit(rows.where("y = 3"))
+    assert {r.prediction for r in one.predict(rows.where("features is not null")).collect()} == {3}
+    with pytest.raises(ValueError, match="no rows"):
+        mlp.train(rows.limit(0))
+    with pytest.raises(ValueError, match="lengths"):
+        mlp.train(rows.union(spark.createDataFrame([([1.0], 3)], "features array<double>, y int")))
