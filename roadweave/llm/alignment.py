@@ -299,15 +299,56 @@ def _valued(aligned: DataFrame, pairs: DataFrame, max_sent: int) -> DataFrame:
     return aligned.select("seg", "groups", "links").mapInArrow(run, "seg string, groups binary, n_best int, count_sum long")
 
 
+def _bundles(batches):
+    """(block, code, groups, n_best, count_sum) -> (block, data): what a task has for a block, compressed together."""
+
+    def bundled(held: list[pa.RecordBatch]):
+        block = np.concatenate([b.column(0).to_numpy() for b in held])
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        numbers = [np.concatenate([b.column(i).to_numpy() for b in held])[order] for i in (1, 3, 4)]
+        groups = pa.chunked_array([b.column(2) for b in held]).combine_chunks().take(pa.array(order))
+        sizes, text, at = pc.binary_length(groups).to_numpy(), b"".join(groups.to_pylist()), 0
+        ends = np.append(np.flatnonzero(block[1:] != block[:-1]) + 1, len(block)).tolist()
+        data, lo = [], 0
+        for hi in ends:
+            upto = at + int(sizes[lo:hi].sum())
+            planes = [a[lo:hi].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for a in (*numbers, sizes)]
+            data.append(zstandard.ZstdCompressor(level=1).compress(b"".join([np.int64(hi - lo).tobytes(), *planes, text[at:upto]])))
+            lo, at = hi, upto
+        return pa.RecordBatch.from_arrays([pa.array(block[np.array(ends) - 1]), pa.array(data, pa.binary())], names=["block", "data"])
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= 500_000:
+            yield bundled(held)
+            held, n = [], 0
+    if n:
+        yield bundled(held)
+
+
+def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Codes, n_best, count_sum and groups of a bundle."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    planes = np.frombuffer(raw, np.uint8, 32 * n, 8).reshape(4, 8, n).transpose(0, 2, 1)
+    codes, n_best, count_sum, sizes = np.ascontiguousarray(planes).view("<i8")[:, :, 0]
+    ends = (8 + 32 * n + np.cumsum(sizes)).tolist()
+    return codes, n_best, count_sum, [raw[a:b] for a, b in zip([8 + 32 * n, *ends], ends)]
+
+
 def _compose(docs: pa.Table, held: pa.Table) -> pa.Table:
     """A block's documents from its segments: sums of what these give, and the hash of their groups in order."""
-    codes = held.column("code").to_numpy()
+    parts = [_opened(d) for d in held.column("data").to_pylist()]
+    codes, n_best, count_sum = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
     place = np.full(int(codes.max(initial=0)) + 1, -1)
     place[codes] = np.arange(len(codes))
-    numbers = [_numbers(g) for g in held.column("groups").to_pylist()]
+    numbers = [_numbers(g) for p in parts for g in p[3]]
     names = list(map(str, range(max((max(g) for g in numbers if g), default=0) + 1)))
     texts, *counted = map(list, zip(*(spell(g, names) for g in numbers))) if numbers else ([], [], [], [])
-    sums = np.array([*counted, held.column("n_best").to_numpy(), held.column("count_sum").to_numpy()], np.int64)
+    sums = np.array([*counted, n_best, count_sum], np.int64)
     rows = []
     for data in docs.column("codes").to_pylist():
         at = place[_unpacked(data)]
@@ -329,15 +370,16 @@ def align_tokenizers(docs: DataFrame, *, vocabulary_a: str, model_b: str, id_col
     kind = docs.schema[id_col].dataType.simpleString()
     coded = cut(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_blocks(cuttable, block_chars), f"block long, id {kind}, codes binary, seg string, code int, n long")
+        .mapInArrow(_blocks(cuttable, block_chars), f"block long, id {kind}, codes binary, seg string, code int, n long"),
+        "zstd",
     )
     again = docs.sparkSession.read.schema(coded.schema).parquet(coded._table)  # so that the two sides of the last join have columns of their own
     texts = again.where("codes is not null").select("block", "id", "codes")
     held = coded.where("seg is not null").select("block", "seg", "code", "n")
-    aligned = cut(held.groupBy("seg").agg(F.sum("n").alias("n")).mapInArrow(_aligner(vocabulary_a, model_b), _ALIGNED))
+    aligned = cut(held.groupBy("seg").agg(F.sum("n").alias("n")).mapInArrow(_aligner(vocabulary_a, model_b), _ALIGNED), "zstd")
     pairs = cut(pair_counts(_without_lost(aligned, texts, held.drop("n"))))
     valued = _valued(aligned, pairs, max_sent)
-    back = held.select("block", "seg", "code").join(valued, "seg").drop("seg")
+    back = held.select("block", "seg", "code").join(valued, "seg").select("block", "code", "groups", "n_best", "count_sum").mapInArrow(_bundles, "block long, data binary")
     schema = f"id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     out = cut(texts.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_compose, schema))
     release(coded, aligned, pairs)

@@ -36,13 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "roadweave-tables")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The plan is computed now, written as a table in the shared folder and read from there.
+def cut(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """The plan is computed now, written as a table in the shared folder and read from there; ``codec``: of its Parquet files, by default the session's.
 
     ``release`` removes the table once nothing needs it; others stay for the session's later jobs.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._table = path
     return out
