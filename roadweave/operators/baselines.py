@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadweave.operators import mlp
+from roadweave.operators import forest, mlp
 
 
 def prepare(rows: DataFrame, features_col: str = "features", label_col: str = "y", balanced: bool = False) -> DataFrame:
@@ -79,21 +79,33 @@ class LogisticBaseline(_Baseline):
         return LogisticRegression(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=self.max_iter, regParam=1.0 / (self.C * total), elasticNetParam=0.0, standardization=False)
 
 
+def _likeliest(rows: DataFrame, columns: list[str], classes: list[int]) -> DataFrame:
+    """The first class with the greatest probability, beside the columns."""
+    first = F.array_position("probability", F.array_max("probability")).cast("int")
+    return rows.select(*columns, F.get(F.array(*map(F.lit, classes)), first - 1).cast("long").alias("prediction"), "probability")
+
+
 @dataclass
 class RandomForestBaseline(_Baseline):
-    """Depth is limited to 30, the most that the library builds."""
+    """Trees down to pure leaves unless limited."""
 
     n_estimators: int = 200
     max_depth: int | None = None
+    min_samples_split: int = 2
     min_samples_leaf: int = 1
     balanced: bool = True
     seed: int = 42
+    forest: forest.Forest | None = None
 
-    def estimator(self, train: DataFrame):
-        return RandomForestClassifier(
-            featuresCol="__x", labelCol="__y", weightCol="__w", numTrees=self.n_estimators, maxDepth=min(self.max_depth or 30, 30), minInstancesPerNode=self.min_samples_leaf,
-            featureSubsetStrategy="sqrt", seed=self.seed,
-        )
+    def fit(self, rows: DataFrame) -> RandomForestBaseline:
+        options = forest.Options(self.n_estimators, self.max_depth, self.min_samples_split, self.min_samples_leaf, seed=self.seed)
+        self.forest = forest.train(rows, options, self.features_col, self.label_col, self.balanced)
+        return self
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        if self.forest is None:
+            raise RuntimeError("the model isn't fitted")
+        return _likeliest(forest.probability(self.forest, rows, self.features_col), rows.columns, self.forest.classes)
 
 
 @dataclass
@@ -119,9 +131,7 @@ class MLPBaseline(_Baseline):
         if self.trained is None:
             raise RuntimeError("the model isn't fitted")
         net = self.trained.net
-        scored = rows.withColumn("probability", net.probability(F.col(self.features_col)))
-        first = F.array_position("probability", F.array_max("probability")).cast("int")
-        return scored.select(*rows.columns, F.get(F.array(*map(F.lit, net.classes)), first - 1).cast("long").alias("prediction"), "probability")
+        return _likeliest(rows.withColumn("probability", net.probability(F.col(self.features_col))), rows.columns, net.classes)
 
 
 REGISTRY = {"majority": MajorityClass, "logistic": LogisticBaseline, "random_forest": RandomForestBaseline, "mlp": MLPBaseline}

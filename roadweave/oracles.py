@@ -299,3 +299,13 @@ ORACLE["mlp_gradients"] = _NET + """, z AS (SELECT *, p - y AS z FROM p),
 top AS (SELECT *, CASE WHEN f > 0 THEN 1.1 * z ELSE 0 END AS df, CASE WHEN g > 0 THEN -0.8 * z ELSE 0 END AS dg FROM z),
 low AS (SELECT *, CASE WHEN d > 0 THEN 0.7 * df - 0.2 * dg ELSE 0 END AS dd, CASE WHEN e > 0 THEN 0.3 * df + 0.9 * dg ELSE 0 END AS de FROM top)
 """ + " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(round(sum({v}), 6) + 0.0 AS DOUBLE) AS total FROM low" for n, v in _slopes.items())
+
+ORACLE["forest_first_split"] = """WITH e AS (SELECT label % 2 AS y, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+cw AS (SELECT y, count(*) AS n, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM e GROUP BY y),
+f AS (SELECT j, x[j + 1] AS v, CASE WHEN y = 0 THEN w ELSE 0 END AS w0, CASE WHEN y = 1 THEN w ELSE 0 END AS w1 FROM e JOIN cw USING (y), (SELECT unnest(range((SELECT max(len(x)) FROM e))) AS j)),
+g AS (SELECT j, v, sum(w0) AS w0, sum(w1) AS w1 FROM f GROUP BY j, v),
+c AS (SELECT j, v, lead(v) OVER o AS next, sum(w0) OVER o AS l0, sum(w1) OVER o AS l1, sum(w0) OVER (PARTITION BY j) AS t0, sum(w1) OVER (PARTITION BY j) AS t1 FROM g WINDOW o AS (PARTITION BY j ORDER BY v)),
+s AS (SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + ((t0 - l0) * (t0 - l0) + (t1 - l1) * (t1 - l1)) / (t0 - l0 + t1 - l1) AS gain FROM c WHERE next IS NOT NULL),
+b AS (SELECT * FROM s ORDER BY gain DESC LIMIT 1)
+SELECT 'left' AS side, CAST(j AS INTEGER) AS feature, round((v + next) / 2, 6) AS threshold, round(l0, 6) AS w0, round(l1, 6) AS w1 FROM b
+UNION ALL SELECT 'right', CAST(j AS INTEGER), round((v + next) / 2, 6), round(t0 - l0, 6), round(t1 - l1, 6) FROM b"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import scalars
 from roadweave.functions.vocabulary import EDGE_FEATURES
-from roadweave.operators import baselines, calibration, exports, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
+from roadweave.operators import baselines, calibration, exports, forest, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
 from roadweave.sources import files
 
@@ -562,6 +562,17 @@ def mlp_gradients(spark, sf_dir):
     return spark.createDataFrame([(n, round(float(v), 6) + 0.0) for n, v in zip(names, sums)], "name string, total double")
 
 
+@query
+def forest_first_split(spark, sf_dir):
+    """The first split of a tree over all rows and features, with what stands at its sides."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"), (F.col("label") % 2).alias("y"))
+    model = forest.train(rows, forest.Options(trees=1, max_depth=1, features=1 << 20, bootstrap=False))
+    (tree,) = [forest.Nodes.from_bytes(bytes(r["data"])) for r in model.subtrees.collect()]
+    sides = [(side, int(tree.feature[0]), float(tree.threshold[0]), *map(float, tree.value[at[0]])) for side, at in (("left", tree.left), ("right", tree.right))]
+    out = spark.createDataFrame(sides, "side string, feature int, threshold double, w0 double, w1 double")
+    return out.select("side", "feature", *(r6(c) for c in ("threshold", "w0", "w1")))
+
+
 def _baseline(name: str, **options) -> Query:
     def run(spark, sf_dir):
         rows = read(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("y"), F.col("embedding").cast("array<double>").alias("features"))
@@ -571,6 +582,6 @@ def _baseline(name: str, **options) -> Query:
     return run
 
 
-QUERIES["logistic"] = _baseline("logistic", max_iter=100)
-QUERIES["random_forest"] = _baseline("random_forest", n_estimators=20, max_depth=8)
+QUERIES["logistic"] = _baseline("logistic")
+QUERIES["random_forest"] = _baseline("random_forest")
 QUERIES["mlp"] = _baseline("mlp")

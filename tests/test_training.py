@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadweave.operators import baselines, gcn, gcn_tables, mlp
+from roadweave.operators import baselines, forest, gcn, gcn_tables, mlp
 
 # Graph convolution over tables
 
@@ -142,3 +142,93 @@ def test_network_cases(spark):
         mlp.train(rows.limit(0))
     with pytest.raises(ValueError, match="lengths"):
         mlp.train(rows.union(spark.createDataFrame([([1.0], 3)], "features array<double>, y int")))
+
+
+# Forests
+
+
+def leaves(subtree):
+    r = subtree.ready()
+    return r.value[r.feature < 0]
+
+
+def deepest(nodes):
+    r, depth, most = nodes.ready(), {0: 0}, 0
+    for i in range(len(r.feature)):
+        if r.feature[i] >= 0:
+            for child in (int(r.left[i]), int(r.right[i])):
+                depth[child] = depth[i] + 1
+                most = max(most, depth[child])
+    return most
+
+
+@pytest.mark.parametrize("task_rows", [10_000, 30])
+def test_trees_grow_to_pure_leaves(spark, task_rows):
+    rows = spark.createDataFrame([([float(i % 26), float(i // 26)], (i + i // 26) % 2) for i in range(104)], "features array<double>, y int")
+    model = forest.train(rows, forest.Options(trees=1, bootstrap=False, task_rows=task_rows))
+    got = forest.probability(model, rows).collect()
+    assert all(r.probability[r.y] == 1.0 for r in got)
+
+
+def test_a_tree_deeper_than_30(spark):
+    x = np.arange(120.0)[:, None]
+    y = np.arange(120) % 2
+    w = 4.0 ** np.minimum(np.arange(120), 60)  # weights so uneven that each split cuts off the heaviest end
+    tree = forest.grow(x, y, w, 2, forest.Options(), 0, [3])
+    assert deepest(tree) > 30 and all(np.count_nonzero(v) == 1 for v in leaves(tree))
+
+
+def test_forest_by_histograms_and_exact_agree_in_kind(spark):
+    rows = rings(spark, 900)
+    for options in (forest.Options(trees=12, task_rows=100_000), forest.Options(trees=12, task_rows=100, most_nodes=20)):
+        model = forest.train(rows, options)
+        assert len(model.tops) == 12 and (options.task_rows < 1000) == any(len(t.feature) > 1 for t in model.tops)
+        for sent in (1 << 26, 0):
+            got = forest.probability(model, rings(spark, 400, seed=8), sent_bytes=sent).collect()
+            assert len(got) == 400 and np.mean([(r.probability[1] > 0.5) == r.y for r in got]) > 0.93
+            assert all(abs(sum(r.probability) - 1) < 1e-9 for r in got)
+
+
+def test_both_ways_of_prediction_are_equal(spark):
+    rows = rings(spark, 300).unionByName(spark.createDataFrame([(None, 1)], "features array<double>, y int"))
+    model = forest.train(rows, forest.Options(trees=5, task_rows=60))
+    key = lambda r: (r.features is None, tuple(r.features or ()), r.y)
+    a, b = (sorted(forest.probability(model, rows, sent_bytes=s).collect(), key=key) for s in (1 << 26, 0))
+    assert [r.probability is None for r in a] == [r.probability is None for r in b] and sum(r.probability is None for r in a) == 1
+    assert np.allclose([r.probability for r in a if r.probability], [r.probability for r in b if r.probability])
+
+
+def test_copies_and_limits(spark):
+    """A third of all rows is one point with both labels: a leaf of its own, found without one task getting them all."""
+    rows = rings(spark, 400).union(spark.createDataFrame([([9.0, 9.0], i % 2) for i in range(200)], "features array<double>, y int"))
+    model = forest.train(rows, forest.Options(trees=3, task_rows=50, bootstrap=False), balanced=False)
+    got = forest.probability(model, rows).where("features[0] = 9").collect()
+    assert {round(r.probability[0], 9) for r in got} == {0.5}
+    largest = max(t.value[t.feature < 0].sum(1).max() for t in model.tops)
+    assert largest >= 200
+    shallow = forest.train(rows, forest.Options(trees=2, max_depth=2, min_leaf=20, bootstrap=False), balanced=False)
+    for r in shallow.subtrees.collect():
+        tree = forest.Nodes.from_bytes(bytes(r["data"]))
+        assert deepest(tree) <= 2 and tree.value[tree.feature < 0].sum(1).min() >= 20
+    split = forest.train(rows, forest.Options(trees=1, min_split=500, bootstrap=False), balanced=False).subtrees.collect()
+    tree = forest.Nodes.from_bytes(bytes(split[0]["data"]))
+    assert all(v.sum() >= 500 for v, f in zip(tree.value, tree.feature) if f >= 0)
+
+
+def test_balanced_weights_and_cases(spark):
+    rows = spark.createDataFrame([([float(i)], int(i >= 90)) for i in range(100)] + [(None, 1), ([1.0], None)], "features array<double>, y int")
+    model = forest.train(rows, forest.Options(trees=1, bootstrap=False))
+    (data,) = [forest.Nodes.from_bytes(bytes(r["data"])) for r in model.subtrees.collect()]
+    assert np.allclose(data.value[0], [50, 50])  # of 90 and 10
+    one = forest.train(rows.where("y = 1"), forest.Options(trees=2))
+    assert {tuple(r.probability) for r in forest.probability(one, rows.where("features is not null")).collect()} == {(1.0,)}
+    for bad, what in ((rows.limit(0), "no rows"), (rows.union(spark.createDataFrame([([1.0, 2.0], 1)], "features array<double>, y int")), "lengths")):
+        with pytest.raises(ValueError, match=what):
+            forest.train(bad)
+
+
+def test_draws_are_uniform_and_poisson():
+    u = forest.draw(np.arange(20_000), 5, 1)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, forest.draw(np.arange(20_000), 5, 2))[0, 1]) < 0.03
+    k = forest.times_drawn(np.arange(50_000), 3, forest.Options())
+    assert abs(k.mean() - 1) < 0.02 and abs((k == 0).mean() - np.exp(-1)) < 0.01 and abs(k.var() - 1) < 0.03
