@@ -29,6 +29,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -199,29 +200,41 @@ def align(key: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: l
             end_b += len(bytes_b[b[j]])
 
 
-def spell(groups: list[int], names: list[str]) -> tuple[str, int, int, int]:
+class _Names(dict):
+    """Decimal text of numbers, made once."""
+
+    def __missing__(self, i: int) -> str:
+        self[i] = out = str(i)
+        return out
+
+
+def spell(groups: list[int], names: _Names) -> tuple[str, int, int, int]:
     """Groups as text, with their numbers of A ids, B ids and groups."""
-    out, at, n_a, n_b = [], 0, 0, 0
-    while at < len(groups):
+    out, at, n_a, n_b, size = [], 0, 0, 0, len(groups)
+    while at < size:
         a, b = groups[at], groups[at + 1]
-        mid, end = at + 2 + a, at + 2 + a + b
-        out.append(",".join([names[i] for i in groups[at + 2 : mid]]) + "|" + ",".join([names[i] for i in groups[mid:end]]))
+        if a == b == 1:
+            out.append(f"{names[groups[at + 2]]}|{names[groups[at + 3]]}")
+            at, n_a, n_b = at + 4, n_a + 1, n_b + 1
+            continue
+        mid = at + 2 + a
+        end = mid + b
+        first = names[groups[at + 2]] if a == 1 else ",".join([names[i] for i in groups[at + 2 : mid]])
+        out.append(f"{first}|{names[groups[mid]] if b == 1 else ','.join([names[i] for i in groups[mid:end]])}")
         n_a, n_b, at = n_a + a, n_b + b, end
     return ";".join(out), n_a, n_b, len(out)
 
 
 _ALIGNED = "seg string, n long, groups binary, links array<long>"
-#: Numbers of the packed groups; a long run without a common end needs more than two bytes for its counts too.
-_ID = "<u4"
 
 
 def _short(groups: list[int]) -> bytes:
-    """Two bytes a number if all fit, marked by an odd length."""
-    return np.array(groups, "<u2").tobytes() + b"s" if max(groups, default=0) < 1 << 16 else np.array(groups, _ID).tobytes()
+    """Two bytes a number if all fit, marked by an odd length, else four (a long run without a common end has large counts)."""
+    return array("H", groups).tobytes() + b"s" if max(groups, default=0) < 1 << 16 else array("I", groups).tobytes()
 
 
 def _numbers(data: bytes) -> list[int]:
-    return np.frombuffer(data[:-1], "<u2").tolist() if len(data) % 2 else np.frombuffer(data, _ID).tolist()
+    return memoryview(data[:-1]).cast("H").tolist() if len(data) % 2 else memoryview(data).cast("I").tolist()
 
 
 def _aligner(vocabulary_a: str, model_b: str):
@@ -341,14 +354,18 @@ def _opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes
 
 def _compose(docs: pa.Table, held: pa.Table) -> pa.Table:
     """A block's documents from its segments: sums of what these give, and the hash of their groups in order."""
-    parts = [_opened(d) for d in held.column("data").to_pylist()]
-    codes, n_best, count_sum = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in range(3))
+    bundles, names = held.column("data").to_pylist(), _Names()
+    codes, sums, texts = [np.zeros(0, np.int64)], [np.zeros((5, 0), np.int64)], []
+    for i, data in enumerate(bundles):  # opened one at a time
+        bundles[i] = None
+        own, n_best, count_sum, groups = _opened(data)
+        spelled = [spell(_numbers(g), names) for g in groups]
+        texts += [x[0] for x in spelled]
+        codes.append(own)
+        sums.append(np.vstack([*(np.fromiter((x[k] for x in spelled), np.int64, len(spelled)) for k in (1, 2, 3)), n_best, count_sum]))
+    codes, sums = np.concatenate(codes), np.concatenate(sums, 1)
     place = np.full(int(codes.max(initial=0)) + 1, -1)
     place[codes] = np.arange(len(codes))
-    numbers = [_numbers(g) for p in parts for g in p[3]]
-    names = list(map(str, range(max((max(g) for g in numbers if g), default=0) + 1)))
-    texts, *counted = map(list, zip(*(spell(g, names) for g in numbers))) if numbers else ([], [], [], [])
-    sums = np.array([*counted, n_best, count_sum], np.int64)
     rows = []
     for data in docs.column("codes").to_pylist():
         at = place[_unpacked(data)]
