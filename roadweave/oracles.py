@@ -309,3 +309,9 @@ s AS (SELECT *, (l0 * l0 + l1 * l1) / (l0 + l1) + ((t0 - l0) * (t0 - l0) + (t1 -
 b AS (SELECT * FROM s ORDER BY gain DESC LIMIT 1)
 SELECT 'left' AS side, CAST(j AS INTEGER) AS feature, round((v + next) / 2, 6) AS threshold, round(l0, 6) AS w0, round(l1, 6) AS w1 FROM b
 UNION ALL SELECT 'right', CAST(j AS INTEGER), round((v + next) / 2, 6), round(t0 - l0, 6), round(t1 - l1, 6) FROM b"""
+
+ORACLE["closest_approach"] = f"""WITH {TRACKS}, near AS (
+  SELECT CAST(a.track_id AS VARCHAR) AS track_id_a, CAST(b.track_id AS VARCHAR) AS track_id_b, sqrt((b.x_m-a.x_m)**2 + (b.y_m-a.y_m)**2) AS dist, a.frame_idx AS frame_a, b.frame_idx AS frame_b, a.x_m AS x_a, b.x_m AS x_b
+  FROM tracks a JOIN tracks b ON CAST(a.track_id AS VARCHAR) < CAST(b.track_id AS VARCHAR) AND abs(b.x_m - a.x_m) <= 2 AND abs(b.y_m - a.y_m) <= 2 WHERE (b.x_m-a.x_m)**2 + (b.y_m-a.y_m)**2 <= 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id_a, track_id_b ORDER BY dist, frame_a, frame_b) AS rn FROM near)
+SELECT track_id_a, track_id_b, round(dist, 6) AS dist, frame_a, frame_b, round(x_a, 6) AS x_a, round(x_b, 6) AS x_b FROM ranked WHERE rn = 1"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions import scalars
 from roadweave.functions.vocabulary import EDGE_FEATURES
-from roadweave.operators import baselines, calibration, exports, forest, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
+from roadweave.operators import approach, baselines, calibration, exports, forest, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
 from roadweave.sources import files
 
@@ -117,6 +117,13 @@ def pet_pairs(spark, sf_dir):
     )
 
 
+@query
+def closest_approach(spark, sf_dir):
+    """The closest samples of each pair of tracks that come within 2 m, at any times."""
+    rows = event_trajectories(spark, sf_dir).select(F.col("track_id").cast("string").alias("track"), "frame_idx", "x_m", "y_m")
+    return approach.closest_approach(rows, [], 2.0).select("track_id_a", "track_id_b", r6("dist"), F.col("fa").alias("frame_a"), F.col("fb").alias("frame_b"), r6("xa", "x_a"), r6("xb", "x_b"))
+
+
 @query
 def deceleration_to_avoid_crash(spark, sf_dir):
     key = ["frame_id"]
