@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.scalars import nan_to_null, require_columns
+from roadweave.operators import crowded
 
 
 def keys_of(df: DataFrame, *names: str, video_col: str = "video_id", per_video: bool = True) -> list[str]:
@@ -50,14 +51,18 @@ def compute_kinematics(df: DataFrame, track_id_col: str = "track_id", frame_col:
     return out.withColumn("accel_mps2", F.try_divide(step(F.col("speed_mps")), F.col("dt")))
 
 
-def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float, condition: Column | None = None, inclusive: bool = False, bucketed: bool = False, x_col: str = "x_m", y_col: str = "y_m", wanted: DataFrame | None = None) -> DataFrame:
+def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float, condition: Column | None = None, inclusive: bool = False, bucketed: bool | str = False, x_col: str = "x_m", y_col: str = "y_m", wanted: DataFrame | None = None) -> DataFrame:
     """Unordered pairs of points of one key closer than ``radius``: structs a and b (a's id smaller) and dist.
 
     Plain: an equi-join by key, with the distance as a condition of the join. Bucketed: by key and a grid
     of cells as wide as the radius, one side also sent to the 8 cells around; a pair meets in exactly one
-    cell, so a crowded frame is dealt over its cells. Both give the same pairs. ``condition`` may use a and b.
+    cell, so a crowded frame is dealt over its cells. ``"tree"``: by a quadtree, so that crowded cells are
+    dealt too (``crowded.pairs_by_tree``). All give the same pairs. ``condition`` may use a and b.
     ``wanted`` (__a, __b) are the only pairs of ids that may meet: the first goes along as a part of the key.
     """
+    if bucketed == "tree" and wanted is None:
+        out = crowded.pairs_by_tree(points, key, id_col, radius, inclusive, x_col=x_col, y_col=y_col)
+        return out if condition is None else out.where(condition)
     gap = lambda: F.hypot(F.col("b")[x_col] - F.col("a")[x_col], F.col("b")[y_col] - F.col("a")[y_col])
     all_of = F.struct(*(F.col(c) for c in points.columns))
     placed = points.where(F.col(x_col).isNotNull() & F.col(y_col).isNotNull())
@@ -82,7 +87,7 @@ def pairs_within(points: DataFrame, key: list[str], id_col: str, radius: float,
 
 
 def find_nearby_pairs(df: DataFrame, frame_col: str = "frame_idx", track_col: str = "track_id", x_col: str = "x_m", y_col: str = "y_m", distance_threshold: float = 15.0,
-                      speed_col: str | None = None, bucketed: bool = True, per_video: bool = True, mark_repeated: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+                      speed_col: str | None = None, bucketed: bool | str = True, per_video: bool = True, mark_repeated: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """(frame, track_id_a, track_id_b, dist[, rel_speed]): pairs strictly closer than the threshold, ids ordered as strings.
 
     ``mark_repeated`` adds ``repeated``: whether a track of the pair has several rows in the frame.

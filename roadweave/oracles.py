@@ -33,7 +33,7 @@ NEAR = """near AS (
   SELECT a.frame_idx, CAST(a.track_id AS VARCHAR) AS track_id_a, CAST(b.track_id AS VARCHAR) AS track_id_b, sqrt((b.x_m-a.x_m)**2 + (b.y_m-a.y_m)**2) AS dist, {more}
   FROM {rel} a JOIN {rel} b ON a.frame_idx = b.frame_idx AND CAST(a.track_id AS VARCHAR) < CAST(b.track_id AS VARCHAR)
   WHERE sqrt((b.x_m-a.x_m)**2 + (b.y_m-a.y_m)**2) < 15)"""
-ORACLE["nearby_pairs"] = ORACLE["nearby_pairs_bucketed"] = f"WITH {TRACKS}, {NEAR.format(rel='tracks', more='1 AS one')} SELECT frame_idx, track_id_a, track_id_b, round(dist, 6) AS dist FROM near"
+ORACLE["nearby_pairs"] = ORACLE["nearby_pairs_bucketed"] = ORACLE["nearby_pairs_tree"] = f"WITH {TRACKS}, {NEAR.format(rel='tracks', more='1 AS one')} SELECT frame_idx, track_id_a, track_id_b, round(dist, 6) AS dist FROM near"
 
 PAIRS = KIN + ", " + NEAR.format(rel="kin", more="abs(a.speed_mps - b.speed_mps) AS rel") + """, pairs AS (
   SELECT track_id_a, track_id_b, string_agg(CAST(frame_idx AS VARCHAR), ',' ORDER BY frame_idx) AS frames, count(*) AS n_frames, min(dist) AS min_distance,

@@ -69,14 +69,14 @@ def _smooth(window: int) -> Query:
 QUERIES["smooth_odd"], QUERIES["smooth_even"] = _smooth(3), _smooth(4)
 
 
-def _nearby(bucketed: bool) -> Query:
+def _nearby(bucketed: bool | str) -> Query:
     def run(spark, sf_dir):
         return trajectories.find_nearby_pairs(event_trajectories(spark, sf_dir), bucketed=bucketed).select("frame_idx", "track_id_a", "track_id_b", r6("dist"))
 
     return run
 
 
-QUERIES["nearby_pairs"], QUERIES["nearby_pairs_bucketed"] = _nearby(False), _nearby(True)
+QUERIES["nearby_pairs"], QUERIES["nearby_pairs_bucketed"], QUERIES["nearby_pairs_tree"] = _nearby(False), _nearby(True), _nearby("tree")
 
 
 def _conflicts(spark, sf_dir) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadweave.operators import approach, safety
+from roadweave.operators import approach, crowded, safety, trajectories
 
 SAMPLES = "video_id string, track string, frame_idx int, x_m double, y_m double, t_sec double"
 
@@ -91,3 +91,33 @@ def test_pet_of_given_pairs_is_pet_of_all(spark):
     assert {(r.video_id, r.event_id): r for r in safety.pet_events(tracks, pairs).collect()} == {k: every[k] for k in some}
     assert safety.pet_events(tracks.limit(0)).count() == 0
     assert safety.pet_events(tracks.drop("video_id").withColumn("track_id", F.col("track_id"))).count() >= len(every)
+
+
+# Crowded places
+
+
+def crowd(rng, n):
+    """A third of all points on one spot, a third in one cell, the rest anywhere; ids repeat."""
+    rows = [(1, f"p{i}", 5.0, -7.0) for i in range(n // 3)] + [(1, f"q{i}", *rng.uniform(0, 1.9, 2).tolist()) for i in range(n // 3)]
+    rows += [(int(rng.integers(1, 3)), f"r{i % 40}", *rng.uniform(-20, 20, 2).tolist()) for i in range(n // 3)]
+    return rows + [(1, "none", None, 1.0), (None, "nokey", 1.0, 1.0)]
+
+
+@pytest.mark.parametrize("limit", [8, 1000])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_tree_gives_the_pairs_of_the_plain_join(spark, limit, inclusive):
+    points = spark.createDataFrame(crowd(np.random.default_rng(limit), 180), "frame int, id string, x_m double, y_m double")
+    marks = lambda df: sorted((r.a.frame, r.a.id, r.b.id, round(r.a.x_m, 9), round(r.b.x_m, 9), round(r.dist, 9)) for r in df.collect())
+    plain = trajectories.pairs_within(points, ["frame"], "id", 2.0, inclusive=inclusive)
+    assert marks(crowded.pairs_by_tree(points, ["frame"], "id", 2.0, inclusive, limit)) == marks(plain) != []
+    assert crowded.pairs_by_tree(points.limit(0), ["frame"], "id", 2.0).count() == 0
+
+
+def test_no_key_of_the_tree_holds_many_points(spark):
+    points = spark.createDataFrame(crowd(np.random.default_rng(2), 3000), "frame int, id string, x_m double, y_m double").where("x_m is not null and frame is not null")
+    cells = crowded.leaves(points, ["frame"], 2.0, 50)
+    fine = 2.0 / 2**crowded.DEPTH
+    at = points.withColumns({"__fx": F.floor(F.col("x_m") / fine), "__fy": F.floor(F.col("y_m") / fine)}).join(cells, ["frame", "__fx", "__fy"])
+    sizes = at.groupBy("frame", "__level", "__lx", "__ly").agg(F.count("*").alias("n"), F.max("__chunks").alias("k")).collect()
+    assert sum(r.n for r in sizes) == points.count() and max(r.n for r in sizes) >= 1000
+    assert all(r.n / r.k <= 50 for r in sizes)
