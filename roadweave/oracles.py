@@ -315,3 +315,6 @@ ORACLE["closest_approach"] = f"""WITH {TRACKS}, near AS (
   FROM tracks a JOIN tracks b ON CAST(a.track_id AS VARCHAR) < CAST(b.track_id AS VARCHAR) AND abs(b.x_m - a.x_m) <= 2 AND abs(b.y_m - a.y_m) <= 2 WHERE (b.x_m-a.x_m)**2 + (b.y_m-a.y_m)**2 <= 4),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id_a, track_id_b ORDER BY dist, frame_a, frame_b) AS rn FROM near)
 SELECT track_id_a, track_id_b, round(dist, 6) AS dist, frame_a, frame_b, round(x_a, 6) AS x_a, round(x_b, 6) AS x_b FROM ranked WHERE rn = 1"""
+
+ORACLE["stream_pairs"] = """WITH p AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS frame_idx, CAST(event_id AS VARCHAR) AS id, value AS x, CAST(event_id % 100 AS DOUBLE) AS y FROM events)
+SELECT a.frame_idx, a.id AS track_id_a, b.id AS track_id_b, round(sqrt((b.x - a.x)**2 + (b.y - a.y)**2), 6) AS dist FROM p a JOIN p b ON a.frame_idx = b.frame_idx AND a.id < b.id WHERE sqrt((b.x - a.x)**2 + (b.y - a.y)**2) < 6"""

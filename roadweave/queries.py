@@ -15,6 +15,7 @@ from roadweave.functions.vocabulary import EDGE_FEATURES
 from roadweave.operators import approach, baselines, calibration, exports, forest, gcn, gcn_tables, graph_vectors, graphs, metrics, mlp, records, safety, splits, subgraphs, temporal, trajectories
 from roadweave.plans.pipelines import event_actors, event_trajectories, flagship
 from roadweave.sources import files
+from roadweave.streaming import tracks as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,6 +132,19 @@ def deceleration_to_avoid_crash(spark, sf_dir):
     return edges.where("src < dst").select("frame_id", "src", "dst", r6(scalars.drac("closing_speed", "distance"), "drac"))
 
 
+@query
+def stream_pairs(spark, sf_dir):
+    """Events of an hour with near values, by a stream that joins itself; run until all of the table is read."""
+    at, path = _scratch(spark), f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/[e]vents.parquet")  # a pattern, as a stream reads no single file by its path
+    hour = F.date_trunc("hour", F.col("ts"))
+    points = events.select(hour.alias("ts"), F.unix_timestamp(hour).alias("frame_idx"), F.col("event_id").alias("track_id"), F.col("value").alias("x_m"), (F.col("event_id") % 100).cast("double").alias("y_m"))
+    found = streams.stream_nearby_pairs(points, distance_threshold=6.0, late="1 hour")
+    q = found.writeStream.format("parquet").option("path", f"{at}/pairs").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(found.schema).parquet(f"{at}/pairs").select("frame_idx", "track_id_a", "track_id_b", r6("dist"))
+
+
 # Records and scalars
 
 
