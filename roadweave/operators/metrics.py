@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.numbering import banded
+
 from roadweave.functions.scalars import sigmoid
 
 
@@ -47,7 +49,7 @@ BANDS = 64
 
 def _with_running(scores: DataFrame, bands: int = BANDS) -> DataFrame:
     """scores (score, p, n) plus tp, fp: sums over scores at or above each, by ranges of scores in parallel."""
-    ranged = scores.repartitionByRange(bands, F.col("score").desc()).withColumn("__b", F.spark_partition_id())
+    ranged = banded(scores, [F.col("score").desc()], bands)
     totals = ranged.groupBy("__b").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"))
     before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row per band
     totals = totals.select("__b", F.coalesce(F.sum("bp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("bn").over(before), F.lit(0)).alias("bn"))

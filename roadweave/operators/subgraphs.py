@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from roadweave.functions.scalars import class_index
+from roadweave.functions.scalars import class_index, require_columns
 from roadweave.functions.vocabulary import ACTOR_CLASSES, EDGE_BLOCKS, EDGE_FEATURES, NODE_FEATURES, edge_feature_index, node_feature_dim, node_feature_index
 
 
@@ -88,6 +88,52 @@ def with_node_features(nodes: DataFrame, values: dict[str, Column], column: str
     return nodes.withColumn(column, F.concat(F.array(*new), F.slice(F.col(column), len(NODE_FEATURES) + 1, F.size(column))))
 
 
+def with_node_feature_block(nodes: DataFrame, names: list[str], block: Column, column: str = "features") -> DataFrame:
+    """Named channels replaced by the values of an array column, in the order of the names; an array of another length fails the job."""
+    found = F.size(block)
+    checked = F.when(found == len(names), block).otherwise(F.raise_error(F.concat(F.lit("replacement block width "), F.coalesce(found.cast("string"), F.lit("null")), F.lit(f" is not {len(names)}"))).cast("array<double>"))
+    return with_node_features(nodes.withColumn("__block", checked), {n: F.get("__block", F.lit(i)) for i, n in enumerate(names)}, column).drop("__block")
+
+
+class LayoutWatch:
+    """Counts what breaks the layout while a job runs over the tables: no pass of its own.
+
+    Wrap the tables with ``nodes`` and ``edges``, run any action over what follows from them, then ask
+    ``errors`` (reason -> rows) or ``check``, which raises. Missing columns raise at once.
+    """
+
+    def __init__(self, classes: list[str] | None = None, require_pos: bool = False, exact_width: bool = True):
+        self.classes, self.require_pos, self.exact_width = classes, require_pos, exact_width
+        self.seen: list[tuple[Observation, dict[str, str]]] = []
+
+    def _watched(self, rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+        names = {f"e{i}": reason for i, reason in enumerate(rules)}
+        self.seen.append((Observation(), names))
+        return rows.observe(self.seen[-1][0], *(F.count(F.when(F.coalesce(bad, F.lit(True)), 1)).alias(n) for n, bad in zip(names, rules.values())))
+
+    def nodes(self, rows: DataFrame) -> DataFrame:
+        require_columns(rows, "features", *(["pos"] if self.require_pos else []))
+        width = node_feature_dim(self.classes)
+        rules = {f"node width is not {width}": F.size("features") != width} if self.exact_width else {f"node width is below {len(NODE_FEATURES)}": F.size("features") < len(NODE_FEATURES)}
+        if "pos" in rows.columns:
+            rules["pos has not two numbers"] = F.size("pos") != 2
+        if "class_index" in rows.columns:
+            rules["node without class index"] = F.col("class_index").isNull()
+        return self._watched(rows, rules)
+
+    def edges(self, rows: DataFrame) -> DataFrame:
+        require_columns(rows, "src", "dst", "features")
+        return self._watched(rows, {f"edge width is not {len(EDGE_FEATURES)}": F.size("features") != len(EDGE_FEATURES), "edge without ends": F.col("src").isNull() | F.col("dst").isNull()})
+
+    def errors(self) -> dict[str, int]:
+        """After an action: reasons with the number of rows they hold for."""
+        return {reason: n for watch, names in self.seen for k, reason in names.items() if (n := watch.get[k])}
+
+    def check(self) -> None:
+        if found := self.errors():
+            raise ValueError("; ".join(f"{reason}: {n} rows" for reason, n in sorted(found.items())))
+
+
 def layout_errors(nodes: DataFrame, edges: DataFrame, key: list[str], classes: list[str] | None = None, exact_width: bool = False) -> DataFrame:
     """Rows that break the layout, each with its reason; none if all is well."""
     width = node_feature_dim(classes)

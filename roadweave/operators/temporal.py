@@ -83,6 +83,8 @@ def spatial_window_edges(members: DataFrame, edges: DataFrame, video_col: str =
 def window_graphs(nodes: DataFrame, edges: DataFrame, video_col: str = "video_id", frame_col: str = "frame_id", window_size: int = 8, stride: int = 1,
                   connect_bidirectional: bool = True, skip_negative_tracks: bool = False) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of all windows; temporal edges have zero features of the same width."""
+    require_columns(nodes, video_col, frame_col, "node_id", "track_id", "features")
+    require_columns(edges, video_col, frame_col, "src", "dst", "features")
     windows = sliding_windows(nodes.select(video_col, frame_col), video_col, frame_col, window_size, stride)
     members = window_nodes(windows, nodes, video_col, frame_col)
     zero = F.array_repeat(F.lit(0.0), len(EDGE_FEATURES)).alias("features")

@@ -58,7 +58,8 @@ def train_and_evaluate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, ke
     """Graph tables and labels (key, label, ids) -> (model, history, predictions with split).
 
     ``by_tables`` trains by joins, for graphs too large for one task, in place of one row for each graph.
-    ``run_dir``, a folder on the driver, gets history.json, last.json and best.json; ``evaluate_stored`` reads the latter two.
+    ``run_dir``, a folder on the driver, gets config.json, history.json, last.json, best.json, metrics.json (of the
+    validation rows) and predictions.jsonl of these; ``evaluate_stored`` reads last.json and best.json.
     """
     split = splits.grouped_split(labels, key, group_key, val_frac, seed)
     first = nodes.select(F.size("features").alias("n")).first()
@@ -75,7 +76,20 @@ def train_and_evaluate(nodes: DataFrame, edges: DataFrame, labels: DataFrame, ke
         files.write_json(f"{run_dir}/history.json", {"history": history})
         for name, weights in (("last", model.weights), ("best", model.best_weights)):
             files.write_json(f"{run_dir}/{name}.json", gcn.model_to_dict(model, weights))
-    return model, history, metrics.predictions(gcn.forward(nodes, edges, [key], model).join(split, key))
+    found = metrics.predictions(gcn.forward(nodes, edges, [key], model).join(split, key))
+    if run_dir is not None:
+        config = {"hidden": hidden, "num_layers": num_layers, "epochs": epochs, "lr": lr, "weight_decay": weight_decay, "dropout": dropout, "batches": batches, "val_frac": val_frac, "group_key": group_key, "seed": seed, "by_tables": by_tables}
+        held = found.where(F.col("split") == "val")
+        files.write_json(f"{run_dir}/config.json", config | {f"{r['split']}_size": r["count"] for r in found.groupBy("split").count().collect()})
+        files.write_json(f"{run_dir}/metrics.json", summary_of(held, history))
+        files.write_jsonl(held, f"{run_dir}/predictions.jsonl")
+    return model, history, found
+
+
+def summary_of(found: DataFrame, history: list[dict] | None = None) -> dict:
+    """Metrics and warnings of predictions as plain values, for a JSON file."""
+    one = {**metrics.validation_summary(found, "label", "pred_label").first().asDict(recursive=True), **metrics.binary_metrics(found, "label", "logit").first().asDict()}
+    return one | ({"history": history, "best_val_f1": max((h.get("val_f1", 0.0) for h in history), default=0.0)} if history is not None else {})
 
 
 def evaluate_stored(path: str, nodes: DataFrame, edges: DataFrame, labels: DataFrame, key: str = "sample_id") -> tuple[DataFrame, DataFrame]:
