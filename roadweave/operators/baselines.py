@@ -114,7 +114,7 @@ class MLPBaseline(_Baseline):
 
     hidden: tuple[int, ...] = (128, 64, 32)
     alpha: float = 1e-4
-    rate: float = 1e-3
+    rate: float | None = None
     max_iter: int = 500
     held_out: float = 0.1
     tol: float = 1e-4

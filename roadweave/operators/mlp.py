@@ -127,11 +127,12 @@ class Trained:
     stopped: bool
 
 
-def train(rows: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), features_col: str = "features", label_col: str = "y", alpha: float = 1e-4, rate: float = 1e-3, batch_rows: int = 200, max_iter: int = 500,
+def train(rows: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), features_col: str = "features", label_col: str = "y", alpha: float = 1e-4, rate: float | None = None, batch_rows: int = 200, max_iter: int = 500,
           held_out: float = 0.1, tol: float = 1e-4, patience: int = 10, most_steps: int = 64, step_tasks: int = 64, task_rows: int = 50_000, seed: int = 42) -> Trained:
     """Adam on the mean loss with L2. ``batch_rows`` rows a step, more if an epoch would have over ``most_steps`` steps; at most ``step_tasks`` tasks a step.
 
-    Rows without features or label take no part. Classes are the distinct labels, in order.
+    ``rate`` is 0.001 by default, more where ``max_iter`` leaves so few steps that they couldn't move the weights
+    (3 over the number of steps, at most 0.05). Rows without features or label take no part. Classes are the distinct labels, in order.
     """
     known = rows.select(F.col(features_col).cast("array<double>").alias("x"), F.col(label_col).cast("long").alias("label")).where("x is not null and label is not null")
     dealt = store(known.withColumns({"held": F.rand(seed) < held_out, "draw": F.rand(seed + 1)}))
@@ -150,6 +151,7 @@ def train(rows: DataFrame, hidden: tuple[int, ...] = (128, 64, 32), features_col
     placed = dealt.select("x", place.alias("y"), "held", "draw")
     own = _blocks(placed.where("not held").repartitionById(steps * tasks, F.least(F.floor(F.col("draw") * (steps * tasks)), F.lit(steps * tasks - 1)).cast("int")), width)
     test = _blocks(placed.where("held"), width)
+    rate = rate or max(1e-3, min(0.05, 3.0 / (steps * max(1, max_iter))))
     sc, adam, size = rows.sparkSession.sparkContext, Adam(net.weights, rate), sum(w.size for w in net.weights)
     losses, scores, best, waited, kept, stopped = [], [], -np.inf, 0, [w.copy() for w in net.weights], False
     rng = np.random.default_rng(seed)
