@@ -392,7 +392,7 @@ def graph_folder_by_number(spark, sf_dir):
     """Graphs written by frame, read as a folder, the third file by path taken."""
     at = _scratch(spark)
     nodes = graphs.build_nodes(event_actors(spark, sf_dir), KEY).where(F.col("frame_id").isNotNull())
-    files.write_graphs(nodes.groupBy("frame_id").agg(F.count("*").alias("n")).repartition(1), at)
+    files.write_graphs(nodes.groupBy("frame_id").agg(F.count("*").alias("n")).repartition("frame_id"), at)  # one file for each folder
     found = files.read_graph_folder(spark, at, recursive=True)
     return files.graph_at(found, 2).select(F.regexp_extract("path", "frame_id=([0-9]+)", 1).cast("int").alias("frame_id"), "n", "sample_name")
 
