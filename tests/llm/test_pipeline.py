@@ -86,7 +86,7 @@ def test_stages_on_empty_tables(spark, folder, tmp_path):
 
 def test_registered_queries():
     names = set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= names
     assert set(__spark_entry__.oracle_sql()) <= names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
