@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import distance
+
 #: Samples of a part, of a piece inside a part, and pairs of samples that are simply all computed.
 PART, PIECE, FEW = 4096, 32, 256
 
@@ -37,6 +39,11 @@ def _gap(a: str, b: str, axis: str) -> Column:
     return F.greatest(F.lit(0.0), F.col(f"{a}.low_{axis}") - F.col(f"{b}.high_{axis}"), F.col(f"{b}.low_{axis}") - F.col(f"{a}.high_{axis}"))
 
 
+def _distance(dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """As ``scalars.distance``."""
+    return np.sqrt(dx * dx + dy * dy)
+
+
 def closest(xa: np.ndarray, ya: np.ndarray, fa: np.ndarray, xb: np.ndarray, yb: np.ndarray, fb: np.ndarray, limit: float = np.inf) -> tuple[float, int, int] | None:
     """(distance, place in a, place in b) of the closest two points within the limit, ties by frames; None if there are none."""
     cut_a, cut_b = (np.argsort(_along(x, y), kind="stable") for x, y in ((xa, ya), (xb, yb)))
@@ -51,11 +58,13 @@ def closest(xa: np.ndarray, ya: np.ndarray, fa: np.ndarray, xb: np.ndarray, yb:
             break
         a, b = cut_a[i * PIECE : (i + 1) * PIECE], cut_b[j * PIECE : (j + 1) * PIECE]
         d = np.hypot(xb[b][None] - xa[a][:, None], yb[b][None] - ya[a][:, None])
-        near = d.min()
-        if near <= (limit if best is None else best[0]):
-            for p, q in np.argwhere(d == near).tolist():
-                found = (float(near), fa[a[p]], fb[b[q]], int(a[p]), int(b[q]))
-                best = found if best is None or found[:3] < best[:3] else best
+        close = min(d.min() * (1 + 1e-12), (limit if best is None else best[0]) * (1 + 1e-12))
+        at_p, at_q = np.nonzero(d <= close)  # the last bit, which decides ties, is that of ``_distance``
+        exact = _distance(xb[b[at_q]] - xa[a[at_p]], yb[b[at_q]] - ya[a[at_p]])
+        for near, p, q in zip(exact.tolist(), at_p.tolist(), at_q.tolist()):
+            found = (near, fa[a[p]], fb[b[q]], int(a[p]), int(b[q]))
+            if near <= limit and (best is None or found[:3] < best[:3]):
+                best = found
     return None if best is None else (best[0], best[3], best[4])
 
 
@@ -88,7 +97,7 @@ def _searcher(radius: float, keys: int):
             row = np.repeat(few, (na * nb)[few])
             nth = np.arange(len(row)) - np.repeat(np.cumsum((na * nb)[few]) - (na * nb)[few], (na * nb)[few])
             a, b = at_a[row] + nth // nb[row], at_b[row] + nth % nb[row]
-            d = np.hypot(flat[3][b] - flat[0][a], flat[4][b] - flat[1][a])
+            d = _distance(flat[3][b] - flat[0][a], flat[4][b] - flat[1][a])
             keep = d <= radius
             row, a, b, d = row[keep], a[keep], b[keep], d[keep]
             order = np.lexsort((flat[5][b], flat[2][a], d, row))
@@ -150,7 +159,7 @@ def inside_zones(zones: DataFrame, samples: DataFrame, key: list[str], radius: f
     cells = lambda c: F.sequence(F.floor((F.col(c) - radius) / width), F.floor((F.col(c) + radius) / width))
     asked = zones.withColumn("__cx", F.explode(cells("conflict_x"))).withColumn("__cy", F.explode(cells("conflict_y")))
     met = asked.withColumnRenamed(track_col, "track").join(own.select(*key, "track", "__cx", "__cy", F.arrays_zip("fs", "xs", "ys", *carry).alias("p")), [*key, "track", "__cx", "__cy"])
-    inside = F.filter("p", lambda s: F.hypot(s["xs"] - F.col("conflict_x"), s["ys"] - F.col("conflict_y")) <= radius)
+    inside = F.filter("p", lambda s: distance(s["xs"] - F.col("conflict_x"), s["ys"] - F.col("conflict_y")) <= radius)
     out = met.withColumn("s", F.explode(inside))
     rest = [c for c in zones.columns if c not in (*key, track_col)]
     return out.select(*key, F.col("track").alias(track_col), *rest, F.col("s.fs").alias("frame_idx"), *(F.col(f"s.{c}").alias(c) for c in carry))

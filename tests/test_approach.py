@@ -121,3 +121,17 @@ def test_no_key_of_the_tree_holds_many_points(spark):
     sizes = at.groupBy("frame", "__level", "__lx", "__ly").agg(F.count("*").alias("n"), F.max("__chunks").alias("k")).collect()
     assert sum(r.n for r in sizes) == points.count() and max(r.n for r in sizes) >= 1000
     assert all(r.n / r.k <= 50 for r in sizes)
+
+
+def test_ties_of_distances_are_those_of_roots_of_squares(spark):
+    # equal as roots of sums of squares; np.hypot and F.hypot put the second below the first by a bit
+    places = [(1, 6.13, 4.91), (2, 27.39, 26.17)]
+    rows = [("v", t, f, x, y, float(f)) for f, a, b in places for t, x, y in (("a", a, 0.0), ("b", b, 3.0))]
+    assert np.hypot(places[1][2] - places[1][1], 3.0) < np.hypot(places[0][2] - places[0][1], 3.0)
+    (got,) = approach.closest_approach(spark.createDataFrame(rows, SAMPLES), ["video_id"], 4.0).collect()
+    assert (got.fa, got.fb) == (1, 1)
+    x = np.array([6.13, 27.39]), np.array([4.91, 26.17])
+    assert approach.closest(x[0], np.zeros(2), np.array([1, 2]), x[1], np.full(2, 3.0), np.array([1, 2]))[1:] == (0, 0)
+    kin = trajectories.compute_kinematics(spark.createDataFrame(rows, SAMPLES).withColumnRenamed("track", "track_id"), fps=1.0)
+    for pairs in (trajectories.compute_conflict_pairs(kin, min_interaction_frames=2), safety.conflict_risk(kin, min_interaction_frames=2)):
+        assert pairs.first().min_distance_frame == 1
