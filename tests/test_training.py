@@ -232,3 +232,17 @@ def test_draws_are_uniform_and_poisson():
     assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, forest.draw(np.arange(20_000), 5, 2))[0, 1]) < 0.03
     k = forest.times_drawn(np.arange(50_000), 3, forest.Options())
     assert abs(k.mean() - 1) < 0.02 and abs((k == 0).mean() - np.exp(-1)) < 0.01 and abs(k.var() - 1) < 0.03
+
+
+def test_large_nodes_are_split_exactly(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.integers(0, 40, (3000, 4)) / 7.0, rng.integers(0, 2, 3000)
+    y = np.where(x[:, 2] > 3.2, y | (rng.random(3000) < 0.4), y)
+    rows = spark.createDataFrame([(v.tolist(), int(k)) for v, k in zip(x, y)], "features array<double>, y int").repartition(5)
+    common = {"trees": 1, "max_depth": 1, "features": 4, "bootstrap": False}
+    in_task, spread = (forest.train(rows, forest.Options(**common, task_rows=n, exact=True)).first_splits()[0] for n in (50_000, 100))
+    assert spread[:2] == pytest.approx(in_task[:2]) and all(np.allclose(a, b) for a, b in zip(spread[2:], in_task[2:]))
+    deep = [forest.probability(forest.train(rows, forest.Options(trees=1, features=4, bootstrap=False, task_rows=n, exact=True)), rows).select(F.round(F.get("probability", F.lit(1)), 9).alias("p"), "features").distinct().orderBy("features").collect() for n in (50_000, 700)]
+    assert deep[0] == deep[1]
+    alike = spark.range(500).select(F.array(F.lit(1.0)).alias("features"), (F.col("id") % 2).cast("int").alias("y"))
+    assert forest.train(alike, forest.Options(trees=1, bootstrap=False, task_rows=100, exact=True)).first_splits() == {}
