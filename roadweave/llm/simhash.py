@@ -292,7 +292,8 @@ def leader_classes(stars: DataFrame, nodes: DataFrame, keyed: DataFrame, *, shin
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_docs: int = 1024, max_shingles: int = 1 << 20) -> DataFrame:
     """One row per document: id, component_id. Documents are linked where the Jaccard similarity of their shingle sets reaches ``similarity``.
 
-    Documents that share a MinHash band, directly or through others, form a loose group; only links
+    Documents of one SimHash class (``near_duplicates``: fingerprints in BK-trees) form a loose group, together with
+    those that they share a MinHash band with, which finds copies whose fingerprints lie further apart; only links
     whose shingle sets were compared count. First each document is compared with its leaders, the
     smallest and the largest id that it shares a band with; this joins most of a group to one class at a cost in
     proportion to its size. Where a loose group still has several classes, the documents outside its
@@ -307,7 +308,10 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = banded.groupBy("v").agg(F.min("id").alias("m"), F.max("id").alias("x"), F.count("*").alias("n")).where("m <> x")
     ends = ends.select("v", "m", F.expr("if(n > 2, x, null)").alias("x"))  # of a pair, one is the other's leader
     led = banded.join(ends, "v").groupBy("id").agg(F.min("m").alias("m"), F.max("x").alias("x"))
-    near = cut(banded.join(ends.select("v", "m"), "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")).distinct())
+    same = rows.where("id is not null").select("id", "fp").join(nodes.select("fp", F.col("id").alias("own")), "fp").select("id", "own").distinct()
+    classed = near_duplicates(texts, id_col="id").where("id <> component_id").select("id", "component_id")
+    alike = classed.join(same.withColumnRenamed("own", "u"), "id").join(same.select(F.col("id").alias("component_id"), F.col("own").alias("v")), "component_id").where("u <> v").select("u", "v")
+    near = cut(banded.join(ends.select("v", "m"), "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")).unionByName(alike).distinct())
     stars = cut(led.select("id", F.explode(F.array_distinct(F.array("m", "x"))).alias("leader")).where("id <> leader"))
     loose = components(near)
     close = leader_classes(stars, nodes, keyed, shingle=shingle, similarity=similarity, max_docs=max_docs)

@@ -309,3 +309,15 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(pairs, "u long, v long")).collect()))
     assert got == {a: find(a) for a in up if a != 5 or any(5 in p and p[0] != p[1] for p in pairs)}
     assert components(spark.createDataFrame([(None, 1)], "u long, v long").where(F.col("u").isNotNull())).count() == 0
+
+
+def test_near_copies_come_from_fingerprints_too(spark):
+    # a passage said often decides the fingerprint, but counts once in the set of shingles: no band is shared at a similarity of 0.4 but by chance
+    said, rng = " ".join(f"word{i}" for i in range(40)), np.random.default_rng(3)
+    rows = [(i, " ".join([said] * 200 + [f"own{v}" for v in rng.integers(0, 10**9, 20)])) for i in range(6)] + [(9, "quite another text of some words that nobody else has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash.near_duplicates(docs).where("doc_id < 9").collect()} == {0}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs, similarity=0.4).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 9: 9}
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, similarity=0.4).collect()} == {0, 9}
+    assert simhash.drop_near_duplicates(docs, similarity=0.9).count() == 7  # the exact check decides
