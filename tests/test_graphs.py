@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,17 @@ def test_window_graphs(spark):
 
 def test_exports_are_json(spark, actors):
     assert json.loads(exports.plain_export(graphs.build_interaction_graph(actors)).toJSON().first())["num_nodes"] == 3
+
+
+def test_first_edges_and_paired_edges_equal_those_of_whole_graphs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f, t, "car" if t % 2 else "pedestrian", *rng.uniform(0, 12, 2).tolist(), *rng.normal(0, 1, 2).tolist()) for f in range(5) for t in range(3 + 4 * f)] + [(9, 1, "car", 0.0, 0.0, 0.0, 0.0)]
+    actors = spark.createDataFrame(rows, "frame_id long, track_id long, actor_class string, x double, y double, vx double, vy double")
+    whole, first = (graphs.build_interaction_graph(actors, first_edge=f) for f in (False, True))
+    for export in (exports.trim_edges, lambda g: exports.plain_export(g).drop("edges", "num_edges")):
+        assert export(first).collect() == export(whole).collect()
+    nodes, edges = graphs.build_graphs(actors, ["frame_id"])
+    one, other = (graphs.undirected_edges(edges, ["frame_id"], paired=p) for p in (True, False))
+    assert one.exceptAll(other).isEmpty() and other.exceptAll(one).isEmpty() and not one.isEmpty()
+    windows = [t._jdf.queryExecution().optimizedPlan().toString().count("Window [") for t in (one, other, edges)]
+    assert windows == [windows[2], windows[2] + 1, windows[2]]  # none over edges
