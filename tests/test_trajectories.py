@@ -118,3 +118,13 @@ def test_zone_pet(spark):
     assert (r.pet_seconds, r.pet_status) == (math.inf, "empty_trajectory")
     r = safety.conflict_zone_pet(df, ["pair"], inside=F.col("x") > 90).first()
     assert r.pet_status == "one_or_both_never_enter_zone"
+
+
+def test_status_of_ttc_without_separation(spark):
+    rows = [(1, t, x, y, vx, 0.0) for t, x, y, vx in (("a", 0.0, 0.0, 1.0), ("b", 4.0, 0.0, -1.0), ("c", 5.0, 4.0, -1.0))]
+    kin = spark.createDataFrame(rows, "frame_idx int, track_id string, x_m double, y_m double, vx_mps double, vy_mps double")
+    full, plain = (safety.frame_pair_ttc(kin, separation_in_status=s) for s in (True, False))
+    one, other = ({(r.track_id_a, r.track_id_b): r for r in d.collect()} for d in (full, plain))
+    assert one["a", "c"].status == "no_collision_min_sep_4.000" and other["a", "c"].status == "no_collision"
+    assert all({**one[k].asDict(), "status": ""} == {**other[k].asDict(), "status": ""} for k in one) and one.keys() == other.keys()
+    assert "format_string" not in plain._jdf.queryExecution().optimizedPlan().toString()
