@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from roadweave.functions.scalars import safe_float
 from roadweave.functions.vocabulary import EXPORT_EDGE_FEATURES, EXPORT_NODE_WIDTH
-from roadweave.operators.graphs import GraphConfig, build_graphs
+from roadweave.operators.graphs import build_edges, build_nodes
 
 # Names under which an edge may give its ends, first match first.
 SOURCE_NAMES = ["src_node", "source", "src", "from", "u", "sender", "src_id", "src_node_id", "src_track_id"]
@@ -103,7 +103,13 @@ def package(tensors: DataFrame) -> DataFrame:
 
 
 def regraph(graphs: DataFrame, key: list[str], lossless: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) built anew from nested graphs with the default options.
+    """(nodes, edges) built anew from nested graphs with the default options, as ``regraph_nodes`` reads them."""
+    nodes = regraph_nodes(graphs, key, lossless)
+    return nodes, build_edges(nodes, key)
+
+
+def regraph_nodes(graphs: DataFrame, key: list[str], lossless: bool = True) -> DataFrame:
+    """Nodes built anew from nested graphs with the default options.
 
     Node structs without velocity fields take them from their features if lossless; else velocities
     and headings become 0.
@@ -122,4 +128,4 @@ def regraph(graphs: DataFrame, key: list[str], lossless: bool = True) -> tuple[D
     cls = F.coalesce(F.col("n.actor_class"), F.lit("other")) if "actor_class" in have else F.lit("other")
     actors = rows.select(*key, order.alias("__o"), *track, (of("x") if "x" in have else of("x_m")).alias("x_m"), (of("y") if "y" in have else of("y_m")).alias("y_m"),
                          of("vx", 2).alias("vx"), of("vy", 3).alias("vy"), of("ax", 5).alias("ax"), of("ay", 6).alias("ay"), heading.alias("heading_rad"), cls.alias("actor_class"))
-    return build_graphs(actors, key, GraphConfig(), order_col="__o")
+    return build_nodes(actors, key, order_col="__o")
