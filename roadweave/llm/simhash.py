@@ -292,7 +292,7 @@ def leader_classes(stars: DataFrame, nodes: DataFrame, keyed: DataFrame, *, shin
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_docs: int = 1024, max_shingles: int = 1 << 20) -> DataFrame:
     """One row per document: id, component_id. Documents are linked where the Jaccard similarity of their shingle sets reaches ``similarity``.
 
-    Documents of one SimHash class (``near_duplicates``: fingerprints in BK-trees) form a loose group, together with
+    Documents of one SimHash class (the links of ``near_duplicates``: fingerprints in BK-trees) form a loose group, together with
     those that they share a MinHash band with, which finds copies whose fingerprints lie further apart; only links
     whose shingle sets were compared count. First each document is compared with its leaders, the
     smallest and the largest id that it shares a band with; this joins most of a group to one class at a cost in
@@ -309,13 +309,14 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ends = ends.select("v", "m", F.expr("if(n > 2, x, null)").alias("x"))  # of a pair, one is the other's leader
     led = banded.join(ends, "v").groupBy("id").agg(F.min("m").alias("m"), F.max("x").alias("x"))
     same = rows.where("id is not null").select("id", "fp").join(nodes.select("fp", F.col("id").alias("own")), "fp").select("id", "own").distinct()
-    classed = near_duplicates(texts, id_col="id").where("id <> component_id").select("id", "component_id")
-    alike = classed.join(same.withColumnRenamed("own", "u"), "id").join(same.select(F.col("id").alias("component_id"), F.col("own").alias("v")), "component_id").where("u <> v").select("u", "v")
+    prints, print_nodes, linked_prints = fingerprint_links(texts, id_col="id")
+    close_prints = cut(linked_prints.unionByName(prints.join(print_nodes.withColumnRenamed("id", "v"), "fp").where("id <> v").select(F.col("id").alias("u"), "v")))
+    alike = close_prints.join(same.select(F.col("id").alias("u"), F.col("own").alias("a")), "u").join(same.select(F.col("id").alias("v"), F.col("own").alias("b")), "v").where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))
     near = cut(banded.join(ends.select("v", "m"), "v").where("id <> m").select(F.col("id").alias("u"), F.col("m").alias("v")).unionByName(alike).distinct())
     stars = cut(led.select("id", F.explode(F.array_distinct(F.array("m", "x"))).alias("leader")).where("id <> leader"))
     loose = components(near)
     close = leader_classes(stars, nodes, keyed, shingle=shingle, similarity=similarity, max_docs=max_docs)
-    release(near, stars)
+    release(near, stars, prints, print_nodes, close_prints)
     classes = cut(nodes.join(close, nodes["id"] == close["node"], "left").select("fp", "id", "t", "size", F.coalesce("component", "id").alias("c")))
     members = cut(classes.join(loose, classes["id"] == loose["node"]).select("id", "t", "size", "c", F.col("component").alias("g")))
     release(close, loose)
@@ -357,15 +358,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), "component_id")
 
 
+def fingerprint_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, max_shard: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows (id, fp), nodes (fp, id: its smallest), links (u, v) between these ids); the first two are stored."""
+    rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).select(F.col("id").cast("long").alias("id"), "fp"))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
+    blocks = blocks or blocks_for(nodes.count(), radius)
+    return rows, nodes, shard_links(nodes.where("id is not null"), radius=radius, blocks=blocks, max_shard=max_shard)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, blocks: int | None = None, max_shard: int = 2048) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id that it reaches).
 
     ``blocks``: by default as many as keep shards of unlike fingerprints at a few nodes; the links are the same for any number.
     """
-    rows = cut(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle).select(F.col("id").cast("long").alias("id"), "fp"))
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
-    blocks = blocks or blocks_for(nodes.count(), radius)
-    found = components(shard_links(nodes.where("id is not null"), radius=radius, blocks=blocks, max_shard=max_shard))
+    rows, nodes, links = fingerprint_links(docs, id_col=id_col, text_col=text_col, shingle=shingle, radius=radius, blocks=blocks, max_shard=max_shard)
+    found = components(links)
     labelled = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(labelled, "fp", "left").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -122,17 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 strong.setdefault((in_pos, in_neg), t)
         chosen = {t for t, _, _ in kept} | set(_partners(sample, strong, chi, counts, min_docs, max_partners))
         buckets = np.sort(np.array(sorted(chosen), np.int32))
-        rows = (
-            sample.select(F.array_sort(F.array_intersect("terms", F.array(*[F.lit(int(x)) for x in buckets]))).alias("terms"), "y").collect()
-            if len(buckets) else []
-        )
+        if not len(buckets):
+            return none
+        found = sample.select(F.array_sort(F.array_intersect("terms", F.array(*[F.lit(int(x)) for x in buckets]))).alias("terms"), "y").toArrow()  # flat arrays; rows of Python numbers would take the driver many times their memory
     finally:
         sample.unpersist()
-    if not rows:
+    if not found.num_rows:
         return none
-    rows = sorted((tuple(r["terms"]), int(r["y"] > 0)) for r in rows)
-    x = [np.searchsorted(buckets, np.array(t, np.int32)) for t, _ in rows]
-    return _train(buckets, x, np.array([y for _, y in rows], np.float64), w0, factors, epochs, seed)
+    x, y = _in_order(found.column("terms").combine_chunks(), found.column("y").to_numpy() > 0)
+    return _train(buckets, [np.searchsorted(buckets, t) for t in x], y.astype(np.float64), w0, factors, epochs, seed)
+
+
+def _in_order(terms: pa.ListArray, y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Rows by their terms, then by y, so that a fit doesn't depend on the order in which rows came."""
+    at, flat = terms.offsets.to_numpy(), terms.values.to_numpy()
+    keys = (flat.astype(np.int64) + (1 << 31)).astype(">u4").tobytes()  # bytes in the order of the numbers
+    order = sorted(range(len(y)), key=lambda i: (keys[4 * at[i] : 4 * at[i + 1]], y[i]))
+    return [flat[at[i] : at[i + 1]] for i in order], y[order]
 
 
 def _partners(sample: DataFrame, strong: dict[tuple, int], chi, counts: list[Column], min_docs: int, most: int) -> list[int]:
