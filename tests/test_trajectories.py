@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import round_digits
 from roadweave.operators import safety
 from roadweave.operators.trajectories import add_time_seconds, compute_conflict_pairs, compute_kinematics, filter_meaningful_conflicts, find_nearby_pairs, smooth_positions
 
@@ -128,3 +129,21 @@ def test_status_of_ttc_without_separation(spark):
     assert one["a", "c"].status == "no_collision_min_sep_4.000" and other["a", "c"].status == "no_collision"
     assert all({**one[k].asDict(), "status": ""} == {**other[k].asDict(), "status": ""} for k in one) and one.keys() == other.keys()
     assert "format_string" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_one_crowded_frame_is_dealt_over_tasks(spark, bucketed):
+    points = spark.range(600).select(F.lit(1).alias("frame_idx"), F.col("id").alias("track_id"), (F.col("id") % 50 * 3.0).alias("x_m"), (F.col("id") % 7 * 9.0).alias("y_m"))
+    pairs = find_nearby_pairs(points, distance_threshold=7.0, bucketed=bucketed)
+    assert pairs.select(F.spark_partition_id()).distinct().count() > 8
+    assert pairs.count() == points.alias("a").join(points.alias("b"), F.expr("a.track_id < b.track_id and pow(a.x_m - b.x_m, 2) + pow(a.y_m - b.y_m, 2) < 49")).count() > 0
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    values = [0.0, -0.0, 0.0003125, -0.0003125, 0.00031249999999999995, 1.0000005, 2.5e-7, -1e-9, 12345.6789015, 1e15 + 0.3, 1e300, -1e305, float("inf"), 0.49999999999999994e-6, 1.5e-6, 2.5e-6, -2.5e-6]
+    got = [r.v for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(round_digits("v").alias("v")).collect()]
+    assert got == [duckdb.execute("select round(?::double, 6) + 0.0", [v]).fetchone()[0] for v in values]
+    assert str(got[1]) == str(got[7]) == "0.0"
+    assert spark.range(1).select(round_digits(F.lit(None).cast("double"))).first()[0] is None and math.isnan(spark.range(1).select(round_digits(F.lit(float("nan")))).first()[0])
