@@ -135,3 +135,19 @@ def test_ties_of_distances_are_those_of_roots_of_squares(spark):
     kin = trajectories.compute_kinematics(spark.createDataFrame(rows, SAMPLES).withColumnRenamed("track", "track_id"), fps=1.0)
     for pairs in (trajectories.compute_conflict_pairs(kin, min_interaction_frames=2), safety.conflict_risk(kin, min_interaction_frames=2)):
         assert pairs.first().min_distance_frame == 1
+
+
+def test_points_go_to_as_many_leaves_when_a_table_grows_in_place(spark, monkeypatch):
+    monkeypatch.setattr(crowded, "LEAST", 16)
+    monkeypatch.setattr(crowded, "LEAVES", 8)
+
+    def copies(n):
+        points = spark.range(n).select(F.lit(1).alias("frame"), F.rand(3).alias("x_m") * 4, F.rand(4) * 4).toDF("frame", "x_m", "y_m").cache()
+        cells = crowded.leaves(points, ["frame"], 2.0, crowded.leaf_limit(n))
+        fine = 2.0 / 2**crowded.DEPTH
+        leaf = F.struct(F.col("__level").alias("level"), F.col("__lx").alias("x"), F.col("__ly").alias("y"))
+        at = points.withColumns({"__fx": F.floor(F.col("x_m") / fine), "__fy": F.floor(F.col("y_m") / fine)}).join(cells, ["frame", "__fx", "__fy"]).select("frame", leaf.alias("leaf"))
+        pairs = crowded.leaf_pairs(cells, ["frame"], 2.0).select("frame", F.struct("one.level", "one.x", "one.y").alias("leaf"))
+        return at.join(pairs, ["frame", "leaf"]).count() / n
+
+    assert copies(4000) < 1.3 * copies(250)
