@@ -246,3 +246,24 @@ def test_large_nodes_are_split_exactly(spark):
     assert deep[0] == deep[1]
     alike = spark.range(500).select(F.array(F.lit(1.0)).alias("features"), (F.col("id") % 2).cast("int").alias("y"))
     assert forest.train(alike, forest.Options(trees=1, bootstrap=False, task_rows=100, exact=True)).first_splits() == {}
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_features_of_a_node_are_sorted_at_once(monkeypatch, least):
+    rng = np.random.default_rng(9)
+    x, y, w = rng.integers(0, 6, (40, 7)).astype(float), rng.integers(0, 3, 40), rng.integers(1, 4, 40).astype(float)
+    x[:, 2] = 1.0  # constant: takes no part
+    order, weight = np.array([2, 5, 0, 3, 1, 4, 6]), lambda at: np.bincount(y[at], w[at], 3)
+    want = None
+    for j in (5, 0, 3, 1):
+        values = np.unique(x[:, j])
+        for low, high in zip(values, values[1:]):
+            left, right = np.flatnonzero(x[:, j] <= low), np.flatnonzero(x[:, j] > low)
+            gain = sum((weight(s) ** 2).sum() / weight(s).sum() for s in (left, right))
+            if min(len(left), len(right)) >= least and (want is None or gain > want[0] + 1e-9):
+                want = gain, j, (low + high) / 2
+    sorts, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or plain(*a, **k))
+    got = forest.best_exact(np.ascontiguousarray(x.T), np.arange(40), y, w, 3, forest.Options(min_leaf=least), order, 4)
+    assert got == want[1:]
+    assert len(sorts) <= 2  # four features, and one more after the constant one
