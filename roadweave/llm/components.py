@@ -24,19 +24,21 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return sliced.join(least.select("u", "m", F.explode(held).alias("s")), ["u", "s"]).drop("s")
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node stands under one other at most, and under none if others stand under it: what the rounds end at."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(edges.select("v", F.lit(0), F.lit(1)))
+    left = ends.groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below")).where("above > 1 or (above = 1 and below = 1)")
+    return not left.agg(F.count("*")).first()[0]
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) long -> (node, component): each linked node and the smallest node that it reaches.
 
-    Rounds end when the links no longer change, after O(log n) of them; each is written to the shared
+    Rounds end when the links are stars, after O(log n) of them (none, if they come as such); each is written to the shared
     folder, where the one before it is then removed. Nulls and self-links are dropped; an empty table gives no rows.
     """
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if not now[0] or mark == tuple(now):
-            break
-        mark = tuple(now)
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _with_least(large)

@@ -298,6 +298,19 @@ def test_near_copies_are_the_pairs_of_shingle_similarity(spark):
         assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, **options).collect()} == up
 
 
+def test_stars_need_no_round_of_components(spark, monkeypatch):
+    """Links that are stars already are written once; before, a whole round was spent to see that nothing changes."""
+    from roadweave.llm import components as module
+
+    written, own = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: written.append(1) or own(df))
+    stars = [(i, 0) for i in range(1, 50)] + [(i, 100) for i in range(101, 120)]
+    assert dict(map(tuple, components(spark.createDataFrame(stars, "u long, v long")).collect())) == {u: v for u, v in stars} | {0: 0, 100: 100}
+    assert len(written) == 1
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(30)], "u long, v long"))
+    assert {r["component"] for r in chain.collect()} == {0} and chain.count() == 31
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
