@@ -56,3 +56,21 @@ def test_near_rows_are_not_shuffled(spark):
     assert "Join" not in plan and "Aggregate" not in plan
     assert pairs.count() == 400 * 399 // 2
     assert pairs.where("n_frames <> 5 or min_distance <> 0").count() == 0
+
+
+@pytest.mark.parametrize("per_video", [True, False])
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_blocks_give_the_pet_events_of_the_joins(spark, blocks, per_video, monkeypatch):
+    """Ties of distance, repeated frames of a track, tracks with a missing place or a single row; also in groups of one track."""
+    rng = random.Random(6)
+    rows = [(f"v{t % 2}", t, f, float(rng.randint(0, 9)) + rng.choice([0.0, 0.25]), float(rng.randint(0, 9))) for t in range(8, 60) for f in range(7) if rng.random() < 0.8]
+    rows += [("v0", 8, 3, 4.0, 4.0), ("v0", 10, 90, None, 1.0), ("v1", 1000, 2, 0.0, 0.0), (None, 5, 1, 0.0, 0.0)]
+    tracks = spark.createDataFrame(rows, SCHEMA).withColumn("t_sec", F.col("frame_idx") / 2.0)
+    joined = safety.pet_events(tracks, proximity_threshold_m=1.0, per_video=per_video)
+    for candidates in (track_blocks.CANDIDATES, 1):
+        own = track_blocks.zone_measures
+        with monkeypatch.context() as m:
+            m.setattr(track_blocks, "zone_measures", lambda *a: own(*a, candidates))
+            met = safety.pet_events(tracks, proximity_threshold_m=1.0, per_video=per_video, blocks=blocks)
+        assert marks(met, *joined.columns) == marks(joined, *joined.columns) != []
+        assert [(f.name, f.dataType.simpleString()) for f in met.schema] == [(f.name, f.dataType.simpleString()) for f in joined.schema]
