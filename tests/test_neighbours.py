@@ -82,3 +82,24 @@ def test_model_without_edges(nodes, pool):
     assert np.allclose(n1, n2) and all(np.allclose(a, b) for a, b in zip(one, two))
     got, want = dict(gcn_tables.forward(places, model).collect()), dict(gcn.forward(rows, edges, KEY, model).collect())
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("size", [3, 4096])
+def test_edge_text_is_that_of_the_nested_graph(spark, monkeypatch, size):
+    """Also in slices of three nodes; coinciding nodes, a frame without edges, classes with radii of their own."""
+    rng = random.Random(9)
+    rows = [(f, t, rng.choice(["car", "pedestrian", "bus", "two_wheeler"]), float(rng.randint(0, 30)), float(rng.randint(0, 8))) for f in range(3) for t in range(40)] + [(7, 1, "car", 0.0, 0.0), (7, 2, "car", 0.0, 0.0), (8, 1, "car", 0.0, 0.0), (8, 2, "car", 90.0, 0.0)]
+    actors = spark.createDataFrame(rows, "frame_id int, track_id long, actor_class string, x double, y double")
+    monkeypatch.setattr(neighbours, "SLICE", size)
+    nodes = graphs.build_nodes(actors, ["frame_id"])
+    frames = nodes.groupBy("frame_id").agg(F.count("*").alias("n"))
+    got = {r.frame_id: (r.n, r.num_edges, r.edges) for r in neighbours.with_edge_text(frames, nodes, ["frame_id"]).collect()}
+    text = lambda e: "-".join(str(e[c]) for c in ("src", "dst", "src_node", "dst_node"))
+    assert got == {r.frame_id: (r.num_nodes, r.num_edges, ",".join(map(text, r.edges))) for r in graphs.build_interaction_graph(actors).collect()}
+    assert got[0][1] > 20 and got[7][1:] == got[8][1:] == (0, "")
+
+
+def test_steps_of_edges_come_back():
+    src, dst = (np.array(v, np.int64) for v in zip(*sorted({(a, a + b) for a, b in np.random.default_rng(3).integers(1, 90_000, (400, 2)).tolist()} | {(0, 1), (0, 70_000), (5, 6)})))
+    for n in (0, 1, 2, len(src)):
+        assert [v.tolist() for v in neighbours._unpack(neighbours._pack(src[:n], dst[:n]))] == [src[:n].tolist(), dst[:n].tolist()]
