@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadweave.functions.scalars import round_digits
 from roadweave.functions.vocabulary import ACTOR_CLASSES, EDGE_FEATURES, PAIR_RADII
-from roadweave.operators import graphs, pair_lists
+from roadweave.operators import graphs, pair_lists, safety, trajectories
 
 KEY = ["frame_id"]
 ACTORS = "frame_id int, track_id long, actor_class string, x_m double, y_m double, vx double, vy double, heading_rad double"
@@ -66,3 +68,42 @@ def test_what_is_shuffled_grows_with_the_points(spark):
     assert "Join" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert edges.count() == 300 * 299
     assert edges.where(F.col("distance") != F.round("distance", 6)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tracks(spark):
+    """Two videos; crowded spots, repeated rows of a track, missing places, ids whose order as text is another."""
+    rng = random.Random(12)
+    rows = [(f"v{t % 2}", t, f, rng.choice([rng.uniform(-30, 30), 4.0, 15.0, None, float("nan")]), float(rng.randint(-12, 12))) for t in range(95, 160) for f in range(4) if rng.random() < 0.8]
+    rows += [("v0", 100, 3, 1.0, 1.0), ("v0", 100, 3, 2.0, 1.0), (None, 5, 1, 0.0, 0.0), ("v1", 7, None, 4.0, 0.0)]
+    return trajectories.compute_kinematics(spark.createDataFrame(rows, "video_id string, track_id long, frame_idx int, x_m double, y_m double"), fps=1.0).cache()
+
+
+def same(one, two):
+    assert one.columns == two.columns and [f.dataType for f in one.schema] == [f.dataType for f in two.schema]
+    mark = lambda df: sorted(tuple(str(round(v, 9) + 0.0 if isinstance(v, float) else v) for v in r) for r in df.collect())
+    assert mark(one) == mark(two) != []
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_listed_nearby_pairs_are_those_of_the_join(tracks, bucketed):
+    for per_video in (True, False):
+        joined, listed = (trajectories.find_nearby_pairs(tracks, distance_threshold=7.0, bucketed=bucketed, per_video=per_video, listed=v) for v in (False, True))
+        same(joined, listed)
+        assert "Join" not in listed._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        trajectories.find_nearby_pairs(tracks, listed=True, speed_col="speed_mps")
+
+
+def test_listed_times_to_collision_are_those_of_the_join(tracks):
+    joined, listed = (safety.frame_pair_ttc(tracks, separation_in_status=False, listed=v) for v in (False, True))
+    same(joined, listed)
+    assert {r.status for r in listed.select("status").distinct().collect()} >= {"diverging_or_parallel", "no_collision", "collision_predicted"}
+
+
+def test_ties_round_away_from_zero(spark):
+    values = [0.5, 1.5, 2.5, -0.5, -2.5, 0.1234565, -0.0, 1e305, float("inf"), 3.0000005]
+    want = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(round_digits("v", 0).alias("v")).collect()]
+    with np.errstate(all="ignore"):
+        got = pair_lists.rounded(np.array(values), 0).tolist()
+    assert got == want and [math.copysign(1, v) for v in got] == [math.copysign(1, v) for v in want]
