@@ -107,3 +107,27 @@ def test_ties_round_away_from_zero(spark):
     with np.errstate(all="ignore"):
         got = pair_lists.rounded(np.array(values), 0).tolist()
     assert got == want and [math.copysign(1, v) for v in got] == [math.copysign(1, v) for v in want]
+
+
+@pytest.mark.parametrize("options", [{}, {"use_velocity_adaptive_radius": True, "velocity_radius_scale": 0.05}])
+def test_first_pairs_and_sums_are_those_of_the_edges(spark, rows, options, monkeypatch):
+    monkeypatch.setattr(pair_lists, "_PAIRS", 50)
+    config = graphs.GraphConfig(directed=False, **options)
+    nodes = graphs.build_nodes(spark.createDataFrame(rows, ACTORS), KEY, config)
+    edges = graphs.build_edges(nodes, KEY, config).cache()
+    want = {r.frame_id: tuple(r)[1:] for r in edges.groupBy("frame_id").agg(F.count("*"), F.sum("src"), F.sum("dst")).collect()}
+    assert {r.frame_id: tuple(r)[1:] for r in pair_lists.edge_sums(nodes, KEY, config).collect()} == want != {}
+    least = lambda df: {r.frame_id: tuple(r.e) for r in df.groupBy("frame_id").agg(F.min(F.struct("src", "dst")).alias("e")).collect()}
+    first = pair_lists.first_pairs(nodes, KEY, config)
+    assert least(first) == least(edges) != {}
+
+
+def test_a_crowded_frame_gives_one_first_pair_and_one_sum(spark):
+    # 300 buses on a line of 3 m have 44,850 edges; one cell gives its first pair only, and edges are summed where they are found
+    rows = [(1, t, "bus", 8.0 + t / 100.0, 8.0, 1.0, 0.0, 0.0) for t in range(300)]
+    nodes = graphs.build_nodes(spark.createDataFrame(rows, ACTORS), KEY)
+    config = graphs.GraphConfig(directed=False)
+    assert [tuple(r) for r in pair_lists.first_pairs(nodes, KEY, config).collect()] == [(1, 0, 1)]
+    sums = pair_lists.edge_sums(nodes, KEY, config)
+    assert "ollect" not in sums._jdf.queryExecution().optimizedPlan().toString()  # no list of edges
+    assert tuple(sums.first()) == (1, 44850, sum(a * (299 - a) for a in range(300)), sum(b * b for b in range(300)))
