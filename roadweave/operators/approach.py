@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadweave.functions.scalars import distance
+from roadweave.operators import track_blocks
 
 #: Samples of a part, of a piece inside a part, and pairs of samples that are simply all computed.
 PART, PIECE, FEW = 4096, 32, 256
@@ -120,11 +121,17 @@ def _searcher(radius: float, keys: int):
     return run
 
 
-def closest_approach(samples: DataFrame, key: list[str], radius: float, wanted: DataFrame | None = None) -> DataFrame:
+def closest_approach(samples: DataFrame, key: list[str], radius: float, wanted: DataFrame | None = None, blocks: int = 0, digits: int | None = None) -> DataFrame:
     """(key, track_id_a, track_id_b, dist, fa, fb, xa, ya, xb, yb): the closest samples of each pair of tracks that come within the radius (inclusive), ties by frames.
 
     ``samples``: key, track (string), frame_idx, x_m, y_m, without gaps. ``wanted`` (__a, __b) are the only pairs that may meet.
+    ``blocks`` (without ``wanted``) deals tracks into so many blocks that meet two by two, so no rows of pairs are shuffled: for many
+    tracks of moderate length, most of which meet (``track_blocks``); numbers are then rounded if ``digits`` are given.
     """
+    if blocks:
+        if wanted is not None:
+            raise ValueError("blocks look at all pairs")
+        return track_blocks.closest_rows(samples, key, radius, blocks, digits)
     names = [f"__k{i}" for i in range(len(key))]
     own = parts(samples, key, radius)
     side = lambda s: [*(F.col(k).alias(n) for k, n in zip(key, names)), F.col("track").alias(f"track_id_{s}"), "__cx", "__cy", *(F.col(c).alias(f"{c}_{s}") for c in ("xs", "ys", "fs", "box"))]
