@@ -269,6 +269,24 @@ def test_license_rows_equal_brute_force(spark):
     assert sorted((tuple(r) for r in license_scan.scan_licenses(df).collect()), key=key) == sorted(want, key=key)
 
 
+def test_license_words_of_bytes():
+    """Words are the same whether found in text or in its UTF-8, for every ASCII character and for white space, letters and signs beyond ASCII."""
+    odd = [*map(chr, range(128)), "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u3000", "\ufeff", "É", "ß", "K", "İ", "中", "😀"]
+    texts = [None, "", " ", *odd, *(f"{c}Aa{c}{c}Zz {c}" for c in odd), *(f"{c}{d}x" for c in odd for d in odd)]
+    for t in texts:
+        assert [w.decode() for w in license_scan.byte_words(t and t.encode())] == license_scan.words_of(t)
+
+
+def test_license_rows_of_odd_texts(spark):
+    """Both passes look at bytes; null keys, null and empty texts, repeated ids and characters beyond ASCII answer as before."""
+    texts = [None, "", " \n", "\xa0", "é under the MIT license É", "under\u3000the mit license", "ünder the mit license", "CC BY NC\x85", "\x00cc\x1fby-nc\x7f中", "中 Licensed under CC BY-SA 4.0 😀 word", "Kelvin Kcc by nc"]
+    odd = [(d, t) for t in texts for d in (None, 1, 1)]
+    got = license_scan.scan_licenses(spark.createDataFrame(odd, DOC))
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(((d, *plain_row(t)) for d, t in odd), key=key)
+    counts = license_scan.token_counts(spark.createDataFrame(odd, DOC), {"mit", "cc", "sa", "gnu"}, "text")
+    assert counts == {w: sum(license_scan.words_of(t).count(w) for _, t in odd) for w in ("mit", "cc", "sa", "gnu")}
+
+
 # Urls
 
 
