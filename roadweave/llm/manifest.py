op12_merkle_manifest: a superstep crosses two levels of runs, leaves are sorted by DataFrame

Symptom: op12_merkle_manifest spent 301 CPU seconds per input GB at 0.51 GB (task-seconds a GB: JVM 82, Python 207, GC 12), 32 s, with 48 MB shuffled and 102 MB read for 256,410 digests.
Evidence: By the event log at 0.10 GB one run had 297 tasks, most with a few rows: one superstep for each level of 16, each over all partitions, and paths went down to every run of 16 rows through joins that read all rows again; sorting by RDD pickled the leaves three times, and each digest was turned into hex for every row that it is a sibling of.
Fix: A vertex is a block of two levels of runs (fan ** levels rows), so half as many supersteps, one path for 256 rows, and supersteps further up have partitions in proportion to their nodes. Leaves are sorted by repartitionByRange (with a sample as small as sortByKey's), rows meet their path in one grouping without a join, and a run's hex text is made once and cut at the slot.
Effect, together with 2 more commits on this code: at 0.6 GB of input CPU 1156 -> 440 s, shuffle 0.09 -> 0.04 GB, spill 0.00 -> 0.00 GB, read 0.66 -> 0.64 GB, longest task 10 -> 12 s, most memory of a task 0 -> 34 MB; at 6 GB of input CPU 3314 -> 1239 s, shuffle 0.84 -> 0.38 GB, spill 0.00 -> 0.00 GB, read 6.58 -> 6.41 GB, longest task 21 -> 17 s, most memory of a task 0 -> 35 MB; with hot keys, at 0.6 GB of input CPU 1161 -> 395 s, shuffle 0.07 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.22 -> 0.21 GB, longest task 7 -> 8 s, most memory of a task 0 -> 34 MB.

@@ -3,18 +3,21 @@
 Rows become leaves (sha256 of all their fields) in one scan of DataFrame functions, written as a small
 table; everything after it works on digests alone. Leaves are sorted by (source, id) into ranges; one
 summary row a partition tells each where its first source began, so a leaf knows its tree, its place
-and its tree's size without any source meeting in one task. A vertex is a *run*: up to ``fan``
-consecutive nodes of one tree.
-
-* Up: in each superstep every complete run hashes its nodes and sends the digest to the run of its
-  parent; runs alone at their level are subroots, and these are the leaves of one more tree.
-* Down: in each superstep every run sends each child the path above it (the run's digests, the child's
-  slot, and what is above), until each lowest run holds its path. It then gives every leaf its
-  siblings, folds the leaf or its tampered form up to a root and compares.
-
-Messages go to runs of at most ``fan`` nodes, so a source with a third of all rows is spread over its
-runs; the number of supersteps is the logarithm of the largest tree. A lost executor's part is made
-again from the leaf table: sorting keys are total up to equal leaves, so the result is the same.
+and its tree's size without any source meeting in one task. A node stands for a *run* of up to ``fan``
+consecutive nodes below it. A vertex is a *block*: the runs that lie side by side under one node
+``levels`` above, so up to ``span`` = ``fan`` ** ``levels`` consecutive nodes of one tree.
+
+* Up: in each superstep every complete block hashes its runs, level by level, and sends the last digest
+  to the block of its parent; blocks alone at their level are subroots, and these are the leaves of one
+  more tree.
+* Down: in each superstep every block sends each child the path above it (the digests of the child's
+  runs, its slots in them, and what is above), until each lowest block has its path. It then gives every
+  leaf its siblings, folds the leaf or its tampered form up to a root and compares.
+
+Messages go to blocks of at most ``span`` nodes, so a source with a third of all rows is spread over its
+blocks; the number of supersteps is the logarithm of the largest tree, and one further up has so many
+partitions fewer as it has nodes fewer. A lost executor's part is made again from the leaf table:
+sorting keys are total up to equal leaves, so the result is the same.
 
 Defined cases: null fields hash as ``-``; null sources are one source, before all others; null ids come
 first in their source and are never tampered with; equal ids are ordered by their leaf; an empty table
@@ -24,11 +27,13 @@ gives no rows; other columns are ignored; texts may be of any length.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from hashlib import sha256
 from itertools import groupby
+from operator import itemgetter
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import ascii_lower, cut, n_partitions
@@ -46,175 +51,217 @@ def leaf_hash(fields: Iterable[Column]) -> Column:
 
 def combine(digests: Iterable[bytes]) -> bytes:
     """H of nodes: sha256 of their digests as hex text, one after the other."""
-    return sha256("".join(d.hex() for d in digests).encode()).digest()
+    return sha256(b"".join(digests).hex().encode()).digest()
 
 
-# A run is (n, nodes): how many nodes its tree has at this level, and its own ones in order. Its key is (tree, place among the runs).
+# A block is (n, nodes): how many nodes its tree has at this level, and its own ones in order. Its key is (tree, place among the blocks).
+Block = tuple[int, list[bytes]]
 
 
-def digest_of(run: tuple[int, list[bytes]]) -> bytes:
-    """What a run stands for one level up; a tree's only node stands for itself."""
-    n, nodes = run
-    return nodes[0] if n == 1 else combine(nodes)
+def climb(block: Block, fan: int, span: int) -> list[Block]:
+    """The block's levels from its nodes up to the one node that it stands for; a tree's only node stands for itself."""
+    levels, width = [block], 1
+    while (n := levels[-1][0]) > 1 and width < span:
+        nodes = levels[-1][1]
+        levels.append((-(-n // fan), [combine(nodes[i : i + fan]) for i in range(0, len(nodes), fan)]))
+        width *= fan
+    return levels
 
 
 class Tree:
-    """Runs of one or many trees, level by level, as RDDs with one partitioner."""
+    """Blocks of one or many trees, superstep by superstep, as RDDs; ``parts``: partitions of the lowest blocks."""
 
-    def __init__(self, runs: RDD, depth: int, fan: int, parts: int):
-        self.fan, self.parts, self.levels = fan, parts, [runs]
-        for _ in range(depth - 1):
-            self.levels.append(self._up(self.levels[-1]))
+    def __init__(self, blocks: RDD, depth: int, fan: int, span: int, parts: int):
+        self.fan, self.span, self.levels = fan, span, [blocks]
+        self.parts = [-(-2 * parts // span**level) if level else parts for level in range(depth)]  # a block is half full at least, but for its tree's last
+        for level in range(1, depth):
+            self.levels.append(self._up(self.levels[-1], self.parts[level]))
 
-    def _up(self, runs: RDD) -> RDD:
-        """One superstep: digests of complete runs meet at the runs above; runs alone at their level send nothing."""
-        fan = self.fan
+    def _up(self, blocks: RDD, parts: int) -> RDD:
+        """One superstep: digests of complete blocks meet at the blocks above; blocks alone at their level send nothing."""
+        fan, span = self.fan, self.span
 
         def send(vertex):
             (tree, place), (n, nodes) = vertex
-            above = -(-n // fan)
-            if above > 1:
-                yield (tree, place // fan), (place % fan, above, digest_of((n, nodes)))
+            if n > span:
+                above, (digest,) = climb((n, nodes), fan, span)[-1]
+                yield (tree, place // span), (place % span, above, digest)
 
         def collect(vertex):
             (tree, place), messages = vertex
             got = sorted(messages)
             n = got[0][1]
-            if len(got) != min(fan, n - place * fan):
-                raise ValueError(f"run {place} of tree {tree} is not complete")
+            if len(got) != min(span, n - place * span):
+                raise ValueError(f"block {place} of tree {tree} is not complete")
             return (tree, place), (n, [d for _, _, d in got])
 
-        return runs.flatMap(send).groupByKey(self.parts).mapPartitions(lambda vertices: map(collect, vertices), preservesPartitioning=True)
+        return blocks.flatMap(send).groupByKey(parts).mapPartitions(lambda vertices: map(collect, vertices), preservesPartitioning=True)
 
     def tops(self) -> RDD:
-        """(tree, (level, digest)) of each tree."""
-        fan = self.fan
+        """(tree, (superstep, digest)) of each tree."""
+        fan, span = self.fan, self.span
 
         def of(level: int):
-            return lambda v: [(v[0][0], (level, digest_of(v[1])))] if v[1][0] <= fan else []
+            return lambda v: [(v[0][0], (level, climb(v[1], fan, span)[-1][1][0]))] if v[1][0] <= span else []
 
-        found = [runs.flatMap(of(level)) for level, runs in enumerate(self.levels)]
+        found = [blocks.flatMap(of(level)) for level, blocks in enumerate(self.levels)]
         return found[0].context.union(found)
 
     def down(self, above: RDD) -> RDD:
-        """(key, (run, path)) of the lowest runs. ``above``: (tree, (level of its top, what each path of the tree ends with))."""
-        fan = self.fan
+        """(key, path) of the lowest blocks. ``above``: (tree, (superstep of its top, what each path of the tree ends with))."""
+        fan, span = self.fan, self.span
 
         def at(level: int):
-            return above.flatMap(lambda t: [((t[0], 0), t[1][1])] if t[1][0] == level else []).partitionBy(self.parts)
+            return above.flatMap(lambda t: [((t[0], 0), t[1][1])] if t[1][0] == level else [])
 
         def send(vertex):
-            (tree, place), ((n, nodes), path) = vertex
-            for slot in range(len(nodes)):
-                yield (tree, place * fan + slot), extend(path, slot, (n, nodes))
+            (tree, place), (block, path) = vertex
+            levels = climb(block, fan, span)
+            for slot in range(len(block[1])):
+                yield (tree, place * span + slot), extend(path, slot, levels, fan)
 
-        held = self.levels[-1].join(at(len(self.levels) - 1), self.parts)
-        for level in reversed(range(len(self.levels) - 1)):
-            messages = held.flatMap(send).partitionBy(self.parts).union(at(level))
-            held = self.levels[level].join(messages, self.parts)
-        return held
+        paths = at(len(self.levels) - 1).partitionBy(self.parts[-1])
+        for level in reversed(range(1, len(self.levels))):
+            paths = self.levels[level].join(paths, self.parts[level]).flatMap(send).union(at(level - 1)).partitionBy(self.parts[level - 1])
+        return paths
 
 
 #: A path is (steps, subroot, root): steps are (slot, nodes of the run) from the lowest to the highest.
-def extend(path: tuple, slot: int, run: tuple[int, list[bytes]]) -> tuple:
+def extend(path: tuple, slot: int, levels: list[Block], fan: int) -> tuple:
+    """The path of the node at ``slot`` of a block, which has these levels, from the path of the block."""
     steps, subroot, root = path
-    return (((slot, b"".join(run[1])), *steps) if run[0] > 1 else steps), subroot, root
+    own = []
+    for _, nodes in levels[:-1]:
+        start = slot - slot % fan
+        own.append((slot - start, b"".join(nodes[start : start + fan])))
+        slot //= fan
+    return (*own, *steps), subroot, root
 
 
-def _nodes(step: tuple[int, bytes]) -> list[bytes]:
-    return [step[1][i : i + 32] for i in range(0, len(step[1]), 32)]
+def _split(step: tuple[int, bytes]) -> tuple[bytes, bytes]:
+    """The hex text of a run before and after its slot."""
+    slot, nodes = step
+    return nodes[: 32 * slot].hex().encode(), nodes[32 * slot + 32 :].hex().encode()
 
 
-def proof(steps: tuple) -> bytes:
+def proof(sides: list[tuple[bytes, bytes]]) -> str:
     """H of all siblings, level by level."""
-    return combine(d for step in steps for i, d in enumerate(_nodes(step)) if i != step[0])
+    return sha256(b"".join(text for side in sides for text in side)).hexdigest()
 
 
-def fold(leaf: bytes, steps: tuple) -> bytes:
+def fold(leaf: str, sides: list[tuple[bytes, bytes]]) -> str:
     """The root that a leaf and its siblings give."""
-    for step in steps:
-        nodes = _nodes(step)
-        nodes[step[0]] = leaf
-        leaf = combine(nodes)
+    for before, after in sides:
+        leaf = sha256(before + leaf.encode() + after).hexdigest()
     return leaf
 
 
 # Places in trees from sorted ranges
 
 
+def _source(row: tuple) -> tuple[bool, bytes]:
+    return row[1] is not None, bytes(row[1] or b"")
+
+
 def _summary(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
-    """(partition, first source, its rows, last source, its rows, sources, most rows of a source inside)."""
-    runs = [(s, sum(1 for _ in g)) for s, g in groupby(rows, lambda r: r[0][0])]
+    """(partition, first source, its rows, last source, its rows, sources, most rows of a source inside, rows)."""
+    runs = [(s, sum(1 for _ in g)) for s, g in groupby(rows, _source)]
     if runs:
-        yield part, *runs[0], *runs[-1], len(runs), max(n for _, n in runs)
+        yield part, *runs[0], *runs[-1], len(runs), max(n for _, n in runs), sum(n for _, n in runs)
 
 
-def _starts(summaries: list[tuple]) -> tuple[dict[int, tuple], int, int]:
-    """For each partition (tree of the first source, place of its first row, rows of the first and of the last source, sources); trees; rows of the largest. One row a partition comes in."""
+def _starts(summaries: list[tuple]) -> tuple[dict[int, tuple], int, int, int]:
+    """For each partition (tree of the first source, place of its first row, rows of the first and of the last source, sources); trees; rows of the largest; rows. One row a partition comes in."""
     total: dict[tuple, int] = {}
-    for _, first, n, last, m, sources, _ in summaries:
+    for _, first, n, last, m, sources, _, _ in summaries:
         total[first] = total.get(first, 0) + n
         if sources > 1:
             total[last] = total.get(last, 0) + m
     out, tree, before, place = {}, -1, None, 0
-    for part, first, n, last, m, sources, _ in summaries:
+    for part, first, n, last, m, sources, _, _ in summaries:
         tree, place = (tree, place) if first == before else (tree + 1, 0)
         out[part] = (tree, place, total[first], total[last], sources)
         tree, place, before = tree + sources - 1, m + (place if sources == 1 else 0), last
-    return out, tree + 1, max([*total.values(), *(s[6] for s in summaries), 0])
+    return out, tree + 1, max([*total.values(), *(s[6] for s in summaries), 0]), sum(s[7] for s in summaries)
 
 
-def _placed(starts: dict[int, tuple], fan: int):
-    """Sorted rows -> ((tree, place of the run), (slot, rows of the tree, row)). Only a source that lies wholly in one partition is held, to be counted."""
+def _placed(starts: dict[int, tuple], span: int):
+    """Sorted rows -> ((tree, place of the block), (slot of the first, rows of the tree, rows side by side)). Only a source that lies wholly in one partition is held, to be counted."""
 
     def run(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         if part not in starts:
             return
         tree, place, n_first, n_last, sources = starts[part]
-        for k, (_, group) in enumerate(groupby(rows, lambda r: r[0][0])):
+        for k, (_, group) in enumerate(groupby(rows, _source)):
             if k:
                 tree, place = tree + 1, 0
             if 0 < k < sources - 1:
                 group = list(group)
             n = n_first if not k else n_last if k == sources - 1 else len(group)
-            for i, ((_, (known, doc_id), leaf), tampered) in enumerate(group, place):
-                yield (tree, i // fan), (i % fan, n, (doc_id if known else None, leaf, tampered))
+            for block, some in groupby(enumerate(group, place), lambda r: r[0] // span):
+                some = list(some)
+                yield (tree, block), (some[0][0] % span, n, [(doc_id, bytes(leaf), tampered and bytes(tampered)) for _, (doc_id, _, leaf, tampered) in some])
 
     return run
 
 
-def _runs(placed: RDD, parts: int) -> RDD:
-    """Rows of each lowest run in order: (key, (n, rows))."""
+def _blocks(dealt: RDD, parts: int) -> RDD:
+    """Rows of each lowest block in order: (key, (n, rows))."""
 
     def collect(vertex):
         key, messages = vertex
-        got = sorted(messages, key=lambda m: m[0])
-        return key, (got[0][1], [row for _, _, row in got])
+        return key, _in_order(messages)
+
+    return dealt.groupByKey(parts).mapPartitions(lambda vertices: map(collect, vertices), preservesPartitioning=True)
+
 
-    return placed.groupByKey(parts).mapPartitions(lambda vertices: map(collect, vertices), preservesPartitioning=True)
+def _in_order(messages: Iterable[tuple]) -> tuple[int, list]:
+    got = sorted(messages, key=itemgetter(0))
+    return got[0][1], [row for _, _, rows in got for row in rows]
 
 
-def _depth(n: int, fan: int) -> int:
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _ordered(leaves: DataFrame, parts: int) -> RDD:
+    """Leaves by source, id and leaf, nulls first, in ranges."""
+    order = ("source", "id", "leaf")
+    # Spark draws thrice as many rows a range: about 20 reach the driver for each, as RDD.sortByKey draws, not 300
+    with _setting(leaves.sparkSession, "spark.sql.execution.rangeExchange.sampleSizePerPartition", "7"):
+        return leaves.repartitionByRange(parts, *order).sortWithinPartitions(*order).rdd
+
+
+def _depth(n: int, span: int) -> int:
     depth = 1
-    while n > fan:
-        n, depth = -(-n // fan), depth + 1
+    while n > span:
+        n, depth = -(-n // span), depth + 1
     return depth
 
 
-def _verified(vertex) -> Iterator[tuple]:
-    (_, _), ((n, rows), (steps, subroot, root)) = vertex
-    nodes = [leaf for _, leaf, _ in rows]
+def _verified(n: int, rows: list[tuple], path: tuple, fan: int, span: int) -> Iterator[tuple]:
+    levels = climb((n, [leaf for _, leaf, _ in rows]), fan, span)
+    steps, subroot, root = path[0], path[1].hex(), path[2].hex()
+    above = [_split(step) for step in steps]
     for slot, (doc_id, leaf, tampered) in enumerate(rows):
-        own = extend((steps, subroot, root), slot, (n, nodes))[0]
-        found = fold(tampered or leaf, own)
-        yield doc_id, leaf.hex(), subroot.hex(), root.hex(), proof(own).hex(), found.hex(), found == root
+        own = extend(((), b"", b""), slot, levels, fan)[0]
+        sides = [*map(_split, own), *above]
+        found = fold((tampered or leaf).hex(), sides)
+        yield doc_id, leaf.hex(), subroot, root, proof(sides), found, found == root
 
 
-def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", fan: int = 16, tamper_every: int = 5) -> DataFrame:
+def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", fan: int = 16, levels: int = 2, tamper_every: int = 5) -> DataFrame:
     """One row per document: id, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``fields`` are hashed in their order. Rows whose crc32 of the decimal id divides by ``tamper_every``
     are verified with their text's A-Z lower-cased; ``verified`` says whether the root is found all the same.
+    ``levels``: of runs that one superstep crosses; a task holds blocks of ``fan`` ** ``levels`` rows. They don't change the result.
     """
     spark = docs.sparkSession
     of = lambda tampered: leaf_hash(ascii_lower(text_col) if c == text_col and tampered else F.col(c) for c in fields)
@@ -222,25 +269,34 @@ def manifest(docs: DataFrame, *, fields: tuple[str, ...] = FIELDS, id_col: str =
     leaves = cut(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").cast("binary").alias("source"), F.unhex(of(False)).alias("leaf"),
         F.when(touched & F.col(text_col).isNotNull(), F.unhex(of(True))).alias("tampered")))
-    parts = n_partitions(docs)
-    keyed = leaves.rdd.map(lambda r: (((r[1] is not None, bytes(r[1] or b"")), (r[0] is not None, 0 if r[0] is None else r[0]), bytes(r[2])), None if r[3] is None else bytes(r[3])))
-    ordered = keyed.sortByKey(numPartitions=parts)  # by source, id and leaf, nulls first
-    starts, trees, largest = _starts(sorted(ordered.mapPartitionsWithIndex(_summary).collect()))  # one row a partition
-    rows = _runs(ordered.mapPartitionsWithIndex(_placed(starts, fan)), parts)
-    sources = Tree(rows.mapValues(lambda run: (run[0], [leaf for _, leaf, _ in run[1]])), _depth(largest, fan), fan, parts)
-    subroots = sources.tops()
-    grouped = subroots.map(lambda t: ((-1, t[0] // fan), (t[0] % fan, trees, (t[0], *t[1]))))
-    upper_rows = _runs(grouped, parts)  # (run of the upper tree, (trees, [(tree, level of its top, subroot)]))
-    upper = Tree(upper_rows.mapValues(lambda run: (run[0], [digest for _, _, digest in run[1]])), _depth(trees, fan), fan, parts)
+    parts, span = n_partitions(docs), fan**levels
+    ordered = _ordered(leaves, parts)
+    starts, trees, largest, n_rows = _starts(sorted(ordered.mapPartitionsWithIndex(_summary).collect()))  # one row a partition
+    dealt = ordered.mapPartitionsWithIndex(_placed(starts, span)).partitionBy(parts)
+    sources = Tree(_blocks(dealt, parts).mapValues(lambda block: (block[0], [leaf for _, leaf, _ in block[1]])), _depth(largest, span), fan, span, parts)
+    few = max(1, -(-parts * trees // max(n_rows, 1)))  # partitions for subroots, as many of them in each as of leaves
+    upper_dealt = sources.tops().map(lambda t: ((-1, t[0] // span), (t[0] % span, trees, [(t[0], *t[1])]))).partitionBy(few)
+    upper_rows = _blocks(upper_dealt, few)  # (block of the upper tree, (trees, [(tree, superstep of its top, subroot)]))
+    upper = Tree(upper_rows.mapValues(lambda block: (block[0], [digest for _, _, digest in block[1]])), _depth(trees, span), fan, span, few)
     crown = upper.down(upper.tops().mapValues(lambda top: (top[0], ((), b"", top[1]))))
 
     def to_trees(vertex):
-        _, ((run, path), below) = vertex
-        for slot, (tree, level, digest) in enumerate(below[1]):
-            steps, _, root = extend(path, slot, run)
+        _, ((n, below), path) = vertex
+        own = climb((n, [digest for _, _, digest in below]), fan, span)
+        for slot, (tree, level, digest) in enumerate(below):
+            steps, _, root = extend(path, slot, own, fan)
             yield tree, (level, (steps, digest, root))
 
-    paths = sources.down(crown.join(upper_rows, parts).flatMap(to_trees))
-    # the lowest runs again with their rows: both sides have one partitioner, so nothing moves
-    found = rows.join(paths.mapValues(lambda v: v[1]), parts).flatMap(_verified)
-    return spark.createDataFrame(found, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {_OUT}")
+    paths = sources.down(upper_rows.join(crown, few).flatMap(to_trees))
+
+    def verified(vertex):
+        _, met = vertex
+        met = list(met)
+        n, rows = _in_order(m for is_path, m in met if not is_path)
+        (path,) = (m for is_path, m in met if is_path)
+        return _verified(n, rows, path, fan, span)
+
+    # rows and paths have one partitioner, so nothing moves
+    tagged = dealt.mapValues(lambda rows: (False, rows)).union(paths.mapValues(lambda path: (True, path)))
+    found = tagged.groupByKey(parts).flatMap(verified)
+    return spark.createDataFrame(found, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, {_OUT}", verifySchema=False)

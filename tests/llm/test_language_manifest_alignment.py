@@ -91,6 +91,44 @@ def test_manifest_of_one_source_and_one_row(spark):
         same_rows(manifest.manifest(spark.createDataFrame(rows, DOCS)).collect(), plain_manifest(rows))
 
 
+@pytest.mark.parametrize(("fan", "levels"), [(2, 1), (2, 3), (3, 2), (16, 1), (16, 3)])
+def test_manifest_by_supersteps_of_any_height(spark, fan, levels):
+    """Blocks of one to three levels of runs, some with their last run or block not full; null keys, ids and rows that come again many times."""
+    rows = many(300, ["big"] * 8 + ["b", "c"]) + [(11, "Again", "en", "big", 5)] * 40 + [(None, "Again", "en", None, 5)] * 20
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    same_rows(manifest.manifest(docs, fan=fan, levels=levels).collect(), plain_manifest(rows, fan))
+
+
+def test_manifest_sorts_in_ranges_and_leaves_the_session_as_it_was(spark):
+    key, rows = "spark.sql.execution.rangeExchange.sampleSizePerPartition", [(None if i % 9 == 0 else i % 50, None if i % 7 == 0 else bytes([i % 5 * 60]), bytes([i % 200])) for i in range(2000)]
+    leaves = spark.createDataFrame(rows, "id long, source binary, leaf binary").withColumn("tampered", F.lit(None).cast("binary"))
+    for before in (None, "50"):
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        ordered = manifest._ordered(leaves.repartition(3), 4)
+        assert spark.conf.get(key, None) == before
+        parts = [p for p in ordered.map(lambda r: (r[0], r[1], r[2])).glom().collect() if p]
+        by = lambda r: ((r[1] is not None, r[1] or b""), (r[0] is not None, r[0] or 0), r[2])
+        assert len(parts) == 4 and [r for p in parts for r in p] == sorted(rows, key=by)
+    spark.conf.unset(key)
+
+
+def test_manifest_sends_one_path_for_each_block(spark):
+    """Not for each run; and a superstep further up has fewer partitions, as it has fewer nodes."""
+    n, fan, span = 1000, 2, 8
+    leaves = [hashlib.sha256(str(i).encode()).digest() for i in range(n)]
+    blocks = spark.sparkContext.parallelize([((0, p), (n, leaves[p * span : p * span + span])) for p in range(-(-n // span))]).partitionBy(16)
+    tree = manifest.Tree(blocks, manifest._depth(n, span), fan, span, 16)
+    assert [x.getNumPartitions() for x in tree.levels] == tree.parts == [16, 4, 1, 1]
+    ((_, (_, root)),) = tree.tops().collect()
+    assert root.hex() == tree_of([x.hex() for x in leaves], fan)[0]
+    paths = dict(tree.down(tree.tops().mapValues(lambda top: (top[0], ((), top[1], top[1])))).collect())
+    assert sorted(paths) == [(0, p) for p in range(-(-n // span))]
+    assert {len(steps) for steps, _, _ in paths.values()} == {7}  # ten levels of runs, three of them in the block itself
+    for place in (0, 7, 124):
+        found = list(manifest._verified(n, [(i, x, None) for i, x in enumerate(leaves[place * span : place * span + span])], paths[0, place], fan, span))
+        assert all(r[5] == root.hex() and r[6] for r in found)
+
+
 def test_manifest_equals_its_sql_and_finds_tampering(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{DATA}/documents.parquet')")
