@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from roadweave import cli
+from roadweave import cli, queries
 from roadweave.functions import numbering
 from roadweave.functions.vocabulary import EDGE_FEATURES, NODE_FEATURES
 from roadweave.operators import graphs, metrics, subgraphs, temporal
@@ -91,3 +91,25 @@ def test_dataset_train_and_evaluate_commands(spark, actors, tmp_path, by_tables)
     cli.main(["evaluate", "--graphs", at["samples"], "--model", f"{at['run']}/best.json", "--outdir", at["eval"]])
     found = json.loads((tmp_path / "eval" / "metrics.json").read_text())
     assert found["val_sample_count"] == 24 and 0 <= found["accuracy"] <= 1
+
+
+def test_detections_shuffle_actors_without_sums(spark, tmp_path):
+    """Null frames, actors and measures and repeated rows count as by a distinct count beside the sums; what is shuffled for each actor is its key alone."""
+    rows = [(i % 40, None if i % 11 == 0 else i % 5, None if i % 7 == 0 else i % 13, None if i % 6 == 0 else float(i % 9), None if i % 8 == 0 else i % 10 / 100, 0.5) for i in range(400)]
+    rows += rows[:50] + [(1, 6, None, 1.0, 0.1, 0.1)] * 3 + [(1, 7, 5, None, None, None)] * 3 + [(None,) * 6] * 2
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double")
+    lines.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = queries.QUERIES["detections_from_tracks"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_actor = [below for line, below in zip(plan, plan[1:], strict=False) if "Exchange hashpartitioning" in line and "actor_id" in line]
+    assert len(by_actor) == 1 and "functions=[]" in by_actor[0]
+    want = {}
+    for _, frame, actor, quantity, discount, _ in rows:
+        n, conf, x2, actors = want.setdefault(frame, (0, 0.0, None, set()))
+        one = discount if frame is not None and frame > 2 and discount is not None else 1.0
+        want[frame] = (n + 1, conf + one, x2 if quantity is None else (x2 or 0.0) + quantity + 4, actors | ({actor} - {None}))
+    rounded = sorted(((f, "car", n, round(c, 4), x2 if x2 is None else round(x2, 2), len(a)) for f, (n, c, x2, a) in want.items()), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == rounded
+    assert got.schema.simpleString() == "struct<frame_idx:int,class_name:string,n:bigint,confidence:double,x2:double,actors:bigint>"
+    lines.limit(0).write.parquet(f"{tmp_path}/empty/lineitem.parquet")
+    assert queries.QUERIES["detections_from_tracks"](spark, f"{tmp_path}/empty").count() == 0
