@@ -99,6 +99,15 @@ def test_manifest_by_supersteps_of_any_height(spark, fan, levels):
     same_rows(manifest.manifest(docs, fan=fan, levels=levels).collect(), plain_manifest(rows, fan))
 
 
+def test_manifest_lowers_ascii_letters_only(spark):
+    texts = [None, "", " ", "ABC xyz 09 []{}@`", "ÄÖÜ A", "é Z", "K Å İ I", "ΑΣ Σ", "DŽ Ⅷ Ⓐ Q", "😀 B", "\x00A\x7fZ", "中文 C", "A" * 3000, "É" + "A" * 3000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(manifest.lowered("t")).collect()]
+    assert got == [t and t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for t in texts]
+    plan = df.select(manifest.lowered("t").alias("low"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(t" in plan and "translate(t" in plan
+
+
 def test_manifest_sorts_in_ranges_and_leaves_the_session_as_it_was(spark):
     key, rows = "spark.sql.execution.rangeExchange.sampleSizePerPartition", [(None if i % 9 == 0 else i % 50, None if i % 7 == 0 else bytes([i % 5 * 60]), bytes([i % 200])) for i in range(2000)]
     leaves = spark.createDataFrame(rows, "id long, source binary, leaf binary").withColumn("tampered", F.lit(None).cast("binary"))
